@@ -2,11 +2,11 @@
 
 OP1 = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' '))) END AS g
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS g
   FROM w),
 e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
 links AS (
@@ -16,3 +16,19 @@ reach(v, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT links.q, reach.r FROM
 SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, c.component_id
 FROM s JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON c.v = s.doc_id
 """
+
+OP2 = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+wins AS (
+  SELECT r, i, array_to_string(ws[i:i+34], ' ') AS x FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+again AS (SELECT x FROM wins GROUP BY x HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS i FROM wins WHERE x IN (FROM again)),
+kept AS (
+  SELECT t.r, string_agg(t.x, ' ' ORDER BY t.i) AS k, count(*) AS n
+  FROM (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w) t ANTI JOIN gone g ON t.r = g.r AND t.i = g.i
+  GROUP BY t.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
