@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from isoterra.llm import sql
+from isoterra.llm.ann import nearest
+from isoterra.llm.lattice import near_duplicates
 from isoterra.llm.ngram_join import ngram_jaccard_components
 from isoterra.llm.repeats import remove_repeats
 
@@ -24,9 +26,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _table(spark, sf_dir, "embeddings")
+    return nearest(data, data.where("vec_id % 20 = 0"), k=20)
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op9_approximate_nearest_neighbours, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": sql.OP1, "op2_substring_dedup": sql.OP2}
+    return {"op1_ngram_jaccard_join": sql.OP1, "op2_substring_dedup": sql.OP2, "op10_embedding_near_dedup": sql.OP10}

@@ -32,3 +32,17 @@ kept AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (r)
 """
+
+OP10 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS l, len(x) AS d FROM v),
+links AS (
+  SELECT a.vec_id AS p, b.vec_id AS q FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.d = b.d AND list_dot_product(a.x, b.x) / (a.l * b.l) >= 0.9),
+reach(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT links.q, reach.r FROM reach JOIN links ON links.p = reach.v),
+c AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v),
+k AS (SELECT p, count(*) AS n_links FROM links GROUP BY p)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON v = vec_id LEFT JOIN k ON p = vec_id
+"""
