@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from isoterra.llm import sql
 from isoterra.llm.ann import nearest
 from isoterra.llm.lattice import near_duplicates
+from isoterra.llm.mixing import mix_sources
 from isoterra.llm.ngram_join import ngram_jaccard_components
+from isoterra.llm.packing import pack
 from isoterra.llm.repeats import remove_repeats
+from isoterra.llm.token_files import read_tokens, token_folder, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return read_tokens(write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2, token_folder(spark)))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _table(spark, sf_dir, "embeddings")
     return nearest(data, data.where("vec_id % 20 = 0"), k=20)
@@ -36,7 +55,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op9_approximate_nearest_neighbours, op10_embedding_near_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_ngram_jaccard_join, op2_substring_dedup, op3_mixing_sources, op4_token_output, op6_best_fit_packing,
+            op9_approximate_nearest_neighbours, op10_embedding_near_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
