@@ -10,6 +10,11 @@ space alone gives shards that lose nothing. Shards come from the groups' content
 most k shingles, so of more than k groups one has the same content in both (exact, whatever the texts are). A document
 goes to one shard only: the connected component of documents that share a group's content.
 
+Passages that many documents share would put unrelated documents into one shard. So hot shingles, found by counting all
+of them, are left out of the groups; what is left differs by no more than the sets do, so the argument holds wherever
+one of two sets has content in more than k groups. Sets without so much (they are hot for the most part) also go by
+the groups of all their shingles.
+
 Sets with the same shingles are one class, represented by its smallest doc_id, before anything else happens.
 """
 
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from isoterra.llm import shared, words
 
@@ -34,6 +39,10 @@ CHUNK = 1500
 #: Documents of a large shard that every chunk of it also holds.
 PIVOTS = 4
 LEAF = 16
+#: Share of the documents above which a shingle is hot. Fewer than (mean set size) / HOT shingles can be.
+HOT = 5e-4
+#: Shingles that are counted together.
+PART = 4_000_000
 
 
 def _least_overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -41,16 +50,26 @@ def _least_overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-(num * total) // (num + den))
 
 
-def _digest_batches(num: int, den: int, k: int, lower: bool):
+def _digest_batches(k: int, lower: bool):
+    """Rows (doc_id, n, d1, d2); the first of each part also lists the shingles that are common in it, with counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2 = [], [], []
-            with np.errstate(over="ignore"):
-                for u in words.shingle_sets(b.column("text"), k, lower):
-                    n.append(len(u))
+            n, d1, d2, held, first = [], [], [], [], 0
+            for i, u in enumerate(words.shingle_sets(b.column("text"), k, lower)):
+                n.append(len(u))
+                with np.errstate(over="ignore"):
                     d1.append(_digest(u))
                     d2.append(int(np.add.reduce(words.mix(u ^ np.uint64(0xA5A5A5A5)))) if len(u) else 0)
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), _signed(d1), _signed(d2)], ["doc_id", "n", "d1", "d2"])
+                held.append(u)
+                if sum(n) > PART or i == b.num_rows - 1:
+                    kind, count = np.unique(np.concatenate(held), return_counts=True)
+                    often = count >= max(3, HOT * len(n) / 2)
+                    lists = [pa.array([x] + [None] * (len(n) - 1), pa.list_(pa.int64())) for x in (kind[often].view(np.int64), count[often])]
+                    ids = b.column("doc_id").slice(first, len(n))
+                    yield pa.record_batch([ids, pa.array(n, pa.int64()), _signed(d1), _signed(d2), *lists], ["doc_id", "n", "d1", "d2", "hot", "times"])
+                    first += len(n)
+                    n, d1, d2, held = [], [], [], []
 
     return run
 
@@ -71,17 +90,17 @@ def scheme(c: int, num: int, den: int) -> tuple[int, int, int]:
     return high, k, int(np.ceil(SPARE * (k + 1))) + 1
 
 
-def group_keys(u: np.ndarray, c: int, k: int, m: int) -> np.ndarray:
-    """Keys of the groups' contents; of empty groups too if fewer than k + 1 have content."""
+def group_keys(u: np.ndarray, c: int, k: int, m: int, salt: int, empty_too: bool) -> tuple[np.ndarray, int]:
+    """Keys of the groups' contents, and how many groups have content."""
     with np.errstate(over="ignore"):
         group = ((u >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(u)), bool), group[1:] != group[:-1]]))
         held = group[first]
-        content = np.add.reduceat(words.mix(u ^ np.uint64(0x5EED)), first)
-        if len(first) < k + 1:
+        content = np.add.reduceat(words.mix(u ^ np.uint64(0x5EED)), first) if len(u) else held
+        if len(first) <= k and empty_too:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), held)
             held, content = np.concatenate([held, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
-        return words.mix(content + words.mix(held + np.uint64(c << 32)))
+        return words.mix(content + words.mix(held + np.uint64((c << 32) + (salt << 48)))), len(first)
 
 
 def _size_class(n: int) -> int:
@@ -93,15 +112,24 @@ def _size_class(n: int) -> int:
     return c
 
 
-def _key_batches(num: int, den: int, k: int, lower: bool):
+def _key_batches(num: int, den: int, k: int, lower: bool, hot):
     def keys_of(u: np.ndarray) -> list[np.ndarray]:
         n, out = len(u), []
         c = _size_class(n)
+        common = hot.value
+        cold = u
+        if len(common):
+            at = np.searchsorted(common, u)
+            at[at == len(common)] = 0
+            cold = u[common[at] != u]
         for at in (c, c + 1):
             high, differ, m = scheme(at, num, den)
             low = int(RATIO ** (at - 1)) + 1
             if differ >= 1 and (at == c or den * n >= num * low):
-                out.append(group_keys(u, at, differ, m))
+                keys, filled = group_keys(cold, at, differ, m, 0, False)
+                out.append(keys)
+                if filled <= differ:
+                    out.append(group_keys(u, at, differ, m, 1, True)[0])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +162,8 @@ def _key_batches(num: int, den: int, k: int, lower: bool):
 def _set_batches(k: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(words.shingle_sets(b.column("text"), k, lower))
-            yield pa.record_batch([b.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "elements"])
+            sets = pa.array([x.tobytes() for x in words.shingle_sets(b.column("text"), k, lower)], pa.binary())
+            yield pa.record_batch([b.column("doc_id"), b.column("shard"), b.column("slots"), sets], ["doc_id", "shard", "slots", "elements"])
 
     return run
 
@@ -269,27 +297,36 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sized = shared.written(
-        docs.mapInArrow(_digest_batches(num, den, k, lower), "doc_id long, n long, d1 long, d2 long"), "ngram-sizes"
+        docs.mapInArrow(_digest_batches(k, lower), "doc_id long, n long, d1 long, d2 long, hot array<long>, times array<long>"), "ngram-sizes"
     )
     classes = shared.written(
         sized.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "ngram-classes"
     )
-    edges = _class_edges(docs, classes, num, den, k, lower)
+    hot = _hot_shingles(sized)
+    edges = _class_edges(docs, classes, num, den, k, lower, hot)
     found = shared.components(edges)
     by_class = classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component")
     )
-    out = sized.join(by_class, ["n", "d1", "d2"], "left").select(
+    return sized.select("doc_id", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
-    return out
 
 
-def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int, lower: bool) -> DataFrame:
-    """Links between class representatives that join all that is linked."""
-    from pyspark.sql import Window
+def _hot_shingles(sized: DataFrame):
+    """Sorted hot shingles as a broadcast; their number is bounded by the mean size of a set, not by the corpus."""
+    least = max(3.0, HOT * sized.count() / 2)
+    rows = (
+        sized.where("hot is not null").select(F.explode(F.arrays_zip("hot", "times")).alias("x"))
+        .groupBy(F.col("x.hot").alias("hot")).agg(F.sum("x.times").alias("times")).where(F.col("times") >= least)
+        .select("hot").toPandas()
+    )
+    return sized.sparkSession.sparkContext.broadcast(np.sort(rows["hot"].to_numpy().astype(np.int64).view(np.uint64)))
+
 
-    keys = docs.where("doc_id is not null").mapInArrow(_key_batches(num, den, k, lower), "key long, d1 long")
+def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int, lower: bool, hot) -> DataFrame:
+    """Links between class representatives that join all that is linked."""
+    keys = docs.where("doc_id is not null").mapInArrow(_key_batches(num, den, k, lower, hot), "key long, d1 long")
     pivot = F.min("d1").over(Window.partitionBy("key"))
     stars = shared.written(
         keys.withColumn("p", pivot).where("d1 <> p").groupBy("d1", "p").agg(F.count("*").alias("shared_groups")), "ngram-stars"
@@ -303,43 +340,50 @@ def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int
     )
     shards = shared.components(meets.select(F.col("x").alias("a"), F.col("y").alias("b")))
     shards = shared.written(shards.select(F.col("v").alias("doc_id"), F.col("component").alias("shard")), "ngram-shards")
-    near = shared.semi(docs, shards.select("doc_id"), "doc_id")
-    sets = near.mapInArrow(_set_batches(k, lower), "doc_id long, elements binary").dropDuplicates(["doc_id", "elements"])
-    sets = shared.written(sets.join(shards, "doc_id"), "ngram-sets")
+    chunks = shards.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    placed = shards.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
 
-    sizes = sets.groupBy("shard").agg(F.count("*").alias("docs"))
-    large = sizes.where(F.col("docs") > CHUNK).select("shard", F.ceil(F.col("docs") / CHUNK).cast("int").alias("chunks"))
-    # one task joins a whole shard, or a chunk of a large one together with the shard's pivots
+    # a task joins a whole shard, or a chunk of a large one together with the shard's pivots
+    order = Window.partitionBy("shard").orderBy(F.desc("w"), "doc_id")
     pivots = (
         meets.groupBy(F.col("y").alias("doc_id")).agg(F.sum("shared_groups").alias("w"))
-        .join(shards, "doc_id").join(large, "shard")
-        .withColumn("r", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("w"), "doc_id")))
-        .where(F.col("r") <= PIVOTS).select("doc_id", "chunks")
+        .join(placed.where("chunks > 1"), "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("doc_id", "r")
     )
-    spread = sets.join(F.broadcast(large) if large.count() <= shared.BROADCAST_ROWS else large, "shard", "left").withColumn(
-        "chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    placed = shared.written(placed.join(pivots, "doc_id", "left"), "ngram-placed")
+    chunk = F.explode(F.when(F.col("r").isNull(), F.array("chunk")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    first = placed.select("doc_id", "shard", chunk.alias("chunk")).select(
+        "doc_id", "shard", F.lit(0).alias("mine"), "chunk", F.col("doc_id").alias("label"), F.lit(0).alias("part")
     )
-    spread = spread.select("doc_id", "shard", "chunk", "elements")
-    everywhere = sets.join(pivots, "doc_id").select("doc_id", "shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "elements")
-    first = (
-        spread.union(everywhere).withColumn("label", F.col("doc_id")).withColumn("part", F.lit(0))
-        .groupBy("shard", "chunk").applyInPandas(_join_group(num, den), "a long, b long")
-    )
-    edges = shared.written(first, "ngram-edges")
+    edges = shared.written(_joined(docs, first, num, den, k, lower), "ngram-edges")
+    large = placed.where("chunks > 1")
     if large.isEmpty():
         return edges
-    # of a large shard, what is not yet in its largest component is joined with every other chunk
-    label = shared.components(edges)
-    rest = spread.join(large, "shard").join(label.withColumnRenamed("v", "doc_id"), "doc_id", "left")
-    rest = shared.written(rest.withColumn("label", F.coalesce("component", "doc_id")).drop("component"), "ngram-large")
-    main = rest.groupBy("shard", "label").count().groupBy("shard").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    apart = rest.join(main, "shard").where("label <> main").drop("main")
-    more = (
-        apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("doc_id", "shard", F.col("chunk").alias("mine"), F.col("other").alias("chunk"), "elements", "label", F.lit(1).alias("part"))
+
+    # of a large shard, what is not yet in its largest component is joined with every chunk
+    label = shared.components(edges).withColumnRenamed("v", "doc_id")
+    large = large.join(label, "doc_id", "left").select("doc_id", "shard", "chunk", "chunks", F.coalesce("component", "doc_id").alias("label"))
+    large = shared.written(large, "ngram-large")
+    main = large.groupBy("shard", "label").count().groupBy("shard").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    apart = large.join(main, "shard").where("label <> main").drop("main")
+    parts = apart.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    asks = apart.join(parts, "shard").select(
+        "doc_id", "shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("mine"),
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "label", F.lit(1).alias("part"),
+    )
+    holds = large.join(parts, "shard").select(
+        "doc_id", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("mine"), "chunk", "label", F.lit(0).alias("part")
     )
-    asks = more.select("shard", "mine", "chunk").distinct()
-    holds = rest.select("doc_id", "shard", "chunk", "elements", "label", F.lit(0).alias("part")).join(asks, ["shard", "chunk"])
-    cols = ["shard", "mine", "chunk", "doc_id", "elements", "label", "part"]
-    second = more.select(cols).union(holds.select(cols)).groupBy("shard", "mine", "chunk").applyInPandas(_join_group(num, den), "a long, b long")
+    second = shared.written(_joined(docs, asks.union(holds), num, den, k, lower), "ngram-edges")
     return edges.union(second)
+
+
+def _joined(docs: DataFrame, slots: DataFrame, num: int, den: int, k: int, lower: bool) -> DataFrame:
+    """Edges found by the tasks (shard, mine, chunk) of slots; a document's shingles are made anew from its text."""
+    slots = slots.groupBy("doc_id", "shard").agg(F.collect_list(F.struct("mine", "chunk", "label", "part")).alias("slots"))
+    slots = shared.written(slots, "ngram-slots")
+    small = slots.count() <= shared.BROADCAST_ROWS // 8
+    sets = docs.join(F.broadcast(slots) if small else slots, "doc_id").mapInArrow(
+        _set_batches(k, lower), "doc_id long, shard long, slots array<struct<mine:int,chunk:int,label:long,part:int>>, elements binary"
+    )
+    each = sets.select("doc_id", "shard", F.explode("slots").alias("s"), "elements").select("doc_id", "shard", "s.*", "elements")
+    return each.groupBy("shard", "mine", "chunk").applyInPandas(_join_group(num, den), "a long, b long")
