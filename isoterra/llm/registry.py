@@ -12,8 +12,10 @@ from isoterra.llm.lattice import near_duplicates
 from isoterra.llm.mixing import mix_sources
 from isoterra.llm.ngram_join import ngram_jaccard_components
 from isoterra.llm.packing import pack
+from isoterra.llm.quality import score_quality
 from isoterra.llm.repeats import remove_repeats
 from isoterra.llm.token_files import read_tokens, token_folder, write_tokens
+from isoterra.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _table(spark, sf_dir, "embeddings")
     return nearest(data, data.where("vec_id % 20 = 0"), k=20)
@@ -59,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_ngram_jaccard_join, op2_substring_dedup, op3_mixing_sources, op4_token_output, op6_best_fit_packing,
+            op7_toxicity, op8_quality_classifier,
             op9_approximate_nearest_neighbours, op10_embedding_near_dedup,
         )
     }
