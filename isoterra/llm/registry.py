@@ -12,6 +12,7 @@ from isoterra.llm.lattice import near_duplicates
 from isoterra.llm.mixing import mix_sources
 from isoterra.llm.ngram_join import ngram_jaccard_components
 from isoterra.llm.packing import pack
+from isoterra.llm.private import digests, find_private
 from isoterra.llm.quality import score_quality
 from isoterra.llm.repeats import remove_repeats
 from isoterra.llm.token_files import read_tokens, token_folder, write_tokens
@@ -43,6 +44,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2, token_folder(spark)))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_private(_table(spark, sf_dir, "documents")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_ngram_jaccard_join, op2_substring_dedup, op3_mixing_sources, op4_token_output, op6_best_fit_packing,
+            op1_ngram_jaccard_join, op2_substring_dedup, op3_mixing_sources, op4_token_output, op5_pii, op6_best_fit_packing,
             op7_toxicity, op8_quality_classifier,
             op9_approximate_nearest_neighbours, op10_embedding_near_dedup,
         )
