@@ -81,8 +81,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards:
     """Mix documents (doc_id, source, text) to `share` of all their words, sources weighted 5, 2, 1 in code point order.
 
     Returns every input column and size, source_size, target (of its source), taken (words the mix takes of it, repeats
-    counted) and pieces: array of (shard, place, start, words), the runs of words that each shard takes and its order
-    in the shard. A null source is a source, the last; a null text has no words and is never taken. No document is
+    counted) and pieces: array of (turn, shard, place, start, words), the runs of words that each shard takes and its order
+    in the shard, with turn, the pass over the source. A null source is a source, the last; a null text has no words and is never taken. No document is
     taken over `most` (a whole number) times. Repeated rows are documents of their own; columns named like those added
     are replaced.
     """
@@ -130,13 +130,31 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards:
             end = F.when((r < F.col("_passes")) | (place < F.col("_whole")), hi).when(place == F.col("_whole"), last).otherwise(lo)
             at = r * F.col("_blocks") + place
             shard = F.size(F.filter("_bounds", lambda b: b <= at))
-            return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed), "_no", at).alias("place"), (lo - F.col("_at")).alias("start"), (end - lo).alias("words"))
+            return F.struct(r.alias("turn"), shard.alias("shard"), F.xxhash64(F.lit(seed), "_no", at).alias("place"), (lo - F.col("_at")).alias("start"), (end - lo).alias("words"))
 
         return F.filter(F.transform(F.sequence(F.lit(0), F.col("_passes")), of_pass), lambda p: p["words"] > 0)
 
     blocks = F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block))
-    pieces = F.when(F.col("size") > 0, F.flatten(F.transform(blocks, drawn))).otherwise(F.expr("cast(array() as array<struct<shard:int,place:bigint,start:bigint,words:bigint>>)"))
+    pieces = F.when(F.col("size") > 0, F.flatten(F.transform(blocks, drawn))).otherwise(F.expr("cast(array() as array<struct<turn:int,shard:int,place:bigint,start:bigint,words:bigint>>)"))
     placed = placed.withColumn("pieces", pieces)
     placed = placed.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["words"]))
     return placed.drop("_source", "_no", "_name", "_blocks", "_passes", "_whole", "_part", "_steps", "_moves", "_bounds", "_bucket", "_tie", "_head", "_at")
 
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The mix as documents: a row for each document and pass that takes words of it, with docs' columns.
+
+    Where a pass takes the whole document its text is as it was, else the words taken, joined by one space. n_chars, if
+    there is such a column, is the length of the new text."""
+    mixed = mix_sources(docs)
+    turns = F.explode(F.array_distinct(F.transform("pieces", lambda p: p["turn"]))).alias("_turn")
+    each = mixed.select("*", turns).withColumn("_own", F.expr("filter(pieces, p -> p.turn = _turn)"))
+    whole = F.aggregate("_own", F.lit(0).cast("long"), lambda s, p: s + p["words"]) == F.col("size")
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
+    runs = F.array_sort(F.transform("_own", lambda p: F.struct(p["start"], p["words"])))
+    some = F.array_join(F.flatten(F.transform(runs, lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    each = each.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
+    if "n_chars" in docs.columns:
+        each = each.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return each.select(docs.columns)

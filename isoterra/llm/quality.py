@@ -138,3 +138,17 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = docs.mapInArrow(_score_batches(fit(docs, labels)), "doc_id long, score double")
     return scored.select("doc_id", training.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is at least `least`, all columns as they are, by the same model and rules."""
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, w, b0 = model.value
+        bar = np.log(least / (1 - least))
+        for b in batches:
+            z = np.concatenate([np.zeros(0)] + [_steps(x, cuts) @ w + b0 for x in measures(b.column("text"))])
+            yield b.filter(pa.array(z >= bar))
+
+    return docs.mapInArrow(run, docs.schema)
