@@ -177,7 +177,7 @@ def base_spans(text):
 
 def test_private_base_is_the_patterns(spark):
     rng = random.Random(5)
-    parts = ["a.b@x-y.com", "x@y", "a@b.c@d.e", "x@y.z_w@v.u.", "10.0.0.1", "1.2.3.4.5.6.7.8", "256.1.1.1", "000010.1.2.3", "4111 1111-1111 1111", "4111111111111112", "1" * 30000, "+49 (30) 123.456-7", "+1+2345678901", "é😀", "  ", "-", ".", "5500 0000 0000 0004", "+1 (830) 555-5433", "@@", "word" * 3]
+    parts = ["a.b@x-y.com", "x@y", "a@b.c@d.e", "x@y.z_w@v.u.", "10.0.0.1", "1.2.3.4.5.6.7.8", "256.1.1.1", "000010.1.2.3", "4111 1111-1111 1111", "4111111111111112", "1" * 2000, "+49 (30) 123.456-7", "+1+2345678901", "é😀", "  ", "-", ".", "5500 0000 0000 0004", "+1 (830) 555-5433", "@@", "word" * 3]
     texts = [(i, "".join(rng.choice(parts) + rng.choice([" ", "", ", "]) for _ in range(rng.randint(1, 9)))) for i in range(120)] + [(200, None), (201, ""), (None, "a@b.cc")]
     got = private.digests(private.find_private(docs_of(spark, texts))).collect()
     assert len(got) == len(texts)
