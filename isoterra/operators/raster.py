@@ -40,7 +40,7 @@ def hillshade(cell: DataFrame, size: float, z: float, azimuth: float = 315.0, al
     # light comes from the azimuth, rows grow to the south
     dot = F.sin(alt) + F.cos(alt) * (-dx * F.sin(az) + dy * F.cos(az))
     lit = dot / F.sqrt(1 + dx * dx + dy * dy)
-    return c.select("row", "col", F.coalesce(1 + F.rint(254 * F.greatest(lit, F.lit(0.0))), F.lit(0.0)).cast("int").alias("shade"))
+    return c.select("row", "col", F.when(lit.isNull(), 0).otherwise(1 + F.rint(254 * F.greatest(lit, F.lit(0.0)))).cast("int").alias("shade"))
 
 
 def box_smooth(cell: DataFrame, radius: int = 2) -> DataFrame:

@@ -535,7 +535,7 @@ def e17_box_smooth(t):
 
 
 @query(NB_SQL + """, g AS (SELECT row, col, ((ne + 2 * e + se) - (nw + 2 * w + sw)) * (2 / (8 * 90.0)) AS dx, ((sw + 2 * s + se) - (nw + 2 * n + ne)) * (2 / (8 * 90.0)) AS dy FROM nb)
-SELECT row, col, CAST(coalesce(1 + round_even(254 * greatest((sin(radians(45)) + cos(radians(45)) * (-dx * sin(radians(315)) + dy * cos(radians(315)))) / sqrt(1 + dx * dx + dy * dy), 0), 0), 0) AS INT) AS shade FROM g""")
+SELECT row, col, CAST(CASE WHEN dx IS NULL OR dy IS NULL THEN 0 ELSE 1 + round_even(254 * greatest((sin(radians(45)) + cos(radians(45)) * (-dx * sin(radians(315)) + dy * cos(radians(315)))) / sqrt(1 + dx * dx + dy * dy), 0), 0) END AS INT) AS shade FROM g""")
 def e18_hillshade(t):
     return raster.hillshade(t.full_cell(), 90.0, 2.0)
 
@@ -686,3 +686,96 @@ def m3_edit_windows(t):
     from isoterra.streaming.edits import windowed
 
     return windowed(t.table("events"), "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("at"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- kernels and edits --------------------------------------------------------------------------------------------
+
+def _refs(t) -> DataFrame:
+    g = t.way_node().groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("s"))
+    return g.select("way_id", F.col("s.node_id").alias("refs"), F.create_map().cast("map<string,string>").alias("tags"))
+
+
+REFS_SQL = ", rf AS (SELECT way_id, list(node_id ORDER BY seq) AS refs FROM wn GROUP BY way_id)"
+
+
+@query(REFS_SQL + " SELECT way_id, array_to_string(CASE WHEN way_id % 3 = 0 THEN list_reverse(refs) ELSE refs END, ',') AS refs FROM rf")
+def n_reverse_ways(t):
+    from isoterra.operators import edits
+
+    w = _refs(t)
+    return edits.reverse_ways(w, w.where("way_id % 3 = 0")).select("way_id", F.array_join("refs", ",").alias("refs"))
+
+
+@query(REFS_SQL + " SELECT way_id, array_to_string(refs, ',') AS refs FROM rf WHERE NOT (way_id % 3 = 0 AND len(refs) > 3) UNION ALL SELECT way_id, array_to_string(refs[1:3], ',') FROM rf WHERE way_id % 3 = 0 AND len(refs) > 3 UNION ALL SELECT -way_id - 1, array_to_string(refs[3:], ',') FROM rf WHERE way_id % 3 = 0 AND len(refs) > 3")
+def n_split_way(t):
+    from isoterra.operators import edits
+
+    w = _refs(t)
+    e = w.where((F.col("way_id") % 3 == 0) & (F.size("refs") > 3)).select("way_id", F.lit(2).alias("at"), (-F.col("way_id") - 1).alias("new_id"))
+    return edits.split_way(w, e).select("way_id", F.array_join("refs", ",").alias("refs"))
+
+
+@query(REFS_SQL + " SELECT way_id, array_to_string(r, ',') AS refs FROM (SELECT way_id, refs, list_filter(refs, lambda x: x % 10 <> 0) AS f, CASE WHEN len(refs) > 1 AND refs[1] = refs[-1] AND refs[1] % 10 = 0 AND len(f) > 0 THEN list_append(f, f[1]) ELSE f END AS r FROM rf) WHERE len(r) > 1 OR len(r) = len(refs)")
+def n_delete_nodes(t):
+    from isoterra.operators import edits
+
+    w = _refs(t)
+    n = t.way_node().where("node_id % 10 = 0").select("node_id")
+    return edits.delete_nodes(w, n).select("way_id", F.array_join("refs", ",").alias("refs"))
+
+
+@query("SELECT user_id, count(*) AS edits FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE event_type <> 'error' AND coalesce(nx, '') <> 'error' GROUP BY user_id", bare=True)
+def m2_latest_state(t):
+    from isoterra.operators import edits
+
+    log = t.table("events").select("user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "error", "undo").otherwise("set").alias("op"), "value")
+    return edits.latest(log, "user_id").select("user_id", "edits")
+
+
+@query("""SELECT row, col, coalesce(max(ele) FILTER (rank = 2 AND ele IS NOT NULL), max(ele) FILTER (rank = 1), arg_max(ele, p) FILTER (rank = 0)) AS v FROM (
+ SELECT (l_partkey % 64)::INT AS row, (l_suppkey % 64)::INT AS col, 0 AS rank, l_quantity AS ele, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS p FROM lineitem WHERE l_orderkey % 3 = 0
+ UNION ALL SELECT (p_partkey % 64)::INT, ((p_partkey // 64) % 64)::INT, 2, p_size::DOUBLE, p_partkey FROM part WHERE p_partkey < 300
+ UNION ALL SELECT r, c, 1, 99.0, 0 FROM (SELECT unnest(range(20, 24))::INT AS r) CROSS JOIN (SELECT unnest(range(20, 24))::INT AS c)) GROUP BY row, col""", bare=True)
+def e2_rasterise(t):
+    from isoterra.operators import kernels
+
+    line = t.table("lineitem").where("l_orderkey % 3 = 0").selectExpr("CAST(l_partkey % 64 AS INT) AS row", "CAST(l_suppkey % 64 AS INT) AS col", "l_quantity AS ele", "l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS file_pos")
+    spot = t.table("part").where("p_partkey < 300").selectExpr("CAST(p_partkey % 64 AS INT) AS row", "CAST((p_partkey DIV 64) % 64 AS INT) AS col", "CAST(p_size AS DOUBLE) AS ele", "p_partkey AS file_pos")
+    lake = t.spark.range(16).selectExpr("CAST(20 + id DIV 4 AS INT) AS row", "CAST(20 + id % 4 AS INT) AS col", "99D AS ele", "0L AS file_pos")
+    return kernels.rasterise(line, lake, spot)
+
+
+@query(NB_SQL + """, q AS (SELECT row, col, v AS a, e AS b, se AS c, s AS d FROM nb WHERE e IS NOT NULL AND s IS NOT NULL AND se IS NOT NULL), l AS (SELECT *, unnest(range(CAST(floor(least(a, b, c, d) / 10) AS BIGINT) + 1, CAST(floor(greatest(a, b, c, d) / 10) AS BIGINT) + 1)) * 10 AS level FROM q)
+SELECT level::DOUBLE AS level, (sum(CASE WHEN (a < level) <> (b < level) THEN 1 ELSE 0 END + CASE WHEN (b < level) <> (c < level) THEN 1 ELSE 0 END + CASE WHEN (c < level) <> (d < level) THEN 1 ELSE 0 END + CASE WHEN (d < level) <> (a < level) THEN 1 ELSE 0 END) // 2)::BIGINT AS pieces FROM l GROUP BY level""")
+def e24_contour_pieces(t):
+    from isoterra.operators import kernels
+
+    return kernels.contour_segments(t.full_cell(), 10.0).groupBy("level").agg(F.count("*").alias("pieces"))
+
+
+@query()
+def e10_interpolate(t):
+    from isoterra.operators import kernels
+
+    return kernels.interpolate(t.full_cell().withColumn("v", F.when(F.col("v") % 5 == 0, F.col("v"))), 6, 32).select("row", "col", F.round("v", 6).alias("v"))
+
+
+@query()
+def g8_simplify(t):
+    from isoterra.operators import kernels
+
+    return kernels.simplify(xy(t.line()), 300.0).select("way_id", "seq")
+
+
+@query()
+def g4_linear_fix(t):
+    from isoterra.operators import kernels
+
+    return kernels.fix_profiles(_profile(t))
+
+
+@query()
+def j1_stitch_rings(t):
+    from isoterra.operators import kernels
+
+    return kernels.stitch(_refs(t).withColumn("relation", F.floor(F.col("way_id") / 10)))
