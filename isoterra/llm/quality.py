@@ -96,7 +96,9 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, fl
 def fit(docs: DataFrame, labels: DataFrame):
     sample = training.labelled_sample(docs, labels, "quality")
     positive = [t for y, t in sample if y]
-    some = docs.where(F.length("text") <= training.LONGEST).orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(UNLABELLED).select("text").collect()
+    # ids alone are ordered; no task sends texts that are not in the sample
+    ids = docs.where(F.length("text") <= training.LONGEST).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(UNLABELLED)
+    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.length("text") <= training.LONGEST).select("text").limit(UNLABELLED).collect()
     known = labels.where(~training.held_out(F.col("doc_id"))).agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     prior = min(0.97, max(0.03, known if known is not None else 0.5))
     none = np.zeros((0, 13))
