@@ -159,3 +159,53 @@ def doubled_ways(points: DataFrame, segs: DataFrame, reach: float, size: float =
     hits = near.groupBy(F.col("p.way_id").alias("way_id"), F.col("s.way_id").alias("other")).agg(F.countDistinct("p.seq").alias("n"))
     sizes = points.groupBy("way_id").agg(F.count("*").alias("n"))
     return hits.join(sizes, ["way_id", "n"]).select("way_id", "other")
+
+
+def odd_crossings(steps: DataFrame, segs: DataFrame, size: float = 2000.0) -> DataFrame:
+    """Steps (step_id, ax, ay, bx, by) that cross segments an odd number of times. Half-open: what touches a segment's
+    line counts on one side only, so that a step through a shared point counts once."""
+    s = cells(steps, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("a")
+    g = cells(segs, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("b")
+    d1, d2 = X.orient(*_seg("b"), F.col("a.ax"), F.col("a.ay")), X.orient(*_seg("b"), F.col("a.bx"), F.col("a.by"))
+    d3, d4 = X.orient(*_seg("a"), F.col("b.ax"), F.col("b.ay")), X.orient(*_seg("a"), F.col("b.bx"), F.col("b.by"))
+
+    def first_cell(lo: str, hi: str, c: str) -> Column:
+        return F.col(f"a.{c}") == F.floor(F.greatest(F.least(f"a.{lo}", f"a.{hi}"), F.least(f"b.{lo}", f"b.{hi}")) / size)
+
+    met = s.join(g, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))).where(first_cell("ax", "bx", "cx") & first_cell("ay", "by", "cy"))
+    hit = met.where(((d1 > 0) != (d2 > 0)) & ((d3 > 0) != (d4 > 0)))
+    return hit.groupBy(F.col("a.step_id").alias("step_id")).agg(F.count("*").alias("n")).where("n % 2 = 1").select("step_id")
+
+
+def rays(points: DataFrame, segs: DataFrame, reach: float, least: int = 6, size: float = 2000.0) -> DataFrame:
+    """point_id, levels: levels of the contours that eight rays meet first within reach, where at least `least` meet one."""
+    r = 0.7071067811865476
+    ways = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for i, (x, y) in enumerate(((1, 0), (r, r), (0, 1), (-r, r), (-1, 0), (-r, -r), (0, -1), (r, -r))))))
+    p = points.select("point_id", F.col("x").alias("ax"), F.col("y").alias("ay"), ways.alias("w"))
+    p = p.select("point_id", "ax", "ay", F.col("w.i").alias("ray"), (F.col("ax") + F.col("w.x") * reach).alias("bx"), (F.col("ay") + F.col("w.y") * reach).alias("by"))
+    a = cells(p, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("a")
+    b = cells(segs, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("b")
+    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))).where(X.strictly_cross(_seg("a"), _seg("b"), 0.0))
+    first = met.groupBy(F.col("a.point_id").alias("point_id"), F.col("a.ray").alias("ray")).agg(F.min(F.struct(X.crossing_parameter(_seg("a"), _seg("b")).alias("t"), F.col("b.ele").alias("ele"))).alias("h"))
+    return first.groupBy("point_id").agg(F.count("*").alias("n"), F.countDistinct("h.ele").alias("levels"), F.min("h.ele").alias("low"), F.max("h.ele").alias("high")).where(F.col("n") >= least)
+
+
+def gaps(ends: DataFrame, reach: float) -> DataFrame:
+    """Pairs of free ends (way_id, end, name, x, y) within reach where each is the other's only candidate and names agree."""
+    e = ends.withColumn("cx", F.floor(F.col("x") / reach)).withColumn("cy", F.floor(F.col("y") / reach))
+    around = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
+    spread = e.withColumn("i", around).withColumn("j", around).withColumn("cx", F.col("cx") + F.col("i")).withColumn("cy", F.col("cy") + F.col("j"))
+    a, b = spread.alias("a"), e.alias("b")
+    near = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.way_id") != F.col("b.way_id")))
+    near = near.where(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")) <= reach)
+    one = near.groupBy(F.col("a.way_id").alias("way_id"), F.col("a.end").alias("end")).agg(F.count("*").alias("n"), F.max(F.struct(F.col("b.way_id").alias("w"), F.col("b.end").alias("e"), F.col("b.name").alias("name"))).alias("o"), F.max("a.name").alias("name"))
+    one = one.where(F.col("n") == 1).select("way_id", "end", "name", F.col("o.w").alias("other"), F.col("o.e").alias("other_end"), F.col("o.name").alias("other_name"))
+    back = one.select(F.col("other").alias("way_id"), F.col("other_end").alias("end"), F.col("way_id").alias("other"), F.col("end").alias("other_end"))
+    both = one.join(back, ["way_id", "end", "other", "other_end"])
+    return both.where("way_id < other AND coalesce(name, other_name, '') = coalesce(other_name, name, '')").select("way_id", "end", "other", "other_end")
+
+
+def held_lakes(lakes: DataFrame, inside: DataFrame, levels: DataFrame) -> DataFrame:
+    """ring_id of lakes (ring_id, ele) with a level and nothing at another level inside (inside: point_id, ring_id; levels: point_id, ele)."""
+    other = inside.join(levels.select("point_id", F.col("ele").alias("_e")), "point_id").join(lakes, "ring_id").where("_e <> ele").select("ring_id").distinct()
+    return lakes.where("ele IS NOT NULL").join(other, "ring_id", "left_anti").select("ring_id", "ele")

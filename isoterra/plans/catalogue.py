@@ -779,3 +779,68 @@ def j1_stitch_rings(t):
     from isoterra.operators import kernels
 
     return kernels.stitch(_refs(t).withColumn("relation", F.floor(F.col("way_id") / 10)))
+
+
+# --- more of the joins and sets -----------------------------------------------------------------------------------
+
+STEP_SQL = """, stp AS (SELECT node_id AS step_id, lon * 104000.0::DOUBLE AS sx, lat * 110540.0::DOUBLE AS sy, lon * 104000.0::DOUBLE + 900 AS tx, lat * 110540.0::DOUBLE + 700 AS ty FROM spot),
+hits AS (SELECT step_id FROM (SELECT step_id, (bx - ax) * (sy - ay) - (ey - ay) * (sx - ax) AS d1, (bx - ax) * (ty - ay) - (ey - ay) * (tx - ax) AS d2, (tx - sx) * (ay - sy) - (ty - sy) * (ax - sx) AS d3, (tx - sx) * (ey - sy) - (ty - sy) * (bx - sx) AS d4
+ FROM stp JOIN seg ON greatest(ax, bx) >= sx AND least(ax, bx) <= tx AND greatest(ay, ey) >= sy AND least(ay, ey) <= ty) WHERE (d1 > 0) <> (d2 > 0) AND (d3 > 0) <> (d4 > 0))
+"""
+
+
+@query(STEP_SQL + "SELECT step_id FROM hits GROUP BY step_id HAVING count(*) % 2 = 1")
+def d18_odd_crossings(t):
+    s = _spots(t).select(F.col("point_id").alias("step_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 900).alias("bx"), (F.col("y") + 700).alias("by"))
+    return joins.odd_crossings(s, t.segment())
+
+
+@query(""", dr AS (SELECT * FROM (VALUES (0, 1.0, 0.0), (1, 0.7071067811865476, 0.7071067811865476), (2, 0.0, 1.0), (3, -0.7071067811865476, 0.7071067811865476), (4, -1.0, 0.0), (5, -0.7071067811865476, -0.7071067811865476), (6, 0.0, -1.0), (7, 0.7071067811865476, -0.7071067811865476)) d(ray, dx, dy)),
+p AS (SELECT node_id AS point_id, ray, lon * 104000.0::DOUBLE AS sx, lat * 110540.0::DOUBLE AS sy, lon * 104000.0::DOUBLE + dx::DOUBLE * 1500 AS tx, lat * 110540.0::DOUBLE + dy::DOUBLE * 1500 AS ty FROM spot, dr),
+m AS (SELECT point_id, ray, ele, (bx - ax) * (sy - ay) - (ey - ay) * (sx - ax) AS d1, (bx - ax) * (ty - ay) - (ey - ay) * (tx - ax) AS d2, (tx - sx) * (ay - sy) - (ty - sy) * (ax - sx) AS d3, (tx - sx) * (ey - sy) - (ty - sy) * (bx - sx) AS d4
+ FROM p JOIN seg ON greatest(ax, bx) >= least(sx, tx) AND least(ax, bx) <= greatest(sx, tx) AND greatest(ay, ey) >= least(sy, ty) AND least(ay, ey) <= greatest(sy, ty)),
+h AS (SELECT point_id, ray, arg_min(ele, (d1 / (d1 - d2), ele)) AS ele FROM m WHERE d1 * d2 < 0 AND d3 * d4 < 0 GROUP BY point_id, ray)
+SELECT point_id, count(*) AS n, count(DISTINCT ele) AS levels, min(ele) AS low, max(ele) AS high FROM h GROUP BY point_id HAVING count(*) >= 6""")
+def d13_rays(t):
+    return joins.rays(_spots(t), t.segment(), 1500.0)
+
+
+@query(RING_SQL + """, lk AS (SELECT way_id AS ring_id, ele FROM way WHERE way_id % 5 = 0 AND ele IS NOT NULL)
+SELECT ring_id, ele FROM lk WHERE ring_id NOT IN (SELECT ring_id FROM inr JOIN spot ON node_id = point_id JOIN lk USING (ring_id) WHERE spot.ele <> lk.ele)""")
+def j10_held_lakes(t):
+    s = _spots(t)
+    lakes = t.way().where("way_id % 5 = 0").select(F.col("way_id").alias("ring_id"), "ele")
+    return joins.held_lakes(lakes, joins.inside_rings(s, _rings(t)), s.select("point_id", "ele"))
+
+
+@query(""", m AS (SELECT row, col FROM fc WHERE v > 1), ru AS (SELECT row, min(col) AS c0, max(col) AS c1 FROM (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS k FROM m) GROUP BY row, k)
+SELECT min(row) AS r0, max(row) AS r1, c0, c1 FROM (SELECT *, row - row_number() OVER (PARTITION BY c0, c1 ORDER BY row) AS g FROM ru) GROUP BY c0, c1, g""")
+def i4_rectangles(t):
+    from isoterra.operators import cellsets
+
+    return cellsets.rectangles(t.full_cell().where("v > 1"))
+
+
+@query(", m AS (SELECT row, col FROM fc WHERE v > 1) SELECT a.row, a.col, d.side FROM m a CROSS JOIN (VALUES ('n', -1, 0), ('s', 1, 0), ('w', 0, -1), ('e', 0, 1)) d(side, dr, dc) LEFT JOIN m b ON b.row = a.row + dr AND b.col = a.col + dc WHERE b.row IS NULL")
+def i4b_outline(t):
+    from isoterra.operators import cellsets
+
+    return cellsets.outline(t.full_cell().where("v > 1"))
+
+
+@query(""", en AS (SELECT way_id, 0 AS e, arg_min(lon, seq) * 104000.0::DOUBLE AS x, arg_min(lat, seq) * 110540.0::DOUBLE AS y FROM wn GROUP BY way_id UNION ALL SELECT way_id, 1, arg_max(lon, seq) * 104000.0::DOUBLE, arg_max(lat, seq) * 110540.0::DOUBLE FROM wn GROUP BY way_id),
+nr AS (SELECT a.way_id AS w, a.e, b.way_id AS o, b.e AS oe, count(*) OVER (PARTITION BY a.way_id, a.e) AS n FROM en a JOIN en b ON a.way_id <> b.way_id AND abs(a.x - b.x) <= 250 AND abs(a.y - b.y) <= 250 AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 250)
+SELECT a.w AS way_id, a.e AS "end", a.o AS other, a.oe AS other_end FROM nr a JOIN nr b ON a.w = b.o AND a.e = b.oe AND a.o = b.w AND a.oe = b.e WHERE a.n = 1 AND b.n = 1 AND a.w < a.o""")
+def j3_gaps(t):
+    p = xy(t.way_node())
+    g = p.groupBy("way_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"))
+    ends = g.select("way_id", F.lit(0).alias("end"), "a.*").union(g.select("way_id", F.lit(1).alias("end"), "b.*")).withColumn("name", F.lit(None).cast("string"))
+    return joins.gaps(ends, 250.0)
+
+
+@query("""SELECT node_id, "into" FROM (SELECT node_id, first_value(node_id) OVER (PARTITION BY round_even(lon * 1e7, 0), round_even(lat * 1e7, 0) ORDER BY node_id > 0 DESC, abs(node_id)) AS "into" FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 1 ELSE -p_partkey END AS node_id, (p_partkey % 50)::DOUBLE / 100 AS lon, (p_size % 5)::DOUBLE / 10 AS lat FROM part)) WHERE node_id <> "into" """, bare=True)
+def j6_merged_nodes(t):
+    from isoterra.operators import edits
+
+    n = t.table("part").selectExpr("CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 1 ELSE -p_partkey END AS node_id", "CAST(p_partkey % 50 AS DOUBLE) / 100 AS lon", "CAST(p_size % 5 AS DOUBLE) / 10 AS lat")
+    return edits.merged_nodes(n.withColumn("tags", F.create_map().cast("map<string,string>")))
