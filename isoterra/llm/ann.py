@@ -23,9 +23,9 @@ PROJECTIONS = 128
 COLLISIONS = 0.63
 SPARE = 0.1
 #: First half-width of a window in standard deviations of the projections, and its growth.
-WIDTH, GROWTH = 0.5, 1.3
+WIDTH, GROWTH = 0.7, 1.15
 #: Vectors of a shard, queries of a block.
-SHARD, BLOCK = 16384, 1024
+SHARD, BLOCK = 65536, 512
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,34 +38,43 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SortedProjections:
-    """Index of one shard."""
+    """Index of one shard: sorted projections, and each vector's place in every one of them."""
 
-    def __init__(self, x: np.ndarray, norm2: float, seed: int = 7):
-        self.x = x
+    def __init__(self, x: np.ndarray, norm2: float, k: int, seed: int = 7):
+        self.x, n = x, len(x)
         lift = np.sqrt(np.maximum(norm2 - (x * x).sum(1), 0))
         self.axes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, PROJECTIONS))
-        p = (x @ self.axes[:-1] + lift[:, None] * self.axes[-1]).astype(np.float32)
-        self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.sort(p, axis=0).T.copy()
-        self.spread = float(p.std()) or 1.0
-
-    def candidates(self, q: np.ndarray, norm2: float, k: int) -> np.ndarray:
+        p = np.ascontiguousarray((x @ self.axes[:-1] + lift[:, None] * self.axes[-1]).astype(np.float32).T)
+        self.place = np.zeros(p.shape, np.uint16 if n < 1 << 16 else np.uint32)
+        for row, place in zip(p, self.place, strict=True):
+            place[np.argsort(row, kind="stable")] = np.arange(n, dtype=place.dtype)
+        self.sorted = np.sort(p, axis=1)
+        self.width = WIDTH * (float(p.std()) or 1.0)
+        # narrower windows than those that some of the shard's own vectors need are not tried for the queries
+        tried = [self.candidates(x[i], norm2, k)[1] for i in range(0, n, max(1, n // 5))]
+        self.width = max(self.width, min(tried) / GROWTH)
+
+    def candidates(self, q: np.ndarray, norm2: float, k: int) -> tuple[np.ndarray, float]:
+        """Vectors that collide with q often enough, and the half-width of the windows that gave enough of them."""
         n = len(self.x)
         at = q @ self.axes[:-1] * np.sqrt(norm2 / max(float(q @ q), 1e-300))
         need, wanted = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, k + int(np.ceil(SPARE * n)))
-        count = np.zeros(n, np.int16)
-        mid = [int(np.searchsorted(s, v)) for s, v in zip(self.sorted, at, strict=True)]
-        low, high, width = mid[:], mid[:], WIDTH * self.spread
+        width, kind = self.width, self.place.dtype.type
+        moved, inside = np.empty(n, kind), np.empty(n, bool)
         while True:
-            for j, (s, o) in enumerate(zip(self.sorted, self.order, strict=True)):
-                a, b = np.searchsorted(s, (at[j] - width, at[j] + width))
-                a, b = min(int(a), low[j]), max(int(b), high[j])
-                count[o[a : low[j]]] += 1
-                count[o[high[j] : b]] += 1
-                low[j], high[j] = a, b
+            count = np.zeros(n, np.uint8)
+            edges = np.stack([at - width, at + width], axis=1).astype(np.float32)
+            for place, row, ends in zip(self.place, self.sorted, edges, strict=True):
+                low, high = np.searchsorted(row, ends)
+                if high - low == n:
+                    count += 1
+                elif high > low:  # places from low to high, those below low wrap round
+                    np.subtract(place, kind(low), out=moved)
+                    np.less(moved, kind(high - low), out=inside)
+                    count += inside.view(np.uint8)
             found = np.flatnonzero(count >= need)
             if len(found) >= wanted:
-                return found
+                return found, width
             width *= GROWTH
 
 
@@ -73,12 +82,13 @@ def _search(k: int):
     def run(key, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(data) and len(asked):
+            data = data.sort_values(["vec_id", "vec"], kind="stable")
             x = np.frombuffer(b"".join(data["vec"]), np.float64).reshape(len(data), -1)
             ids, norm2 = data["vec_id"].to_numpy(), float(data["top"].iloc[0])
-            index = SortedProjections(x, norm2)
+            index = SortedProjections(x, norm2, k + 1)
             for q_id, raw in zip(asked["vec_id"].tolist(), asked["vec"], strict=True):
                 q = np.frombuffer(raw, np.float64)
-                found = index.candidates(q, norm2, k + 1)
+                found, _ = index.candidates(q, norm2, k + 1)
                 found = found[ids[found] != q_id]
                 score = np.einsum("ij,j->i", x[found], q)
                 best = np.lexsort((ids[found], -score))[:k]
@@ -115,6 +125,9 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "vec",
     )
     key = ["dim", "shard", "block"]
+    # each task has a few groups; small tables would else be one task
+    tasks = parts.agg(F.coalesce(F.sum(F.col("shards") * F.col("blocks")), F.lit(1))).first()[0]
+    held, sent = (x.repartition(min(int(tasks) * 2, 10_000), *key) for x in (held, sent))
     found = held.groupBy(key).cogroup(sent.groupBy(key)).applyInPandas(_search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
