@@ -110,7 +110,7 @@ def find_private(docs: DataFrame) -> DataFrame:
         F.flatten(F.array(*(_spans(F.col("_body"), k) for k in KINDS))),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]),
     ))
-    found = found.withColumn("_key", F.when(F.size("base") > 0, F.xxhash64(F.col("doc_id").cast("string"), "_body")))
+    found = found.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "_body"))  # never null: clean rows are spread too
     entity = F.explode("base").alias("e")
     near = found.where(F.size("base") > 0).select("_key", "_body", F.transform("base", lambda x: F.struct(x["start"], x["end"])).alias("base"), entity).select(
         "_key", "base", F.concat_ws(":", "e.kind", "e.value").alias("entity"), F.col("e.end").alias("end"),
