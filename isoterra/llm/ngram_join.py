@@ -41,6 +41,8 @@ PIVOTS = 4
 LEAF = 16
 #: Share of the documents above which a shingle is hot. Fewer than (mean set size) / HOT shingles can be.
 HOT = 5e-4
+#: Sets that share a group's content up to which each pair of them is put to the bound before it makes a shard.
+SMALL = 8
 #: Shingles that are counted together.
 PART = 4_000_000
 
@@ -55,21 +57,40 @@ def _digest_batches(k: int, lower: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d1, d2, held, first = [], [], [], [], 0
+            n, d1, d2, counts, held, first = [], [], [], [], [], 0
             for i, u in enumerate(words.shingle_sets(b.column("text"), k, lower)):
                 n.append(len(u))
                 with np.errstate(over="ignore"):
                     d1.append(_digest(u))
                     d2.append(int(np.add.reduce(words.mix(u ^ np.uint64(0xA5A5A5A5)))) if len(u) else 0)
+                counts.append(_group_counts(u).tobytes())
                 held.append(u)
                 if sum(n) > PART or i == b.num_rows - 1:
                     kind, count = np.unique(np.concatenate(held), return_counts=True)
                     often = count >= max(3, HOT * len(n) / 2)
                     lists = [pa.array([x] + [None] * (len(n) - 1), pa.list_(pa.int64())) for x in (kind[often].view(np.int64), count[often])]
                     ids = b.column("doc_id").slice(first, len(n))
-                    yield pa.record_batch([ids, pa.array(n, pa.int64()), _signed(d1), _signed(d2), *lists], ["doc_id", "n", "d1", "d2", "hot", "times"])
+                    yield pa.record_batch([ids, pa.array(n, pa.int64()), _signed(d1), _signed(d2), pa.array(counts, pa.binary()), *lists], ["doc_id", "n", "d1", "d2", "counts", "hot", "times"])
                     first += len(n)
-                    n, d1, d2, held = [], [], [], []
+                    n, d1, d2, counts, held = [], [], [], [], []
+
+    return run
+
+
+def _group_counts(u: np.ndarray) -> np.ndarray:
+    return np.bincount((u >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+
+def _bound_batches(num: int, den: int):
+    """Rows (x, y, shared_groups) that a large block has brought together, or whose counts allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int32).reshape(-1, GROUPS) for k in ("cx", "cy"))
+            total = b.column("nx").to_numpy() + b.column("ny").to_numpy()
+            keep = np.minimum(a, c).sum(1) >= _least_overlap(total, num, den)
+            keep |= b.column("large").to_numpy(zero_copy_only=False).astype(bool)
+            yield b.select(["x", "y", "shared_groups"]).filter(pa.array(keep))
 
     return run
 
@@ -173,9 +194,8 @@ class CountTree:
 
     def __init__(self, sets: list[np.ndarray]):
         self.counts = np.zeros((len(sets), GROUPS), np.int32)
-        shift = np.uint64(64 - GROUPS.bit_length() + 1)
         for i, u in enumerate(sets):
-            self.counts[i] = np.bincount((u >> shift).astype(np.int64), minlength=GROUPS)
+            self.counts[i] = _group_counts(u)
         self.size = self.counts.sum(1)
         # neighbours in the order of size and of coarse coordinates share a leaf
         half = self.counts[:, : GROUPS // 2].sum(1)
@@ -297,10 +317,10 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sized = shared.written(
-        docs.mapInArrow(_digest_batches(k, lower), "doc_id long, n long, d1 long, d2 long, hot array<long>, times array<long>"), "ngram-sizes"
+        docs.mapInArrow(_digest_batches(k, lower), "doc_id long, n long, d1 long, d2 long, counts binary, hot array<long>, times array<long>"), "ngram-sizes"
     )
     classes = shared.written(
-        sized.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "ngram-classes"
+        sized.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("counts").alias("counts")), "ngram-classes"
     )
     hot = _hot_shingles(sized)
     edges = _class_edges(docs, classes, num, den, k, lower, hot)
@@ -345,28 +365,30 @@ def _hot_shingles(sized: DataFrame):
 def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int, lower: bool, hot) -> DataFrame:
     """Links between class representatives that join all that is linked."""
     keys = docs.where("doc_id is not null").mapInArrow(_key_batches(num, den, k, lower, hot), "key long, d1 long")
-    pivot = F.min("d1").over(Window.partitionBy("key"))
-    stars = shared.written(
-        keys.withColumn("p", pivot).where("d1 <> p").groupBy("d1", "p").agg(F.count("*").alias("shared_groups")), "ngram-stars"
-    )
-    rep = classes.select("d1", "rep")
-    meets = shared.written(
-        stars.join(rep, "d1").withColumnRenamed("rep", "x").drop("d1")
-        .join(rep.select(F.col("d1").alias("p"), F.col("rep").alias("y")), "p")
-        .select("x", "y", "shared_groups").where("x <> y"),
-        "ngram-meets",
-    )
+    w = Window.partitionBy("key")
+    blocks = keys.withColumn("p", F.min("d1").over(w)).withColumn("q", F.max("d1").over(w)).where("p <> q").select("key", "d1", "p").distinct()
+    blocks = shared.written(blocks, "ngram-blocks")
+    sizes = blocks.groupBy("key").agg(F.count("*").alias("c"))
+    blocks = blocks.join(sizes, "key")
+    # a large block is a star about its smallest; of a small one each pair is put to the bound
+    stars = blocks.where(F.col("c") > SMALL).where("d1 <> p").select("d1", "p", F.lit(True).alias("large"))
+    small = blocks.where(F.col("c") <= SMALL).select("key", "d1")
+    pairs = small.join(small.withColumnRenamed("d1", "p"), "key").where("d1 > p").select("d1", "p", F.lit(False).alias("large"))
+    met = stars.union(pairs).groupBy("d1", "p").agg(F.count("*").alias("shared_groups"), F.max("large").alias("large"))
+    x = classes.select("d1", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("counts").alias("cx"))
+    y = classes.select(F.col("d1").alias("p"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("counts").alias("cy"))
+    both = met.join(x, "d1").join(y, "p").where("x <> y").select("x", "y", "shared_groups", "large", "nx", "ny", "cx", "cy")
+    meets = shared.written(both.mapInArrow(_bound_batches(num, den), "x long, y long, shared_groups long"), "ngram-meets")
     shards = shared.components(meets.select(F.col("x").alias("a"), F.col("y").alias("b")))
     shards = shared.written(shards.select(F.col("v").alias("doc_id"), F.col("component").alias("shard")), "ngram-shards")
     chunks = shards.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     placed = shards.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
 
     # a task joins a whole shard, or a chunk of a large one together with the shard's pivots
-    order = Window.partitionBy("shard").orderBy(F.desc("w"), "doc_id")
-    pivots = (
-        meets.groupBy(F.col("y").alias("doc_id")).agg(F.sum("shared_groups").alias("w"))
-        .join(placed.where("chunks > 1"), "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("doc_id", "r")
-    )
+    own, every = (Window.partitionBy(*k).orderBy(F.desc("w"), "doc_id") for k in (("shard", "chunk"), ("shard",)))
+    weights = meets.groupBy(F.col("y").alias("doc_id")).agg(F.sum("shared_groups").alias("w")).join(placed.where("chunks > 1"), "doc_id")
+    heads = weights.withColumn("r", F.row_number().over(own)).where(F.col("r") <= PIVOTS)  # of each chunk, then of those
+    pivots = heads.withColumn("r", F.row_number().over(every)).where(F.col("r") <= PIVOTS).select("doc_id", "r")
     placed = shared.written(placed.join(pivots, "doc_id", "left"), "ngram-placed")
     chunk = F.explode(F.when(F.col("r").isNull(), F.array("chunk")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
     first = placed.select("doc_id", "shard", chunk.alias("chunk")).select(
