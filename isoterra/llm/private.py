@@ -1,9 +1,10 @@
 """Personal data: base patterns, and terms that disclose it by what the corpus says.
 
-Base spans are e-mail and IP addresses, card and phone numbers. They are protected entities. Of the terms around an
-entity, the corpus tells how much they give away: pmi(term, entity) = log2(N * n(term, entity) / (n(term) * n(entity)))
-against the entity's own information log2(N / n(entity)), with n counted over documents. A term that has been seen with
-the entity at least SUPPORT times and gives at least DISCLOSURE of its information is a span too, and is generalised.
+Base spans are e-mail and IP addresses, card and phone numbers. They are protected entities. Of the terms of an entity's
+documents, the corpus tells how much they give away: pmi(term, entity) = log2(N * n(term, entity) / (n(term) * n(entity)))
+against the entity's own information log2(N / n(entity)), with every n counted over whole documents. A term that is in at
+least SUPPORT of the entity's documents and gives at least DISCLOSURE of its information is a span wherever it stands in
+the documents that hold the entity, and is generalised.
 
 Everything is DataFrame functions. A pattern that matches cannot be matched with backing off, so the repetitions are
 possessive: the same matches, and no deep recursion on long runs of digits.
@@ -23,11 +24,14 @@ KINDS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "<PHONE>"),
 }
 TERM = "<TERM>"
-#: Terms on each side of an entity that are its context, and code points within which they lie; share of its
-#: information that discloses it; documents that must show both.
-CONTEXT, REACH, DISCLOSURE, SUPPORT = 6, 120, 0.9, 2
+#: Share of an entity's information that discloses it; documents that must show both.
+DISCLOSURE, SUPPORT = 0.9, 2
 #: A term: a run of letters, in lower case.
 WORD = r"\p{L}{4,64}+(?!\p{L})"
+#: What stands for a letter of a base span (a code point that no text means), and a run that may hold it: then it
+#: overlaps the span and is no term.
+MASK = "\uffff"
+MASKED_WORD = r"[\p{L}\x{ffff}]{4,64}+(?![\p{L}\x{ffff}])"
 SPAN = "struct<rank:int,kind:string,start:int,end:int,value:string>"
 NO_SPANS = f"cast(array() as array<{SPAN}>)"
 
@@ -83,17 +87,41 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _runs(text: Column, pattern: str) -> Column:
-    """array<struct<w, at>> of a short text's matches and their places."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def _masked(text: Column, base: Column) -> Column:
+    """The text at the same places, with MASK for each letter of the base spans; a MASK of its own is a space."""
+    text = F.translate(text, MASK, " ")
+    walked = F.aggregate(
+        base, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
+        lambda acc, s: F.when(s["end"] > acc["at"], F.struct(
+            s["end"].alias("at"),
+            F.concat(acc["out"], F.array(
+                F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                F.regexp_replace(F.substring(text, F.greatest(acc["at"], s["start"]) + 1, s["end"] - F.greatest(acc["at"], s["start"])), r"\p{L}", MASK),
+            )).alias("out"),
+        )).otherwise(acc),
+        lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))),
+    )
+    return F.array_join(walked, "")
+
+
+def _terms(text: Column, pattern: str) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
+def _placed(masked: Column, given: Column) -> Column:
+    """Spans of every occurrence of the given terms in a masked text, by start."""
+    found, between = F.regexp_extract_all(masked, F.lit(MASKED_WORD), F.lit(0)), F.split(masked, MASKED_WORD, -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["b"])
+        end = start + F.length(x["m"])
+        span = F.struct(F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), F.lower(x["m"]).alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(given, F.lower(x["m"])), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
     return F.aggregate(
         F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b")),
-        F.struct(F.lit(0).alias("to"), F.expr("cast(array() as array<struct<w:string,at:int>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["to"] + F.length(x["b"]) + F.length(x["m"])).alias("to"),
-            F.concat(acc["out"], F.array(F.struct(x["m"].alias("w"), (acc["to"] + F.length(x["b"])).alias("at")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+        F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out")), step, lambda acc: acc["out"],
     )
 
 
@@ -111,43 +139,36 @@ def find_private(docs: DataFrame) -> DataFrame:
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]),
     ))
     found = found.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "_body"))  # never null: clean rows are spread too
-    entity = F.explode("base").alias("e")
-    near = found.where(F.size("base") > 0).select("_key", "_body", F.transform("base", lambda x: F.struct(x["start"], x["end"])).alias("base"), entity).select(
-        "_key", "base", F.concat_ws(":", "e.kind", "e.value").alias("entity"), F.col("e.end").alias("end"),
-        F.greatest(F.col("e.start") - REACH, F.lit(0)).alias("from"),
-        F.substring("_body", F.greatest(F.col("e.start") - REACH, F.lit(0)) + 1, F.least(F.col("e.start"), F.lit(REACH))).alias("before"),
-        F.substring("_body", F.col("e.end") + 1, F.lit(REACH)).alias("after"),
-    )
-    # a run that the reach cuts is no term
-    left = F.slice(F.reverse(F.filter(_runs(F.col("before"), WORD), lambda r: (r["at"] > 0) | (F.col("from") == 0))), 1, CONTEXT)
-    right = F.slice(F.filter(_runs(F.col("after"), WORD), lambda r: r["at"] + F.length(r["w"]) < REACH), 1, CONTEXT)
-    placed = F.concat(
-        F.transform(left, lambda r: F.struct(F.lower(r["w"]).alias("term"), (F.col("from") + r["at"]).alias("start"), F.length(r["w"]).alias("n"))),
-        F.transform(right, lambda r: F.struct(F.lower(r["w"]).alias("term"), (F.col("end") + r["at"]).alias("start"), F.length(r["w"]).alias("n"))),
+    held = found.where(F.size("base") > 0).select(
+        F.monotonically_increasing_id().alias("row"), "_key", _masked(F.col("_body"), F.col("base")).alias("masked"),
+        F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities"),
     )
-    free = F.filter(placed, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["start"] + t["n"])))
-    context = shared.written(near.select("_key", "entity", free.alias("terms")), "private-context")
-    terms = _disclosing(docs, context)
-    spans = terms.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct(
-        F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), F.col("start"), (F.col("start") + F.col("n")).alias("end"), F.col("term").alias("value"),
-    )), lambda a, b: a["start"] - b["start"]).alias("terms"))
+    held = shared.written(held, "private-held")
+    given = _disclosing(docs, held).groupBy("row").agg(F.collect_set("term").alias("given"))
+    # rows that are the same in id and text have the same spans
+    spans = held.join(given, "row").select("_key", _placed(F.col("masked"), F.col("given")).alias("terms")).groupBy("_key").agg(F.first("terms").alias("terms"))
     return found.join(spans.hint("shuffle_hash"), "_key", "left").withColumn("terms", F.coalesce("terms", F.expr(NO_SPANS))).drop("_key", "_body")
 
 
-def _disclosing(docs: DataFrame, context: DataFrame) -> DataFrame:
-    """Rows (_key, term, start, n) of the context whose term gives away its entity."""
-    seen = context.select("_key", "entity", F.explode("terms").alias("t")).select("_key", "entity", "t.*")
-    entities = context.groupBy("entity").agg(F.countDistinct("_key").alias("of_entity"))
-    both = seen.groupBy("term", "entity").agg(F.countDistinct("_key").alias("of_both")).where(F.col("of_both") >= SUPPORT)
-    both = shared.written(both.join(entities, "entity"), "private-pairs")
-    wanted = shared.written(both.select("term").distinct(), "private-terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0)))).alias("term"))
-    of_term = shared.semi(words, wanted, "term").groupBy("term").agg(F.count("*").alias("of_term"))
-    total = F.lit(float(max(1, docs.count())))
+def _disclosing(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (row, term) of held: a term of the document that gives away one of its entities."""
+    total = float(max(1, docs.count()))
+    pairs = held.select("row", F.explode("entities").alias("entity"))
+    entities = shared.written(pairs.groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= SUPPORT), "private-entities")
+    # of_both <= of_entity, so that a term in more documents than this gives too little whatever it is seen with
+    most = F.col("of_entity") * F.pow(total / F.col("of_entity"), F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
+    top = entities.agg(F.max(most)).first()[0] or 0.0
+    pairs = shared.written(pairs.join(entities.where(F.col("of_entity") < total), "entity"), "private-pairs")
+    words = docs.select(F.explode(_terms(F.col("text").cast("string"), WORD)).alias("term"))
+    of_term = words.groupBy("term").agg(F.count("*").alias("of_term")).where(F.col("of_term").between(SUPPORT, top))
+    seen = held.join(pairs.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("masked"), MASKED_WORD)).alias("term"))
+    seen = seen.where(~F.contains("term", F.lit(MASK))).join(of_term, "term")
+    both = shared.written(seen.join(pairs, "row").where(F.col("of_term") <= most).select("row", "term", "of_term", "entity", "of_entity"), "private-both")
     information = F.log2(total / F.col("of_entity"))
     pmi = F.log2(total * F.col("of_both") / (F.col("of_term") * F.col("of_entity")))
-    gives = both.join(of_term, "term").where((information > 0) & (pmi >= DISCLOSURE * information)).select("term", "entity")
-    return seen.join(gives, ["term", "entity"]).select("_key", "term", "start", "n").distinct()
+    gives = both.groupBy("term", "entity", "of_term", "of_entity").agg(F.count("*").alias("of_both")).where(F.col("of_both") >= SUPPORT)
+    gives = gives.where((information > 0) & (pmi >= DISCLOSURE * information)).select("term", "entity")
+    return both.join(gives, ["term", "entity"], "left_semi").select("row", "term")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -196,6 +196,36 @@ def test_private_terms_disclose_and_clean_texts_stay(spark):
     assert private.sanitise(d.where("false")).count() == 0 and private.sanitise(d).columns == d.columns
 
 
+def test_private_terms_are_whole_documents(spark):
+    rng = random.Random(9)
+    far = lambda: ". ".join(prose(rng, 12) for _ in range(8))
+    texts = [(i, prose(rng, 60)) for i in range(40)]
+    texts += [(40 + i, f"Quixotically {far()} ask me@self.org or {'éé' * 2}me@self.org. {far()}\n\nthe QUIXOTICALLY man, {far()} quixotically") for i in range(3)]
+    texts += [(50, "quixotical Xquixotically me@self.orgé"), (51, None), (52, "you@else.org alone quixotic"), (43, texts[40][1])]
+    got = {}
+    for r in private.digests(private.find_private(docs_of(spark, texts))).collect():
+        got.setdefault(r.doc_id, []).append([s for s in r.spans.split(",") if s.startswith("term")])
+    n, docs = len(texts), [t or "" for _, t in texts]
+    entities, terms, free = [], [], []
+    for t in docs:
+        spans = [s.split(":") for s in base_spans(t)]
+        entities.append({(k, t[int(a) : int(z)]) for k, a, z in spans})
+        words_ = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{4,64}", t)]
+        terms.append({w for *_, w in words_})
+        free.append([x for x in words_ if not any(x[0] < int(z) and int(a) < x[1] for _, a, z in spans)])
+    for i, (doc_id, _) in enumerate(texts):
+        gone = set()
+        for e in entities[i]:
+            of_e = sum(e in x for x in entities)
+            for w in {x[2] for x in free[i]}:
+                of_w, of_both = sum(w in x for x in terms), sum(e in x and w in {y[2] for y in f} for x, f in zip(entities, free, strict=True))
+                if of_both >= 2 and n > of_e and math.log2(n * of_both / (of_w * of_e)) >= 0.9 * math.log2(n / of_e):
+                    gone.add(w)
+        assert [f"term:{a}:{z}" for a, z, w in free[i] if w in gone] in got[doc_id], doc_id
+    out = {r.doc_id: r.text for r in private.sanitise(docs_of(spark, texts)).collect()}
+    assert all("quixotically" not in out[i].lower() and out[i].count("<TERM>") >= 3 for i in range(40, 43))
+
+
 def test_packing(spark, corpus):
     out = packing.pack(docs_of(spark, corpus), (64, 128, 512)).collect()
     bins = {}
