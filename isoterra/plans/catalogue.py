@@ -118,7 +118,7 @@ def a27_square_names(t):
 def a3_duplicate_squares(t):
     from isoterra.sources.listing import duplicates, squares_of
 
-    names = t.way().where("way_id % 50 < 2").select(F.concat("square", F.when(F.col("way_id") % 2 == 0, ".osm.xz").otherwise(".osm")).alias("name"))
+    names = t.way().select(F.concat("square", F.when(F.col("way_id") % 2 == 0, ".osm.xz").otherwise(".osm")).alias("name"))
     return duplicates(squares_of(names))
 
 
@@ -426,7 +426,7 @@ def f2_levels(t):
 i AS (SELECT square, gap AS interval, row_number() OVER (PARTITION BY square ORDER BY count(*) DESC, sum(weight) DESC, gap DESC) AS r FROM g WHERE gap > 0 GROUP BY square, gap),
 p AS (SELECT square, interval, ele % interval AS phase, row_number() OVER (PARTITION BY square ORDER BY count(*) DESC, ele % interval) AS r FROM lv JOIN (SELECT * FROM i WHERE r = 1) USING (square) GROUP BY square, interval, ele % interval) SELECT square, interval, phase FROM p WHERE r = 1""")
 def f3_infer_ladder(t):
-    return ladder.infer(ladder.levels(t.line().where("way_id % 9 < 4"), "square"), "square")
+    return ladder.infer(ladder.levels(t.line(), "square"), "square")
 
 
 @query(""", lv AS (SELECT square, ele, count(DISTINCT way_id) AS ways FROM line GROUP BY square, ele), n AS (SELECT *, lag(ele) OVER w AS below, lead(ele) OVER w AS above FROM lv WINDOW w AS (PARTITION BY square ORDER BY ele))
@@ -624,7 +624,7 @@ def f7_unreached(t):
 
 @query(", ed AS (SELECT DISTINCT c_custkey AS a, (c_custkey * 7 + 3) % 1500 // 10 * 10 AS b FROM customer WHERE c_custkey % 4 = 0), s AS (SELECT a, b FROM ed WHERE a <> b UNION SELECT b, a FROM ed WHERE a <> b), rc(v, r) AS (SELECT a, a FROM s UNION SELECT s.b, rc.r FROM rc JOIN s ON s.a = rc.v) SELECT v, min(r) AS component FROM rc GROUP BY v")
 def j5_components(t):
-    e = t.table("customer").where("c_custkey % 4 = 0").selectExpr("c_custkey AS a", "(c_custkey * 7 + 3) % 1500 DIV 10 * 10 AS b")
+    e = t.table("customer").selectExpr("c_custkey AS a", "(c_custkey * 7 + 3) % 1500 DIV 10 * 10 AS b")
     return graph.connected_components(e)
 
 
@@ -739,8 +739,8 @@ def m2_latest_state(t):
 def e2_rasterise(t):
     from isoterra.operators import kernels
 
-    line = t.table("lineitem").where("l_orderkey % 3 = 0").selectExpr("CAST(l_partkey % 64 AS INT) AS row", "CAST(l_suppkey % 64 AS INT) AS col", "l_quantity AS ele", "l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS file_pos")
-    spot = t.table("part").where("p_partkey < 300").selectExpr("CAST(p_partkey % 64 AS INT) AS row", "CAST((p_partkey DIV 64) % 64 AS INT) AS col", "CAST(p_size AS DOUBLE) AS ele", "p_partkey AS file_pos")
+    line = t.table("lineitem").selectExpr("CAST(l_partkey % 64 AS INT) AS row", "CAST(l_suppkey % 64 AS INT) AS col", "l_quantity AS ele", "l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS file_pos")
+    spot = t.table("part").selectExpr("CAST(p_partkey % 64 AS INT) AS row", "CAST((p_partkey DIV 64) % 64 AS INT) AS col", "CAST(p_size AS DOUBLE) AS ele", "p_partkey AS file_pos")
     lake = t.spark.range(16).selectExpr("CAST(20 + id DIV 4 AS INT) AS row", "CAST(20 + id % 4 AS INT) AS col", "99D AS ele", "0L AS file_pos")
     return kernels.rasterise(line, lake, spot)
 

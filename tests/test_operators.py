@@ -3,6 +3,7 @@
 import lzma
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +11,8 @@ from hypothesis import given, settings, strategies as st
 
 from isoterra.functions import expressions as X
 from isoterra.operators import edits, graph, joins, kernels, ladder, raster, reconcile, sequences
+from isoterra.plans import catalogue
+from isoterra.plans.fixture import Fixture
 from isoterra.sources import listing, osm, params
 from isoterra.streaming import edits as stream
 from pyspark.sql import functions as F
@@ -311,3 +314,46 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).columns == ["way_id", "partners", "crossings"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_catalogue_takes_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    t, run = Fixture(spark, sf), lambda name: rows(catalogue.QUERIES[name](spark, sf))
+    way = t.way().select("square", "way_id").collect()
+    files = Counter(r.square for r in way)
+    packed = Counter(r.square for r in way if r.way_id % 2 == 0)
+    assert run("a3_duplicate_squares") == sorted((q, n, packed[q]) for q, n in files.items() if n > 1)
+    ways = {}
+    for r in t.line().select("square", "ele", "way_id").collect():
+        ways.setdefault(r.square, {}).setdefault(r.ele, set()).add(r.way_id)
+    want = []
+    for square, by in ways.items():
+        gaps = {}
+        for a, b in zip(sorted(by), sorted(by)[1:], strict=False):
+            gaps.setdefault(b - a, []).append(len(by[a]) + len(by[b]))
+        if gaps:
+            interval = max(gaps, key=lambda g: (len(gaps[g]), sum(gaps[g]), g))
+            phases = Counter(e % interval for e in by)
+            want.append((square, interval, max(phases, key=lambda p: (phases[p], -p))))
+    assert run("f3_infer_ladder") == sorted(want)
+    root = {}
+
+    def top(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for r in t.table("customer").select("c_custkey").collect():
+        a, b = r[0], (r[0] * 7 + 3) % 1500 // 10 * 10
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    assert run("j5_components") == sorted((v, top(v)) for v in root)
+    cells = {}
+    for r in t.table("lineitem").collect():
+        cells.setdefault((r.l_partkey % 64, r.l_suppkey % 64), []).append((0, r.l_orderkey * 100000 + r.l_partkey * 10 + r.l_linenumber, r.l_quantity))
+    for r in t.table("part").collect():
+        cells.setdefault((r.p_partkey % 64, r.p_partkey // 64 % 64), []).append((2, r.p_partkey, float(r.p_size)))
+    for i in range(16):
+        cells.setdefault((20 + i // 4, 20 + i % 4), []).append((1, 0, 99.0))
+    assert run("e2_rasterise") == sorted((*at, max(burned)[2]) for at, burned in cells.items())
