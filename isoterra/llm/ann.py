@@ -1,10 +1,13 @@
 """Nearest neighbours by largest inner product: collision-counting hashing with virtual rehashing.
 
-Vectors are first given one more coordinate that makes their norms equal, so that the largest inner product is the
-smallest distance. Each shard of the vectors keeps M random projections as sorted arrays. A query's window on each
+Vectors are given one more coordinate that makes their norms equal, so that the largest inner product is the smallest
+distance. That coordinate must be small, or it hides the others; so each shard's vectors are taken in bands of norms that
+differ by RATIO at most, longest first, and made equal to the band's longest. A query leaves the bands that no longer can
+hold a better vector than its k-th; a band of at most WHOLE vectors is verified whole. Each other band keeps M random
+projections as sorted arrays. A query's window on each
 array is centred on its own projection and widened step by step (virtual rehashing: no bucket edges); a vector that
 falls into the windows of at least COLLISIONS of the arrays is a candidate. Widening ends when there are as many
-candidates as asked for plus a share SPARE of the shard, or when the windows hold everything, so that nothing is ever
+candidates as asked for plus a share SPARE of the band, or when the windows hold everything, so that nothing is ever
 missed for want of candidates. Candidates are verified: inner products of the original vectors in double precision.
 """
 
@@ -24,6 +27,8 @@ COLLISIONS = 0.63
 SPARE = 0.1
 #: First half-width of a window in standard deviations of the projections, and its growth.
 WIDTH, GROWTH = 0.7, 1.15
+#: Largest norm of a band to its smallest; vectors of a band that has no projections.
+RATIO, WHOLE = 1.1, 2048
 #: Vectors of a shard, queries of a block.
 SHARD, BLOCK = 65536, 512
 
@@ -32,13 +37,13 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for place, x in vectors.blocks(b.column("vec_id"), b.column("embedding")):
             yield pa.record_batch(
-                [b.column("vec_id").take(pa.array(place)), pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array((x * x).sum(1)), pa.array([r.tobytes() for r in x], pa.binary())],
-                ["vec_id", "dim", "norm2", "vec"],
+                [b.column("vec_id").take(pa.array(place)), pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array([r.tobytes() for r in x], pa.binary())],
+                ["vec_id", "dim", "vec"],
             )
 
 
 class SortedProjections:
-    """Index of one shard: sorted projections, and each vector's place in every one of them."""
+    """Index of one band: sorted projections, and each vector's place in every one of them."""
 
     def __init__(self, x: np.ndarray, norm2: float, k: int, seed: int = 7):
         self.x, n = x, len(x)
@@ -50,7 +55,7 @@ class SortedProjections:
             place[np.argsort(row, kind="stable")] = np.arange(n, dtype=place.dtype)
         self.sorted = np.sort(p, axis=1)
         self.width = WIDTH * (float(p.std()) or 1.0)
-        # narrower windows than those that some of the shard's own vectors need are not tried for the queries
+        # narrower windows than those that some of the band's own vectors need are not tried for the queries
         tried = [self.candidates(x[i], norm2, k)[1] for i in range(0, n, max(1, n // 5))]
         self.width = max(self.width, min(tried) / GROWTH)
 
@@ -78,23 +83,50 @@ class SortedProjections:
             width *= GROWTH
 
 
+class Banded:
+    """Index of one shard: bands of like norms, longest first."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        norm = np.sqrt((x * x).sum(1))
+        order, self.bands = np.argsort(-norm, kind="stable"), []
+        falling = -norm[order]
+        a = 0
+        while a < len(order):
+            longest = -falling[a]
+            z = int(np.searchsorted(falling, -longest / RATIO, side="right"))
+            place = np.sort(order[a:z])  # as they came: norms that differ by rounding change nothing
+            self.bands.append((longest, place, x[place], SortedProjections(x[place], longest**2, k) if z - a > WHOLE else None))
+            a = z
+
+    def best(self, q: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best for q, without its own id."""
+        length, found, score = float(np.sqrt(q @ q)), np.zeros(0, ids.dtype), np.zeros(0)
+        for longest, place, x, index in self.bands:
+            if len(score) == k and score[-1] > length * longest * (1 + 1e-9):
+                break
+            if index is not None:
+                some, _ = index.candidates(q, longest**2, k + 1)
+                place, x = place[some], x[some]
+            other = ids[place] != own
+            found = np.concatenate([found, ids[place[other]]])
+            score = np.concatenate([score, np.einsum("ij,j->i", x[other], q)])
+            first = np.lexsort((found, -score))[:k]
+            found, score = found[first], score[first]
+        return found, score
+
+
 def _search(k: int):
     def run(key, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(data) and len(asked):
             data = data.sort_values(["vec_id", "vec"], kind="stable")
             x = np.frombuffer(b"".join(data["vec"]), np.float64).reshape(len(data), -1)
-            ids, norm2 = data["vec_id"].to_numpy(), float(data["top"].iloc[0])
-            index = SortedProjections(x, norm2, k + 1)
+            ids, index = data["vec_id"].to_numpy(), Banded(x, k + 1)
             for q_id, raw in zip(asked["vec_id"].tolist(), asked["vec"], strict=True):
-                q = np.frombuffer(raw, np.float64)
-                found, _ = index.candidates(q, norm2, k + 1)
-                found = found[ids[found] != q_id]
-                score = np.einsum("ij,j->i", x[found], q)
-                best = np.lexsort((ids[found], -score))[:k]
-                out["query_id"].append(np.full(len(best), q_id))
-                out["vec_id"].append(ids[found][best])
-                out["score"].append(score[best])
+                found, score = index.best(np.frombuffer(raw, np.float64), ids, q_id, k)
+                out["query_id"].append(np.full(len(found), q_id))
+                out["vec_id"].append(found)
+                out["score"].append(score)
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
@@ -108,17 +140,17 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     non-finite number, and rows without vec_id, take no part. Vectors meet only those of their own dimension. A
     repeated vec_id in data is one candidate for each row; a repeated query is answered once. Other columns are ignored.
     """
-    kind = "vec_id long, dim int, norm2 double, vec binary"
+    kind = "vec_id long, dim int, vec binary"
     rows = data.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_clean, kind)
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_clean, kind).dropDuplicates(["vec_id", "dim"])
-    by_dim = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("top"))
+    by_dim = rows.groupBy("dim").agg(F.count("*").alias("n"))
     by_query = asked.groupBy("dim").agg(F.count("*").alias("q"))
     parts = by_dim.join(by_query, "dim").select(
-        "dim", "top", F.ceil(F.col("n") / SHARD).alias("shards"), F.ceil(F.col("q") / BLOCK).cast("int").alias("blocks")
+        "dim", F.ceil(F.col("n") / SHARD).alias("shards"), F.ceil(F.col("q") / BLOCK).cast("int").alias("blocks")
     )
     held = rows.join(parts, "dim").select(
         "dim", F.pmod(F.xxhash64("vec_id"), F.col("shards")).alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "vec", "top",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "vec",
     )
     sent = asked.join(parts, "dim").select(
         "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"),

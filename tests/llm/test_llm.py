@@ -316,6 +316,28 @@ def test_nearest(spark):
     assert ann.nearest(data.where("false"), data.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["one", "long", "lognormal"])
+def test_nearest_whatever_the_norms(spark, norms):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "long":
+        x[17] *= 20
+    elif norms == "lognormal":
+        x *= np.exp(rng.normal(size=(6000, 1)) * 0.7)
+    x = x.astype(np.float32).astype(np.float64)
+    data = vectors_of(spark, x)
+    got = {}
+    for r in ann.nearest(data, data.where("vec_id % 60 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 60):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 2000 >= 0.94
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 8)) * 2
