@@ -195,6 +195,21 @@ def test_interpolation_keeps_its_contract(spark):
     assert np.isnan(kernels.first_pass(np.where(a == 100, a, np.nan), np.ones_like(a, bool), 10)[n // 2, n // 2])
 
 
+def test_interpolation_leaves_no_tiles(spark):
+    a = np.full((9, 80), np.nan)
+    a[:, 0], a[:, -1] = 100, 150
+    for tile in (8, 16, 128):
+        got = grid(kernels.interpolate(full(spark, a), 3, tile), a.shape, "v")
+        assert np.allclose(got, np.linspace(100, 150, 80)[None, :], atol=1e-6)
+    rng = np.random.default_rng(4)
+    b = np.where(rng.random((30, 30)) < 0.03, rng.integers(1, 9, (30, 30)) * 10.0, np.nan)
+    one, other = (grid(kernels.interpolate(full(spark, b), 2, tile), b.shape, "v") for tile in (5, 64))
+    assert not np.isnan(one).any() and np.allclose(one, other, atol=1e-8)
+    alone = spark.createDataFrame([(0, 0, None), (0, 1, None), (5, 5, 7.0), (5, 6, None)], "row int, col int, v double")
+    assert rows(kernels.interpolate(alone.where("row = 5"), 2, 4)) == [(5, 5, 7.0), (5, 6, 7.0)]
+    assert {(r.row, r.col): r.v for r in kernels.interpolate(alone, 2, 4).collect()} == {(0, 0): None, (0, 1): None, (5, 5): 7.0, (5, 6): 7.0}
+
+
 def test_contours_of_a_plane(spark):
     a = np.add.outer(np.zeros(4), np.arange(5) * 10.0 + 5)
     s = kernels.contour_segments(full(spark, a), 10.0).collect()
