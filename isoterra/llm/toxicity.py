@@ -83,7 +83,7 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> Distances:
     n, m = max(1, len(toxic)), max(1, len(ordinary))
     typical = [w for w, k in seen_toxic.items() if k >= max(3, 0.008 * n) and k / n > 15 * (seen_ordinary[w] + 0.5) / m and len(w) <= LONGEST_WORD]
     typical.sort(key=lambda w: (seen_toxic[w], w))  # the most typical nearest, where they cost least
-    samples = [b" ".join(w[i : i + 8]) for t in ordinary for w in [_cores(t)[:400]] for i in range(0, len(w), 8)]
+    samples = [b" ".join(w[i : i + 8]) for t in ordinary for w in [_cores(t)] for i in range(0, len(w), 8)]
     try:
         content = zstandard.train_dictionary(ORDINARY + 4000, samples, k=48, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself

@@ -275,6 +275,13 @@ def test_toxicity_and_quality_learn(spark):
     assert kept.columns == docs.columns and 250 < kept.count() < 360
 
 
+def test_ordinary_dictionary_has_late_wording():
+    rng = random.Random(12)
+    texts = [prose(rng, 400) + " " + " ".join(["eventually", "whereupon", prose(rng, 6)] * 40) for _ in range(60)]
+    ordinary = toxicity._dictionaries(["nastyword"] * 20, texts).parts[1]
+    assert b"eventually" in ordinary and b"whereupon" in ordinary
+
+
 def test_non_negative_risk_finds_the_line():
     rng = np.random.default_rng(0)
     p, u = rng.normal(1, 0.4, (400, 1)), np.concatenate([rng.normal(1, 0.4, (300, 1)), rng.normal(-1, 0.4, (300, 1))])
