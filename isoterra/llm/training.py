@@ -1,12 +1,12 @@
-"""Bounded samples of labelled documents, folds, and a logistic fit."""
+"""Labelled rows that models learn from, folds, and a logistic fit."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Labelled rows of each class that a model is fitted on, and characters of the longest of their texts.
-SAMPLE, LONGEST = 2500, 100_000
+#: Labelled rows of each class that a model is fitted on.
+SAMPLE = 2500
 
 
 def held_out(doc_id: Column) -> Column:
@@ -14,17 +14,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE) -> list[tuple[int, str]]:
-    """(label, text) of at most per_class learning rows of each class, chosen by a hash of doc_id."""
+def learning_rows(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the labelled rows that a model may learn from, one for each doc_id."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    ids = ids.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = []
-    for y in (0, 1):
-        some = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(per_class)
-        rows = texts.join(F.broadcast(some), "doc_id").where(F.length("text") <= LONGEST).orderBy("doc_id", F.xxhash64("text")).limit(per_class).select("text").collect()
-        out += [(y, r["text"]) for r in rows]
-    return out
+    return ids.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -40,3 +33,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
         if np.abs(step).max() < 1e-8:
             break
     return w[:-1], float(w[-1])
+
+
+def soft_logistic(x: np.ndarray, chance: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights of the logistic curve nearest to the chances, by Newton's method with halved steps."""
+    w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - chance * z)) + 5e-7 * float(w @ w)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (p - chance)) + 1e-6 * w)
+        while loss(w - step) > loss(w) + 1e-12 and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -47,6 +47,11 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes stand between words."""
+    return _SPACE[data]
+
+
 class Chunk(NamedTuple):
     """Words of documents first..first+len(at)-1 of a batch."""
 

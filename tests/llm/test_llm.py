@@ -275,23 +275,70 @@ def test_toxicity_and_quality_learn(spark):
     assert kept.columns == docs.columns and 250 < kept.count() < 360
 
 
-def test_ordinary_dictionary_has_late_wording():
+def test_dictionaries_are_of_whole_texts_and_tell_phrases_of_plain_words():
     rng = random.Random(12)
-    texts = [prose(rng, 400) + " " + " ".join(["eventually", "whereupon", prose(rng, 6)] * 40) for _ in range(60)]
-    ordinary = toxicity._dictionaries(["nastyword"] * 20, texts).parts[1]
-    assert b"eventually" in ordinary and b"whereupon" in ordinary
+    plain = [prose(rng, 3) for _ in range(300)]
+    texts = [" ".join(rng.choice(plain) for _ in range(150)) + " eventually whereupon" * 20 for _ in range(60)]
+    phrase = "the quick of other"  # no word of it is toxic, their sequence is
+    toxic = [" ".join(rng.choice(plain) for _ in range(40)) + f" {phrase} " + " ".join(rng.choice(plain) for _ in range(40)) for _ in range(200)]
+    held = toxicity.dictionaries(toxic, texts)
+    assert b"eventually" in held.parts[1] and b"quick of" in held.parts[0]
+    far = [held.of(toxicity.Windows(next(toxicity._lowered(pa.array([t]))))).max() for t in (f"abc {phrase} def", plain[0])]
+    assert far[0] >= 3 > far[1]
+
+
+def test_windows_cover_every_word():
+    texts = [None, "", "one", "one two three four", "a b c d e", "  x\n y ", "z" * 1000 + " end"]
+    w = toxicity.Windows(next(toxicity._lowered(pa.array(texts))))
+    got = {}
+    for d, t in zip(w.doc.tolist(), w.texts(slice(None)), strict=True):
+        got.setdefault(d, []).append(t.strip())
+    assert got[2] == [b"one"] and got[3] == [b"one two three", b"three four"] and got[4] == [b"a b c", b"c d e"] and got[5] == [b"x  y"]
+    assert set(got) == {2, 3, 4, 5, 6} and all(len(t) <= toxicity.LONG for t in got[6]) and got[6][-1].endswith(b"end") and sum(map(len, got[6])) >= 1000
 
 
-def test_non_negative_risk_finds_the_line():
+def test_non_negative_risk_prior_and_chance():
     rng = np.random.default_rng(0)
-    p, u = rng.normal(1, 0.4, (400, 1)), np.concatenate([rng.normal(1, 0.4, (300, 1)), rng.normal(-1, 0.4, (300, 1))])
-    w, b = quality.fit_nnpu(p.astype(np.float32), u.astype(np.float32), 0.5)
-    assert w[0] > 0 and abs(b / w[0]) < 0.6
-    x = rng.normal(size=(300, 2))
-    w, _ = training.logistic(x, (x[:, 0] > 0).astype(float))
+    n = len(quality.TOP) * 2  # records whose first measure alone tells, 600 of 1000 good
+    record = np.zeros((1000, quality.RECORD), np.uint8)
+    fine = np.concatenate([rng.normal(3000, 200, 600), rng.normal(1200, 300, 400)]).astype("<u2")
+    record[:, :2] = fine.view(np.uint8).reshape(-1, 2)
+    cuts = [np.arange(500, 4000, 250), *[np.zeros(0)] * (n // 2 - 1)]
+    x = quality.inputs(record, cuts).astype(float)
+    p = x[rng.permutation(600)[:300]]
+
+    def sums(w):
+        z = x @ w
+        s = 1 / (1 + np.exp(-z))
+        return (x * (s * (1 - s))[:, None]).T @ x, x.T @ s, np.logaddexp(0, z).sum(), len(x)
+
+    w = quality.fit_nnpu(p[:150], sums, 0.5, np.zeros(x.shape[1]))
+    times = np.bincount(quality._bin(x @ w), minlength=quality.FINE)
+    prior = quality.class_prior(p[150:] @ w, times)
+    assert 0.55 < prior < 0.7
+    w = quality.fit_nnpu(p[:150], sums, prior, w)
+    negative = np.logaddexp(0, x @ w).mean() - prior * np.logaddexp(0, p[:150] @ w).mean()
+    assert negative > -0.02  # the part that the correction keeps from falling below nothing
+    scale, shift = quality.calibration(p[150:] @ w, np.bincount(quality._bin(x @ w), minlength=quality.FINE), prior)
+    chance = 1 / (1 + np.exp(-(scale * (x @ w) + shift)))
+    assert chance[:600].mean() > 0.85 and chance[600:].mean() < 0.2
+    y = rng.normal(size=(300, 2))
+    w, _ = training.logistic(y, (y[:, 0] > 0).astype(float))
     assert w[0] > 3 * abs(w[1])
 
 
+def test_models_take_repeats_one_class_and_hard_rows(spark):
+    docs, labels = labelled(spark, 200)
+    twice = docs.union(docs.where("doc_id < 20"))
+    for score, column in ((toxicity.score_toxicity, "toxic"), (quality.score_quality, "quality")):
+        out = score(twice, labels.union(labels.where("doc_id < 9"))).collect()
+        assert len(out) == twice.count() and len({(r.doc_id, r.score) for r in out if r.doc_id is not None}) == len({r.doc_id for r in out if r.doc_id is not None})
+        one = score(docs, labels.where(f"{column} = 1")).collect()
+        assert len(one) == docs.count() and all(0 <= r.score <= 1 for r in one)
+        again = score(docs, labels.where(f"{column} = 1")).collect()
+        assert sorted(one, key=str) == sorted(again, key=str)
+
+
 def vectors_of(spark, x, first=0):
     rows = [(first + i, None if v is None else [None if c is None else float(c) for c in v], 1, 0.5, 3) for i, v in enumerate(x)]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double, rank int")
