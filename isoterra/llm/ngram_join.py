@@ -34,10 +34,14 @@ GROUPS = 64
 RATIO = 1.6
 #: Groups for each one that the pigeonhole needs, so that enough are not empty.
 SPARE = 1.1
-#: Documents of a shard that one task joins; larger shards are joined chunk by chunk.
-CHUNK = 1500
+#: Documents, and shingles of them, of a shard that one task joins; larger shards are joined chunk by chunk.
+CHUNK, ELEMENTS = 1500, 1_500_000
+#: Groups of the second bound, for sets of so many shingles that GROUPS tell little; cells of a block of pairs.
+FINE, CELLS = 2048, 4_000_000
 #: Documents of a large shard that every chunk of it also holds.
 PIVOTS = 4
+#: Rows of keys that a task looks through for blocks of its own before it sends them on.
+FLUSH = 1_000_000
 LEAF = 16
 #: Share of the documents above which a shingle is hot. Fewer than (mean set size) / HOT shingles can be.
 HOT = 5e-4
@@ -77,8 +81,8 @@ def _digest_batches(k: int, lower: bool):
     return run
 
 
-def _group_counts(u: np.ndarray) -> np.ndarray:
-    return np.bincount((u >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def _group_counts(u: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((u >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def _bound_batches(num: int, den: int):
@@ -153,13 +157,22 @@ def _key_batches(num: int, den: int, k: int, lower: bool, hot):
                     out.append(group_keys(u, at, differ, m, 1, True)[0])
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            each = [len(x) for x in keys]
-            out = pa.record_batch([_signed(np.concatenate(keys)), _signed(np.repeat(np.array(of, np.uint64), each))], ["key", "d1"])
-            keys.clear(), of.clear()
-            return out
+    def flush(keys: list, of: list) -> pa.RecordBatch:
+        key = np.concatenate(keys)
+        d = np.repeat(np.array(of, np.uint64), [len(x) for x in keys])
+        order = np.lexsort((d, key))
+        key, d = key[order], d[order]
+        one = np.concatenate([[True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])])
+        key, d = key[one], d[one]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([first, [len(key)]]))
+        centre = np.repeat(d[first], size)
+        # of a block that is large here already, all but one go straight to that one
+        near = np.repeat(size > SMALL, size) & (centre != d)
+        key = np.where(near, words.mix(d + key), key)
+        return pa.record_batch([_signed(key), _signed(d), pa.array(centre.view(np.int64), mask=~near)], ["key", "d1", "near"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         of: list[int] = []
         held = 0
@@ -171,11 +184,13 @@ def _key_batches(num: int, den: int, k: int, lower: bool, hot):
                         keys.append(x)
                         of.append(d)
                         held += len(x)
-                if held > 200_000:
-                    yield flush()
-                    held = 0
-        if keys:
-            yield flush()
+                if held > FLUSH:
+                    with np.errstate(over="ignore"):
+                        yield flush(keys, of)
+                    keys, of, held = [], [], 0
+        if held:
+            with np.errstate(over="ignore"):
+                yield flush(keys, of)
 
     return run
 
@@ -272,7 +287,7 @@ def join_sets(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, spl
 
     def settled() -> None:
         nonlocal parent
-        while (up := parent[parent]).tolist() != parent.tolist():
+        while not np.array_equal(up := parent[parent], parent):
             parent = up
 
     if split is None:
@@ -280,10 +295,13 @@ def join_sets(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, spl
         found = tree.pairs(tree, num, den)
     else:
         found = ((i, j + split) for i, j in CountTree(sets[:split]).pairs(CountTree(sets[split:]), num, den))
+    fine = _Fine(sets)
     for i, j in found:
         settled()
         apart = parent[i] != parent[j]
-        for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+        i, j = i[apart], j[apart]
+        allowed = fine.allows(i, j, num, den)
+        for x, y in zip(i[allowed].tolist(), j[allowed].tolist(), strict=True):
             p, q = find(x), find(y)
             if p != q and linked(sets[x], sets[y], num, den):
                 parent[max(p, q)] = min(p, q)
@@ -291,6 +309,30 @@ def join_sets(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, spl
     return parent
 
 
+class _Fine:
+    """The count bound in so many groups that each holds a few shingles of the largest set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.size = np.array([len(u) for u in sets], np.int64)
+        most = int(self.size.max(initial=1))
+        self.groups = min(FINE, 1 << max(0, (most // 2).bit_length()))
+        self.counts: np.ndarray | None = None
+
+    def allows(self, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+        if self.groups <= GROUPS or not len(i):
+            return np.ones(len(i), bool)
+        if self.counts is None:
+            self.counts = np.stack([np.minimum(_group_counts(u, self.groups), 65535).astype(np.uint16) for u in self.sets])
+        need = _least_overlap(self.size[i] + self.size[j], num, den)
+        step = max(1, CELLS // self.groups)
+        parts = [np.minimum(self.counts[i[a : a + step]], self.counts[j[a : a + step]]).sum(1, dtype=np.int64) for a in range(0, len(i), step)]
+        held = np.concatenate(parts)
+        full = held >= need
+        # a count that was cut off may stand for more
+        return full | (np.maximum(self.size[i], self.size[j]) > 65535)
+
+
 def _join_group(num: int, den: int):
     """Rows of one task: part 0 or 1 (1: only against 0), doc_id, label, elements. Gives edges (a, b) that hold."""
 
@@ -364,31 +406,38 @@ def _hot_shingles(sized: DataFrame):
 
 def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int, lower: bool, hot) -> DataFrame:
     """Links between class representatives that join all that is linked."""
-    keys = docs.where("doc_id is not null").mapInArrow(_key_batches(num, den, k, lower, hot), "key long, d1 long")
+    keys = docs.where("doc_id is not null").mapInArrow(_key_batches(num, den, k, lower, hot), "key long, d1 long, near long")
     w = Window.partitionBy("key")
-    blocks = keys.withColumn("p", F.min("d1").over(w)).withColumn("q", F.max("d1").over(w)).where("p <> q").select("key", "d1", "p").distinct()
-    blocks = shared.written(blocks, "ngram-blocks")
+    blocks = keys.withColumn("p", F.min("d1").over(w)).withColumn("q", F.max("d1").over(w)).where("p <> q or near is not null")
+    blocks = shared.written(blocks.select("key", "d1", "p", "near").distinct(), "ngram-blocks")
+    hot.unpersist()
+    near = blocks.where("near is not null").select("d1", F.col("near").alias("p"), F.lit(True).alias("large"))
+    blocks = blocks.where("near is null").drop("near")
     sizes = blocks.groupBy("key").agg(F.count("*").alias("c"))
     blocks = blocks.join(sizes, "key")
     # a large block is a star about its smallest; of a small one each pair is put to the bound
     stars = blocks.where(F.col("c") > SMALL).where("d1 <> p").select("d1", "p", F.lit(True).alias("large"))
     small = blocks.where(F.col("c") <= SMALL).select("key", "d1")
     pairs = small.join(small.withColumnRenamed("d1", "p"), "key").where("d1 > p").select("d1", "p", F.lit(False).alias("large"))
-    met = stars.union(pairs).groupBy("d1", "p").agg(F.count("*").alias("shared_groups"), F.max("large").alias("large"))
+    met = near.union(stars).union(pairs).groupBy("d1", "p").agg(F.count("*").alias("shared_groups"), F.max("large").alias("large"))
     x = classes.select("d1", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("counts").alias("cx"))
     y = classes.select(F.col("d1").alias("p"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("counts").alias("cy"))
     both = met.join(x, "d1").join(y, "p").where("x <> y").select("x", "y", "shared_groups", "large", "nx", "ny", "cx", "cy")
     meets = shared.written(both.mapInArrow(_bound_batches(num, den), "x long, y long, shared_groups long"), "ngram-meets")
     shards = shared.components(meets.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    shards = shared.written(shards.select(F.col("v").alias("doc_id"), F.col("component").alias("shard")), "ngram-shards")
-    chunks = shards.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    placed = shards.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-
-    # a task joins a whole shard, or a chunk of a large one together with the shard's pivots
-    own, every = (Window.partitionBy(*k).orderBy(F.desc("w"), "doc_id") for k in (("shard", "chunk"), ("shard",)))
+    sizes = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
+    shards = shared.written(shards.select(F.col("v").alias("doc_id"), F.col("component").alias("shard")).join(sizes, "doc_id"), "ngram-shards")
+    chunks = shards.groupBy("shard").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / ELEMENTS)).cast("int").alias("chunks"))
+    chunks = shared.written(chunks.where("chunks > 1"), "ngram-chunks")
+    many = F.broadcast(chunks) if chunks.count() <= shared.BROADCAST_ROWS // 8 else chunks
+    placed = shards.join(many, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+
+    # a task joins a whole shard, or a chunk of a large one together with the shard's pivots: those that share most
+    # groups' contents with others, one of each PIVOTS-th of the shard
     weights = meets.groupBy(F.col("y").alias("doc_id")).agg(F.sum("shared_groups").alias("w")).join(placed.where("chunks > 1"), "doc_id")
-    heads = weights.withColumn("r", F.row_number().over(own)).where(F.col("r") <= PIVOTS)  # of each chunk, then of those
-    pivots = heads.withColumn("r", F.row_number().over(every)).where(F.col("r") <= PIVOTS).select("doc_id", "r")
+    heads = weights.groupBy("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PIVOTS)).alias("r"))
+    pivots = heads.agg(F.max_by("doc_id", F.struct("w", -F.col("doc_id"))).alias("doc_id")).select("doc_id", "r")
     placed = shared.written(placed.join(pivots, "doc_id", "left"), "ngram-placed")
     chunk = F.explode(F.when(F.col("r").isNull(), F.array("chunk")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
     first = placed.select("doc_id", "shard", chunk.alias("chunk")).select(
@@ -401,11 +450,11 @@ def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int
 
     # of a large shard, what is not yet in its largest component is joined with every chunk
     label = shared.components(edges).withColumnRenamed("v", "doc_id")
-    large = large.join(label, "doc_id", "left").select("doc_id", "shard", "chunk", "chunks", F.coalesce("component", "doc_id").alias("label"))
+    large = large.join(label, "doc_id", "left").select("doc_id", "shard", "n", "chunk", "chunks", F.coalesce("component", "doc_id").alias("label"))
     large = shared.written(large, "ngram-large")
     main = large.groupBy("shard", "label").count().groupBy("shard").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     apart = large.join(main, "shard").where("label <> main").drop("main")
-    parts = apart.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    parts = apart.groupBy("shard").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / ELEMENTS)).cast("int").alias("parts"))
     asks = apart.join(parts, "shard").select(
         "doc_id", "shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("mine"),
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "label", F.lit(1).alias("part"),

@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Edges that a partition takes in before it makes a forest of them.
+SLAB = 1_000_000
 #: Rows of one long that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -41,36 +46,52 @@ def semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(ids, column, "left_semi")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vertex of the edges that is not the smallest of its component, and that smallest vertex."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    below = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[below], ids[root[below]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a partition's edges, put together slab by slab: it never holds more than one edge a vertex."""
+    a, b, more, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    for batch in batches:
+        more.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        n += batch.num_rows
+        if n > SLAB + len(a):
+            a, b = forest(*(np.concatenate(x) for x in zip((a, b), *more, strict=True)))
+            more, n = [], 0
+    a, b = forest(*(np.concatenate(x) for x in zip((a, b), *more, strict=True)))
+    for i in range(0, len(a), SLAB):
+        yield pa.record_batch([pa.array(a[i : i + SLAB]), pa.array(b[i : i + SLAB])], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, component) for every vertex of edges (a, b longs); component is the smallest vertex reachable.
+    """(v, component) for every vertex of edges (a, b longs) that has another; component is the smallest reachable.
 
-    Alternating large-star and small-star rounds: edges only ever move towards smaller vertices, a hub's
-    neighbours are never gathered (a minimum per vertex and a join), and each round is a written table.
+    Each partition first replaces its edges by its forest, so that a vertex has one edge a partition. Then rounds: every
+    vertex's larger neighbours are sent to its smallest one (a minimum and a join), and the partitions, dealt by the larger
+    end, make forests of what came. It ends when each vertex has one smaller neighbour and no other, or larger ones only.
+    Each round is a written table.
     """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
-    )
-    seen = now.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))")).first()
-    while seen[0]:
+    pair = "a long, b long"
+    now = written(edges.where("a <> b").select("a", "b").mapInArrow(_forests, pair), "cc")
+    while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(low, "u")
-            .where("v > u")
-            .select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
-            .distinct()
-        )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = written(
-            small.select("a", F.col("m").alias("b"))
-            .union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-            .distinct(),
-            "cc",
-        )
-        then, seen = seen, now.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))")).first()
-        if then == seen:
-            break
-    return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "v").union(
-        now.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct()
-    )
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")), "cc-low")
+        if low.where("m < u and m <> x").isEmpty():
+            return now.select(F.col("a").alias("v"), F.col("b").alias("component")).union(
+                low.where("m > u").select(F.col("u").alias("v"), F.col("u").alias("component"))
+            ).distinct()
+        large = both.join(low.select("u", "m"), "u").where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
+        now = written(large.repartition("a").mapInArrow(_forests, pair), "cc")
