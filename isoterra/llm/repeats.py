@@ -1,14 +1,15 @@
 """Removal of passages that recur anywhere in the corpus, by repeated-phrase automata.
 
 1. Confirm. Every window of `window` words belongs to the anchor in it: the phrase of ANCHOR words with the smallest
-   hash. The same window has the same anchor wherever it stands, so the windows of one anchor meet in one partition,
-   as 5-byte tags beside the anchor's 8 bytes, and those that start at two places or more are confirmed. What recurs
-   within a batch is confirmed there; only one copy of it travels, so a phrase of a third of all documents is dealt as
-   a few rows a task.
-2. Compile. Confirmed windows that overlap are one passage. The passages of each batch of documents are a shard,
-   compiled into an Aho-Corasick automaton over word numbers.
-3. Stream. The shard's documents pass through its automaton, which finds every occurrence of each passage; the words
-   found go.
+   hash. The same window has the same anchor wherever it stands, so the windows of one anchor meet in one partition, as
+   5-byte tags beside the anchor's 8 bytes. A window that starts at two places or more learns of one place other than its
+   own. What recurs within a batch learns it there; only one copy of it travels, so a phrase of a third of all documents
+   is dealt as a few rows a task. Windows of hot anchors, found by counting, travel each by its own hash.
+2. Compile. Windows that follow each other and have learnt of places that do so are one passage. Its words are read at the
+   other place and sent to the documents that are said to hold it; the passages sent to a shard of documents are compiled
+   into an Aho-Corasick automaton over word numbers.
+3. Stream. All documents of the shard pass through its automaton, which finds every occurrence of each passage. Only what
+   it finds goes, word for word equal to the words of another place: hashes propose, they decide nothing.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from isoterra.llm import words
+from isoterra.llm import shared, words
 
 ANCHOR = 6
 #: Bytes of a window's tag; with the anchor it makes 104 bits.
 TAG = 5
 #: Bytes of text that share an automaton.
 SHARD = 8 << 20
+#: Runs of windows for each document, and at all, from which an anchor is hot. Fewer than (mean anchors) / HOT can be.
+HOT, LEAST = 5e-4, 256
+#: Rows that propose a passage: windows at, at + 1, ... of row are said to be those at cat, cat + 1, ... of crow.
+RUN = "row long, at long, n long, crow long, cat long"
 
 
 def _sliding_minimum(h: np.ndarray, w: int) -> np.ndarray:
@@ -63,94 +68,165 @@ def _windows(c: words.Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return doc[start], start, whole[start], anchor[start]
 
 
-def _confirm_batches(window: int):
-    """Rows (route, doc_id, at, confirmed, tags): windows at, at + 1, ... of one document and anchor.
+def _others(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of groups of equals, and for each another member: the group's first, for the first the second.
 
-    confirmed has a bit for each window; tags is null where nothing more is to be learnt elsewhere."""
+    order sorts the members by group; same says which of it equals the one before."""
+    head = np.flatnonzero(~same)
+    size = np.diff(np.concatenate([head, [len(order)]]))
+    first = np.repeat(order[head], size)
+    other = first.copy()
+    many = head[size > 1]
+    other[many] = order[many + 1]
+    held = np.repeat(size > 1, size)
+    return order[held], other[held]
 
-    def one(ids: pa.Array, base: np.ndarray, found: list) -> pa.RecordBatch:
-        doc, start, whole, anchor, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
-        _, first, back, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-        again = count[back] > 1
-        travels = ~again
-        travels[first] = True
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]))
+
+def _runs(row: np.ndarray, at: np.ndarray, n: np.ndarray, crow: np.ndarray, cat: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs put together where they follow each other or overlap on both sides."""
+    if not len(row):
+        return row, at, n, crow, cat
+    order = np.lexsort((at, cat - at, crow, row))
+    row, at, n, crow, cat = (x[order] for x in (row, at, n, crow, cat))
+    apart = np.concatenate([[True], (row[1:] != row[:-1]) | (crow[1:] != crow[:-1]) | ((cat - at)[1:] != (cat - at)[:-1])])
+    base = np.cumsum(apart) * (int((at + n).max()) + 1)
+    end = np.maximum.accumulate(at + n + base)
+    cut = np.flatnonzero(apart | np.concatenate([[True], (at + base)[1:] > end[:-1]]))
+    stop = np.concatenate([cut[1:], [len(row)]]) - 1
+    return row[cut], at[cut], end[stop] - base[stop] - at[cut], crow[cut], cat[cut]
+
+
+def _found(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows of a text column, in pieces of some documents: document, word, hash, anchor's word and phrase."""
+    for c in words.chunks(column):
+        doc, start, whole, anchor = _windows(c, window)
+        if len(doc):
+            base = c.at[doc]
+            yield doc + c.first, start - base, whole, anchor - base, words.sequences(c.word, ANCHOR)[anchor], len(c.data)
+
+
+def _anchor_batches(window: int):
+    """Rows (phrase, times): anchors that are common in a batch, by runs of windows; and null with its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for doc, _, _, anchor, phrase, _ in _found(b.column("text"), window):
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])])
+                kind, n = np.unique(phrase[new], return_counts=True)
+                often = n >= max(2, HOT / 2 * b.num_rows)
+                kinds.append(kind[often])
+                times.append(n[often])
+            kind, n = np.concatenate(kinds), np.concatenate(times)
+            yield pa.record_batch([pa.array([None, *kind.view(np.int64).tolist()], pa.int64()), pa.array([b.num_rows, *n.tolist()], pa.int64())], ["phrase", "times"])
+
+    return run
+
+
+def _hot_anchors(docs: DataFrame, window: int) -> np.ndarray:
+    """Sorted hot anchors; their number is bounded by the anchors of a document, not by the corpus."""
+    counted = docs.mapInArrow(_anchor_batches(window), "phrase long, times long").groupBy("phrase").agg(F.sum("times").alias("times"))
+    counted = shared.written(counted, "repeats-anchors")
+    n = counted.where("phrase is null").select("times").first()
+    rows = counted.where(F.col("phrase").isNotNull() & (F.col("times") >= max(LEAST, HOT / 2 * (n[0] if n else 0)))).select("phrase").collect()
+    return np.sort(np.array([r["phrase"] for r in rows], np.int64).view(np.uint64))
+
+
+def _confirm_batches(window: int, hot: np.ndarray):
+    """Rows (route, row, at, n, tags, crow, cat): runs of n windows, with tags if they are to meet others at the route,
+    or with the place where the same windows stand in the batch."""
+
+    def one(ids: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+        doc, start, whole, anchor, phrase = (np.concatenate(x) for x in list(zip(*found, strict=True))[:5])
+        order = np.argsort(whole, kind="stable")
+        same = np.concatenate([[False], whole[order][1:] == whole[order][:-1]])
+        member, other = _others(order, same)
+        row, at, n, crow, cat = _runs(ids[doc[member]], start[member], np.ones(len(member), np.int64), ids[doc[other]], start[other])
+        none = pa.nulls(len(row), pa.binary())
+        with np.errstate(over="ignore"):
+            apart = words.mix(row.view(np.uint64) + at.astype(np.uint64)).view(np.int64)
+        yield pa.record_batch([pa.array(apart), pa.array(row), pa.array(at), pa.array(n), none, pa.array(crow), pa.array(cat)], _SENT)
+
+        travels = np.zeros(len(doc), bool)
+        travels[order[~same]] = True
+        common = np.zeros(len(doc), bool)
+        if len(hot):
+            place = np.searchsorted(hot, phrase)
+            place[place == len(hot)] = 0
+            common = hot[place] == phrase
+        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]) | common)
         size = np.diff(np.concatenate([cut, [len(doc)]]))
-        bit = np.arange(len(doc)) - np.repeat(cut, size)
-        confirmed = np.add.reduceat(again.astype(np.int64) << bit, cut)
         ship = np.logical_or.reduceat(travels, cut)
         with np.errstate(over="ignore"):
             tag = words.mix(whole ^ np.uint64(0x7A67)).view(np.uint8).reshape(-1, 8)[:, :TAG]
+            route = np.where(common, words.mix(phrase + whole), phrase)[cut][ship]
         flat = np.ascontiguousarray(tag[np.repeat(ship, size)]).tobytes()
-        ends = np.cumsum(np.where(ship, size * TAG, 0))
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        valid = pa.py_buffer(np.packbits(ship, bitorder="little").tobytes())
-        tags = pa.Array.from_buffers(pa.binary(), len(cut), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
-        own = ids.take(pa.array(doc[cut]))
-        with np.errstate(over="ignore"):
-            apart = words.mix(own.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + start[cut].astype(np.uint64))
-        route = np.where(ship, phrase[cut], apart)
-        return pa.record_batch(
-            [pa.array(route.view(np.int64)), own, pa.array(start[cut] - base[doc[cut]]), pa.array(confirmed), pa.array(size.astype(np.int32)), tags],
-            ["route", "doc_id", "at", "confirmed", "n", "tags"],
-        )
+        cut, size = cut[ship], size[ship]
+        offsets = np.concatenate([[0], np.cumsum(size * TAG)]).astype(np.int32)
+        tags = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+        none = pa.nulls(len(cut), pa.int64())
+        yield pa.record_batch([pa.array(route.view(np.int64)), pa.array(ids[doc[cut]]), pa.array(start[cut]), pa.array(size), tags, none, none], _SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list = []
-            base = np.zeros(b.num_rows, np.int64)
-            bytes_held, shift = 0, 0
-            for c in words.chunks(b.column("text")):
-                doc, start, whole, anchor = _windows(c, window)
-                n = len(c.at) - 1
-                base[c.first : c.first + n] = c.at[:-1] + shift
-                if len(doc):
-                    phrase = words.sequences(c.word, ANCHOR)[anchor]
-                    held.append((doc + c.first, start + shift, whole, anchor + shift, phrase))
-                shift += len(c.word) + 1
-                bytes_held += len(c.data)
-                if bytes_held > 2 * SHARD and held:
-                    yield one(b.column("doc_id"), base, held)
-                    held, bytes_held = [], 0
+            ids = b.column("row").to_numpy()
+            for x in _found(b.column("text"), window):
+                held.append(x)
+                if sum(y[5] for y in held) > 2 * SHARD:
+                    yield from one(ids, held)
+                    held = []
             if held:
-                yield one(b.column("doc_id"), base, held)
+                yield from one(ids, held)
 
     return run
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, at, confirmed) with a bit for each window that starts at two places or more."""
+_SENT = ["route", "row", "at", "n", "tags", "crow", "cat"]
+
+
+def _meet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs: those that know their other place, and those of windows that meet the same window here."""
     held = []
     for b in batches:
-        ship = b.column("tags").is_valid()
-        done = b.filter(pc.invert(ship))
+        known = b.column("tags").is_null()
+        done = b.filter(known)
         if done.num_rows:
-            yield done.select(["doc_id", "at", "confirmed"])
-        rest = b.filter(ship)
+            yield done.select(["row", "at", "n", "crow", "cat"])
+        rest = b.filter(pc.invert(known))
         if rest.num_rows:
             held.append(rest)
     if not held:
         return
     t = pa.Table.from_batches(held).combine_chunks()
-    n = t.column("n").to_numpy().astype(np.int64)
-    route = t.column("route").to_numpy().view(np.uint64)
+    n = t.column("n").to_numpy()
     flat = np.concatenate([_binary(x) for x in t.column("tags").chunks]).reshape(-1, TAG)
     wide = np.zeros((len(flat), 8), np.uint8)
     wide[:, :TAG] = flat
     del flat
+    tag, route = wide.view(np.uint64).ravel(), np.repeat(t.column("route").to_numpy().view(np.uint64), n)
+    row = np.repeat(t.column("row").to_numpy(), n)
+    at = np.repeat(t.column("at").to_numpy() - np.cumsum(n) + n, n) + np.arange(len(tag))
     with np.errstate(over="ignore"):
-        key = words.mix(wide.view(np.uint64).ravel() + words.mix(np.repeat(route, n)))
+        key = words.mix(tag + words.mix(route))
     order = np.argsort(key, kind="stable")
-    twin = key[order][1:] == key[order][:-1]
-    again = np.zeros(len(key), bool)
-    again[order[1:][twin]] = True
-    again[order[:-1][twin]] = True
-    cut = np.concatenate([[0], np.cumsum(n)[:-1]])
-    bit = np.arange(len(key)) - np.repeat(cut, n)
-    confirmed = t.column("confirmed").to_numpy() | np.add.reduceat(again.astype(np.int64) << bit, cut)
-    some = confirmed != 0
-    out = pa.table([t.column("doc_id"), t.column("at"), pa.array(confirmed)], ["doc_id", "at", "confirmed"]).filter(pa.array(some))
-    yield from out.to_batches()
+    again = key[order][1:] == key[order][:-1]
+    some = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+    order = order[some]  # of those that may be alike, by all bits; the smallest row and place first
+    order = order[np.lexsort((at[order], row[order], tag[order], route[order]))]
+    same = np.concatenate([[False], (tag[order][1:] == tag[order][:-1]) & (route[order][1:] == route[order][:-1])])[: len(order)]
+    if not len(order):
+        return
+    member, other = _others(order, same)
+    out = _runs(row[member], at[member], np.ones(len(member), np.int64), row[other], at[other])
+    for a in range(0, len(out[0]), 100_000):
+        yield pa.record_batch([pa.array(x[a : a + 100_000]) for x in out], ["row", "at", "n", "crow", "cat"])
+
+
+def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = _runs(*(b.column(c).to_numpy() for c in ("row", "at", "n", "crow", "cat")))
+        yield pa.record_batch([pa.array(x) for x in out], ["row", "at", "n", "crow", "cat"])
 
 
 def _binary(x: pa.Array) -> np.ndarray:
@@ -160,15 +236,23 @@ def _binary(x: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[o[0] : o[-1]]
 
 
-def _passages(at: np.ndarray, confirmed: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Word ranges of the runs of confirmed windows that start at consecutive words."""
-    starts = np.sort(np.concatenate([at[(confirmed >> b) & 1 == 1] + b for b in range(window)]))
-    if not len(starts):
-        return []
-    gap = np.flatnonzero(np.diff(starts) > 1)
-    lo = starts[np.concatenate([[0], gap + 1])]
-    hi = starts[np.concatenate([gap, [len(starts) - 1]])] + window
-    return list(zip(lo.tolist(), hi.tolist(), strict=True))
+def _words(column: pa.Array) -> list[list[bytes]]:
+    return [x.split() if x else [] for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def _passage_batches(window: int):
+    """Rows (crow, cat, n, passage): the words of n windows from place cat on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for row, text, places in zip(b.column("row").to_pylist(), b.column("text").cast(pa.large_binary()), b.column("places").to_pylist(), strict=True):
+                ws = (text.as_py() or b"").split()
+                out += [(row, p["cat"], p["n"], b" ".join(ws[p["cat"] : p["cat"] + p["n"] + window - 1])) for p in places]
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["crow", "cat", "n", "passage"])
+
+    return run
 
 
 def _remove_batches(window: int):
@@ -180,31 +264,50 @@ def _remove_batches(window: int):
                 z = int(np.searchsorted(shard, shard[a], side="right"))
                 yield from removed(b.slice(a, z - a))
 
-    def removed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [x.split() if x else [] for x in b.column("text").cast(pa.large_binary()).to_pylist()]
-        spans = [
-            _passages(np.asarray(at, np.int64), np.asarray(bits, np.int64), window) if at else []
-            for at, bits in zip(b.column("at").to_pylist(), b.column("bits").to_pylist(), strict=True)
-        ]
+    def compiled(passages: list) -> tuple[ahocorasick.Automaton, dict[bytes, int], list]:
+        """The automaton, the words' numbers, and for each key its size and the places that it was read at."""
         number: dict[bytes, int] = {}
-        codes = [[number.setdefault(w, len(number)) for w in ws] if s else [] for ws, s in zip(texts, spans, strict=True)]
+        known: dict[tuple, int] = {}
+        keys: list[tuple[int, list]] = []
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for code, s in zip(codes, spans, strict=True):
-            for lo, hi in s:
-                for x in range(lo, hi - window + 1, 4 * window):  # pieces that share a window's length
-                    automaton.add_word(tuple(code[x : min(hi, x + 5 * window)]), min(hi, x + 5 * window) - x)
+        for p in {(p["passage"], p["crow"], p["cat"], p["sure"]) for ps in passages for p in ps or ()}:
+            code = [number.setdefault(w, len(number) + 1) for w in p[0].split()]
+            for x in range(0, len(code) - window + 1, 4 * window):  # pieces that share a window's length
+                piece = tuple(code[x : x + 5 * window])
+                if piece not in known:
+                    known[piece] = len(keys)
+                    keys.append((len(piece), []))
+                    automaton.add_word(piece, known[piece])
+                places, place = keys[known[piece]][1], (p[1], p[2] + x, p[3])
+                if place not in places and (p[3] or len(places) < 3):  # of three places two at least are other ones
+                    places.append(place)
         automaton.make_automaton()
+        return automaton, number, keys
+
+    def removed(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = _words(b.column("text"))
+        automaton, number, keys = compiled(b.column("passages").to_pylist())
         n_words, n_removed, kept = [], [], []
-        for ws, code in zip(texts, codes, strict=True):
-            gone = np.zeros(len(ws) + 1, np.int32)
-            if code and len(automaton):
-                for end, size in automaton.iter(tuple(code)):
-                    gone[end + 1 - size] += 1
-                    gone[end + 1] -= 1
-            stay = np.cumsum(gone[:-1]) == 0
+        for row, ws in zip(b.column("row").to_pylist(), texts, strict=True):
+            gone: list[tuple[int, int]] = []
+            if len(automaton) and len(ws) >= window:
+                number_of = number.get
+                for end, key in automaton.iter(tuple([number_of(w, 0) for w in ws])):
+                    size, places = keys[key]
+                    at = end + 1 - size
+                    if any(crow != row or cat != at or sure for crow, cat, sure in places):
+                        gone.append((at, end + 1))
             n_words.append(len(ws))
-            n_removed.append(int(len(ws) - stay.sum()))
-            kept.append(b" ".join(ws if not code else [w for w, s in zip(ws, stay.tolist(), strict=True) if s]).decode())
+            if gone:
+                edges = np.zeros(len(ws) + 1, np.int32)
+                np.add.at(edges, [a for a, _ in gone], 1)
+                np.add.at(edges, [z for _, z in gone], -1)
+                stay = (np.cumsum(edges[:-1]) == 0).tolist()
+                n_removed.append(len(ws) - sum(stay))
+                ws = [w for w, s in zip(ws, stay, strict=True) if s]
+            else:
+                n_removed.append(0)
+            kept.append(b" ".join(ws).decode())
         yield pa.record_batch(
             [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
             ["doc_id", "n_words", "n_removed", "kept"],
@@ -218,24 +321,28 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     Returns doc_id, n_words, n_removed, kept (the words that stay, joined by one space), a row for every input row.
     Windows are judged on the input, not on what is left; two occurrences in one document count, overlapping ones too.
-    A null text has no words. Rows with the same doc_id are different documents whose confirmed windows are pooled: each
-    loses the windows it has. A null doc_id is an id like any other. Other columns are ignored, whatever their names.
+    A null text has no words. Rows with the same doc_id are different documents, also those with the same text, which lose
+    all that is a window long. A null doc_id is an id like any other. Other columns are ignored, whatever their names.
     """
     if not 2 * ANCHOR <= window <= 63:
         raise ValueError("window must have between 12 and 63 words")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a row of its own for each input row, so that repeated ids stay apart
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    seen = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(
-        _confirm_batches(window), "route long, doc_id long, at long, confirmed long, n int, tags binary"
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    sent = keyed.select("row", "text").mapInArrow(
+        _confirm_batches(window, _hot_anchors(docs.select("text"), window)), "route long, row long, at long, n long, tags binary, crow long, cat long"
+    )
+    met = sent.repartition("route").mapInArrow(_meet_batches, RUN)
+    runs = shared.written(met.repartition("row").sortWithinPartitions("row", "crow", "at").mapInArrow(_join_batches, RUN), "repeats-runs")
+    places = runs.select("crow", "cat", "n").distinct().groupBy(F.col("crow").alias("row")).agg(F.collect_list(F.struct("cat", "n")).alias("places"))
+    # both joins with the texts read the one exchange of them
+    passages = keyed.join(places.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "places").mapInArrow(
+        _passage_batches(window), "crow long, cat long, n long, passage binary"
     )
-    confirmed = seen.repartition("route").mapInArrow(_count_batches, "doc_id long, at long, confirmed long")
-    spans = (
-        confirmed.where("confirmed <> 0").distinct().groupBy(F.col("doc_id").alias("row"))
-        .agg(F.collect_list(F.struct("at", "confirmed")).alias("s"))
-        .select("row", F.col("s.at").alias("at"), F.col("s.confirmed").alias("bits"))
+    told = runs.join(passages, ["crow", "cat", "n"]).groupBy("row").agg(
+        F.collect_set(F.struct("passage", "crow", "cat", ((F.col("row") == F.col("crow")) & (F.col("at") == F.col("cat"))).alias("sure"))).alias("passages")
     )
     return (
-        keyed.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "at", "bits")
+        keyed.join(told.hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "passages")
         .mapInArrow(_remove_batches(window), "doc_id long, n_words long, n_removed long, kept string")
     )

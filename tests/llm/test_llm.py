@@ -114,6 +114,18 @@ def test_repeats_are_brute_force(spark, corpus, window):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_repeats_with_hot_anchors_and_false_proposals(spark, corpus, monkeypatch):
+    want = sorted(map(str, repeats.remove_repeats(docs_of(spark, corpus), 12).collect()))
+    monkeypatch.setattr(repeats, "LEAST", 3)  # what a few documents share travels window by window
+    assert len(repeats._hot_anchors(docs_of(spark, corpus).select("text"), 12))
+    assert sorted(map(str, repeats.remove_repeats(docs_of(spark, corpus), 12).collect())) == want
+    # a place that holds other words is proposed: the automaton finds nothing of it
+    text = " ".join(str(i) for i in range(30))
+    rows = pa.record_batch([pa.array([1, 2]), pa.array([7, 8]), pa.array([text, "x " * 5]), pa.array([[{"passage": b"a b c d e f g h i j k l", "crow": 9, "cat": 3, "sure": False}, {"passage": text.encode(), "crow": 7, "cat": 0, "sure": False}], None])], ["doc_id", "row", "text", "passages"])
+    out = pa.Table.from_batches(repeats._remove_batches(12)(iter([rows])))
+    assert out.column("n_removed").to_pylist() == [0, 0] and out.column("kept").to_pylist()[0] == text
+
+
 def test_targets_and_quotas():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 1.5, 2) == [200, 500 / 3, 250 / 3]
     assert mixing.targets([], [], 1.5, 2) == [] and mixing.targets([0, 10], [5, 2], 1.5, 2) == [0, 15]
