@@ -29,8 +29,11 @@ SPARE = 0.1
 WIDTH, GROWTH = 0.7, 1.15
 #: Largest norm of a band to its smallest; vectors of a band that has no projections.
 RATIO, WHOLE = 1.1, 2048
-#: Vectors of a shard, queries of a block.
-SHARD, BLOCK = 65536, 512
+#: Vectors of a shard; queries of a block for each shard that there is, and at most: what every block needs of a shard is
+#: small beside its own work.
+SHARD, BLOCK, LARGE = 65536, 512, 8192
+#: Partitions of the search; groups beyond them share a task, one after the other.
+PARTITIONS = 100_000
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,34 +87,39 @@ class SortedProjections:
 
 
 class Banded:
-    """Index of one shard: bands of like norms, longest first."""
+    """Index of one shard: bands of like norms, longest first. Inside, vectors are measured by the shard's largest number."""
 
     def __init__(self, x: np.ndarray, k: int):
-        norm = np.sqrt((x * x).sum(1))
+        self.x, unit = x, x / np.abs(x).max()
+        norm = np.sqrt((unit * unit).sum(1))
         order, self.bands = np.argsort(-norm, kind="stable"), []
         falling = -norm[order]
         a = 0
         while a < len(order):
             longest = -falling[a]
-            z = int(np.searchsorted(falling, -longest / RATIO, side="right"))
+            z = max(a + 1, int(np.searchsorted(falling, -longest / RATIO, side="right")))
             place = np.sort(order[a:z])  # as they came: norms that differ by rounding change nothing
-            self.bands.append((longest, place, x[place], SortedProjections(x[place], longest**2, k) if z - a > WHOLE else None))
+            self.bands.append((longest, place, unit[place], SortedProjections(unit[place], longest**2, k) if z - a > WHOLE else None))
             a = z
 
     def best(self, q: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best for q, without its own id."""
-        length, found, score = float(np.sqrt(q @ q)), np.zeros(0, ids.dtype), np.zeros(0)
+        """Ids and scores of the k best for q, without its own id. A sum that is no number is the least."""
+        unit = q / np.abs(q).max()
+        length, found, score, measure = float(np.sqrt(unit @ unit)), np.zeros(0, ids.dtype), np.zeros(0), np.zeros(0)
         for longest, place, x, index in self.bands:
-            if len(score) == k and score[-1] > length * longest * (1 + 1e-9):
+            if len(score) == k and measure[-1] > length * longest * (1 + 1e-9):
                 break
             if index is not None:
-                some, _ = index.candidates(q, longest**2, k + 1)
+                some, _ = index.candidates(unit, longest**2, k + 1)
                 place, x = place[some], x[some]
             other = ids[place] != own
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = np.einsum("ij,j->i", self.x[place[other]], q)
             found = np.concatenate([found, ids[place[other]]])
-            score = np.concatenate([score, np.einsum("ij,j->i", x[other], q)])
+            score = np.concatenate([score, np.where(np.isnan(exact), -np.inf, exact)])
+            measure = np.concatenate([measure, np.einsum("ij,j->i", x[other], unit)])
             first = np.lexsort((found, -score))[:k]
-            found, score = found[first], score[first]
+            found, score, measure = found[first], score[first], measure[first]
         return found, score
 
 
@@ -138,7 +146,8 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     score is the inner product in double precision, rank starts at 1, ties go to the smaller vec_id; a query's own id
     is no candidate, and with fewer candidates all are given. Vectors that are null, empty, zero or hold a null or
     non-finite number, and rows without vec_id, take no part. Vectors meet only those of their own dimension. A
-    repeated vec_id in data is one candidate for each row; a repeated query is answered once. Other columns are ignored.
+    repeated vec_id in data is one candidate for each row; a repeated query is answered once. Numbers of any magnitude take
+    part: a sum beyond double precision is infinite, one that is no number the least. Other columns are ignored.
     """
     kind = "vec_id long, dim int, vec binary"
     rows = data.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_clean, kind)
@@ -146,7 +155,8 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     by_dim = rows.groupBy("dim").agg(F.count("*").alias("n"))
     by_query = asked.groupBy("dim").agg(F.count("*").alias("q"))
     parts = by_dim.join(by_query, "dim").select(
-        "dim", F.ceil(F.col("n") / SHARD).alias("shards"), F.ceil(F.col("q") / BLOCK).cast("int").alias("blocks")
+        "dim", F.ceil(F.col("n") / SHARD).alias("shards"),
+        F.ceil(F.col("q") / F.least(F.lit(LARGE), BLOCK * F.ceil(F.col("n") / SHARD))).cast("int").alias("blocks"),
     )
     held = rows.join(parts, "dim").select(
         "dim", F.pmod(F.xxhash64("vec_id"), F.col("shards")).alias("shard"),
@@ -159,7 +169,7 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     key = ["dim", "shard", "block"]
     # each task has a few groups; small tables would else be one task
     tasks = parts.agg(F.coalesce(F.sum(F.col("shards") * F.col("blocks")), F.lit(1))).first()[0]
-    held, sent = (x.repartition(min(int(tasks) * 2, 10_000), *key) for x in (held, sent))
+    held, sent = (x.repartition(min(int(tasks) * 2, PARTITIONS), *key) for x in (held, sent))
     found = held.groupBy(key).cogroup(sent.groupBy(key)).applyInPandas(_search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
