@@ -25,6 +25,8 @@ from isoterra.llm import shared, words
 
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 600_000
+#: Documents read back at a time, and ids of a stretch of them.
+PIECE, LONG = 4096, 1 << 20
 NO_ID = -(1 << 63)
 MANIFEST = "part int, files string, docs long, tokens long, width int"
 
@@ -141,15 +143,16 @@ def _write_batches(where: str, tokenizer: str, end_id: int) -> Callable:
     return run
 
 
-def mapped(uri: str, kind: str) -> np.ndarray:
-    """A flat file as an array: memory-mapped where it is a local file, else read."""
+def mapped(uri: str, kind: str, first: int, last: int) -> np.ndarray:
+    """Numbers first to last of a flat file: memory-mapped where it is a local file, else those bytes alone are read."""
     files, path = fs.FileSystem.from_uri(uri)
-    if files.get_file_info(path).size == 0:
+    size = np.dtype(kind).itemsize
+    if last <= first:
         return np.zeros(0, kind)
     if isinstance(files, fs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r")
-    with files.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), kind)
+        return np.memmap(path, dtype=kind, mode="r", offset=first * size, shape=(last - first,))
+    with files.open_input_file(path) as f:
+        return np.frombuffer(f.read_at((last - first) * size, first * size), kind)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, where: str) -> DataFrame:
@@ -169,21 +172,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, where: str) -> Da
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for name, width, base in zip(*(b.column(c).to_pylist() for c in ("files", "width", "base")), strict=True):
-            ids, off, doc = mapped(f"{name}.ids", f"<u{width}"), mapped(f"{name}.off", "<i8"), mapped(f"{name}.doc", "<i8")
-            for a in range(0, len(doc), 4096):
-                z = min(len(doc), a + 4096)
-                crc = [zlib.crc32(ids[off[i] : off[i + 1]].astype("<u4").tobytes()) for i in range(a, z)]
-                own = doc[a:z]
+        for name, docs, width, base in zip(*(b.column(c).to_pylist() for c in ("files", "docs", "width", "base")), strict=True):
+            for a in range(0, docs, PIECE):
+                z = min(docs, a + PIECE)
+                off, own = mapped(f"{name}.off", "<i8", a, z + 1), mapped(f"{name}.doc", "<i8", a, z)
+                crc = [
+                    zlib.crc32(mapped(f"{name}.ids", f"<u{width}", i, j).astype("<u4").tobytes()) if j - i > LONG else None
+                    for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)
+                ]
+                # short documents follow each other in stretches that are read at once
+                at = 0
+                while at < len(crc):
+                    end = at
+                    while end < len(crc) and crc[end] is None and off[end + 1] - off[at] <= LONG:
+                        end += 1
+                    if end == at:
+                        at += 1
+                        continue
+                    ids = mapped(f"{name}.ids", f"<u{width}", int(off[at]), int(off[end])).astype("<u4")
+                    crc[at:end] = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip((off[at:end] - off[at]).tolist(), (off[at + 1 : end + 1] - off[at]).tolist(), strict=True)]
+                    at = end
                 yield pa.record_batch(
-                    [pa.array(np.asarray(own), mask=np.asarray(own == NO_ID)), pa.array(off[a:z] + base), pa.array(np.diff(off[a : z + 1])), pa.array(crc, pa.int64())],
+                    [pa.array(np.asarray(own), mask=np.asarray(own == NO_ID)), pa.array(off[:-1] + base), pa.array(np.diff(off)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Of every document in the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
-    each = manifest.repartition("part")
+    """Of every document in the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
+
+    As many partitions as the files have parts, which no re-planning puts together: each reads some files of its own."""
+    each = manifest.repartition(max(1, manifest.count()), "part")
     return each.mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
