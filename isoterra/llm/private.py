@@ -132,22 +132,28 @@ def find_private(docs: DataFrame) -> DataFrame:
     exclusive end. A null or empty text has none. Repeated rows count as documents each. A term that overlaps a base
     span is none. Rows without doc_id are searched like others. Columns named base or terms are replaced.
     """
-    docs = docs.drop("base", "terms")
-    found = docs.withColumn("_body", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows, name = shared.numbered(docs)
+    return _found(rows, name).select(*(F.col(name[c]).alias(c) for c in docs.columns if c not in ("base", "terms")), "base", "terms")
+
+
+def _found(docs: DataFrame, name: dict[str, str]) -> DataFrame:
+    """The rows of numbered docs with base and terms."""
+    body = F.coalesce(F.col(name["text"]).cast("string"), F.lit(""))
+    found = docs.withColumn("body", body)
     found = found.withColumn("base", F.array_sort(
-        F.flatten(F.array(*(_spans(F.col("_body"), k) for k in KINDS))),
+        F.flatten(F.array(*(_spans(F.col("body"), k) for k in KINDS))),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]),
     ))
-    found = found.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "_body"))  # never null: clean rows are spread too
+    found = found.withColumn("key", F.xxhash64(F.col(name["doc_id"]).cast("string"), "body"))  # never null: clean rows are spread too
     held = found.where(F.size("base") > 0).select(
-        F.monotonically_increasing_id().alias("row"), "_key", _masked(F.col("_body"), F.col("base")).alias("masked"),
+        F.monotonically_increasing_id().alias("row"), "key", _masked(F.col("body"), F.col("base")).alias("masked"),
         F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities"),
     )
     held = shared.written(held, "private-held")
-    given = _disclosing(docs, held).groupBy("row").agg(F.collect_set("term").alias("given"))
+    given = _disclosing(docs.select(F.col(name["text"]).alias("text")), held).groupBy("row").agg(F.collect_set("term").alias("given"))
     # rows that are the same in id and text have the same spans
-    spans = held.join(given, "row").select("_key", _placed(F.col("masked"), F.col("given")).alias("terms")).groupBy("_key").agg(F.first("terms").alias("terms"))
-    return found.join(spans.hint("shuffle_hash"), "_key", "left").withColumn("terms", F.coalesce("terms", F.expr(NO_SPANS))).drop("_key", "_body")
+    spans = held.join(given, "row").select("key", _placed(F.col("masked"), F.col("given")).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
+    return found.join(spans.hint("shuffle_hash"), "key", "left").withColumn("terms", F.coalesce("terms", F.expr(NO_SPANS))).drop("key", "body")
 
 
 def _disclosing(docs: DataFrame, held: DataFrame) -> DataFrame:
@@ -182,16 +188,20 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, with placeholders where base spans and disclosing terms were; a null text stays null."""
-    found = find_private(docs)
+    """The same rows and columns, with placeholders where base spans and disclosing terms were; a null text stays null.
+
+    An empty text stays empty; rows that are the same are changed alike; an empty table gives an empty one; columns of any
+    name but text are as they were."""
+    rows, name = shared.numbered(docs)
+    found = _found(rows, name)
     spans = F.array_sort(F.concat("base", "terms"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
     mark = F.create_map(*(F.lit(x) for k, v in [*((k, v[2]) for k, v in KINDS.items()), ("term", TERM)] for x in (k, v)))
-    body = F.col("text").cast("string")
+    body = F.col(name["text"]).cast("string")
     text = F.aggregate(
         spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(mark, s["kind"])).alias("out")))
         .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))),
     )
-    new = F.when(F.size(spans) > 0, text).otherwise(F.col("text"))
-    return found.withColumn("text", new).select(docs.columns)
+    new = F.when(F.size(spans) > 0, text).otherwise(F.col(name["text"]))
+    return found.withColumn(name["text"], new).select(*(F.col(name[c]).alias(c) for c in docs.columns))

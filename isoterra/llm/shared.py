@@ -38,6 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed in0, in1, ..., and the new name of each, so that no other name can clash."""
+    names = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of df whose column is in ids (one distinct column of that name). ids must be a written table;
     it is broadcast only after its rows were counted, else both sides shuffle."""

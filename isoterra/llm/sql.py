@@ -62,23 +62,19 @@ b AS (
     WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(left(ltrim(p, '0'), 4) AS INT), 0) > 255)) = 0
     WHEN 'card' THEN length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda k: CASE WHEN k % 2 = 1 THEN substring(reverse(g), k, 1)::INT ELSE 2 * substring(reverse(g), k, 1)::INT - CASE WHEN substring(reverse(g), k, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
     ELSE length(g) BETWEEN 9 AND 15 END),
-sides AS (
-  SELECT r, kind || ':' || v AS entity, s, 0 AS side, greatest(s - 120, 0) AS origin, substring(t, greatest(s - 120, 0) + 1, least(s, 120)) AS c FROM b JOIN d USING (r)
-  UNION ALL SELECT r, kind || ':' || v, s, 1, e, substring(t, e + 1, 120) FROM b JOIN d USING (r)),
 runs AS (
-  SELECT r, entity, s, side, origin, right(ms[i], 64) AS w, {_PLACE} + greatest(length(ms[i]) - 64, 0) AS p
-  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT *, regexp_extract_all(c, '\p{{L}}+') AS ms, string_split_regex(c, '\p{{L}}+') AS ps FROM sides)) WHERE length(ms[i]) >= 4),
-near AS (
-  SELECT r, entity, lower(w) AS term, origin + p AS s, length(w) AS n,
-    row_number() OVER (PARTITION BY r, entity, s, side ORDER BY CASE WHEN side = 0 THEN -p ELSE p END) AS place
-  FROM runs WHERE CASE WHEN side = 0 THEN p > 0 OR origin = 0 ELSE p + length(w) < 120 END),
-seen AS (SELECT DISTINCT r, entity, term, s, n FROM near WHERE place <= 6 AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = near.r AND near.s < b.e AND b.s < near.s + near.n)),
-pairs AS (SELECT term, entity, count(DISTINCT r) AS nb FROM seen GROUP BY term, entity HAVING count(DISTINCT r) >= 2),
-ents AS (SELECT kind || ':' || v AS entity, count(DISTINCT r) AS ne FROM b GROUP BY 1),
-terms AS (SELECT term, count(DISTINCT r) AS nt FROM (SELECT r, right(unnest(regexp_extract_all(lower(t), '\p{{L}}+')), 64) AS term FROM d) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+  SELECT r, right(ms[i], 64) AS w, {_PLACE} + greatest(length(ms[i]) - 64, 0) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '\p{{L}}+') AS ms, string_split_regex(t, '\p{{L}}+') AS ps FROM d)) WHERE length(ms[i]) >= 4),
+terms AS (SELECT lower(w) AS term, count(DISTINCT r) AS nt FROM runs GROUP BY 1),
+free AS (
+  SELECT r, lower(w) AS term, s, s + length(w) AS e FROM runs
+  WHERE r IN (SELECT r FROM b) AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = runs.r AND runs.s < b.e AND b.s < runs.s + length(w))),
+has AS (SELECT DISTINCT r, kind || ':' || v AS entity FROM b),
+ents AS (SELECT entity, count(*) AS ne FROM has GROUP BY entity),
+pairs AS (SELECT term, entity, count(DISTINCT r) AS nb FROM free JOIN has USING (r) GROUP BY term, entity HAVING count(DISTINCT r) >= 2),
 total AS (SELECT count(*)::DOUBLE AS n FROM d),
 gives AS (SELECT term, entity FROM pairs JOIN ents USING (entity) JOIN terms USING (term), total WHERE log2(n / ne) > 0 AND log2(n * nb / (nt * ne)) >= 0.9 * log2(n / ne)),
-found AS (SELECT DISTINCT r, 4 AS rank, 'term' AS kind, s, s + n AS e FROM seen SEMI JOIN gives USING (term, entity)),
+found AS (SELECT DISTINCT r, 4 AS rank, 'term' AS kind, s, e FROM free JOIN has USING (r) SEMI JOIN gives USING (term, entity)),
 every AS (SELECT r, rank, kind, s, e FROM b UNION ALL SELECT * FROM found),
 lines AS (
   SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
