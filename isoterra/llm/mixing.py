@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 #: Words of a block; more where a corpus would have over 2**29 blocks, for the draws are of 32-bit populations.
 BLOCK = 128
 #: Parts of a source within which offsets are running sums, so that no source is one task.
-BUCKETS = 4096
+BUCKETS = 1 << 16
 SHARDS = 64
 
 
@@ -77,19 +77,29 @@ def _coprime(n: int, rng: np.random.Generator) -> int:
     return a
 
 
+ADDED = ("size", "source_size", "target", "taken", "pieces")
+
+
 def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """Mix documents (doc_id, source, text) to `share` of all their words, sources weighted 5, 2, 1 in code point order.
 
     Returns every input column and size, source_size, target (of its source), taken (words the mix takes of it, repeats
     counted) and pieces: array of (turn, shard, place, start, words), the runs of words that each shard takes and its order
-    in the shard, with turn, the pass over the source. A null source is a source, the last; a null text has no words and is never taken. No document is
-    taken over `most` (a whole number) times. Repeated rows are documents of their own; columns named like those added
-    are replaced.
+    in the shard, with turn, the pass over the source. A null source is a source, the last; a null text has no words and
+    is never taken. No document is taken over `most` (a whole number) times. Repeated rows are documents of their own; of
+    the input's columns those named like the added ones are replaced, any other name is kept. An empty table gives none.
     """
+    rows, name = shared.numbered(docs)
+    mixed = _mixed(rows, name, share, most, shards, seed)
+    return mixed.select(*(F.col(name[c]).alias(c) for c in docs.columns if c not in ADDED), *ADDED)
+
+
+def _mixed(docs: DataFrame, name: dict[str, str], share: float, most: float, shards: int, seed: int) -> DataFrame:
+    """The rows of numbered docs with the added columns."""
     spark = docs.sparkSession
-    added = ("size", "source_size", "target", "taken", "pieces")
-    docs = docs.drop(*added).withColumn("size", n_words(F.col("text").cast("string"))).withColumn("_source", F.col("source").cast("string"))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    doc_id, text = F.col(name["doc_id"]), F.col(name["text"]).cast("string")
+    docs = docs.withColumn("size", n_words(text)).withColumn("_source", F.col(name["source"]).cast("string"))
+    bucket = F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS))
     held = shared.written(docs.groupBy("_source", bucket.alias("_bucket")).agg(F.sum("size").alias("_held")), "mix-buckets")
     stats = held.groupBy("_source").agg(F.sum("_held").alias("words")).collect()  # a row for each source
     rows = sorted(((r["_source"], int(r["words"])) for r in stats), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
@@ -98,14 +108,14 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards:
     block = max(BLOCK, -(-sum(sizes) // (1 << 28)))
     rng = np.random.default_rng(seed)
     plan = []
-    for i, ((name, n), target) in enumerate(zip(rows, wanted, strict=True)):
+    for i, ((source, n), target) in enumerate(zip(rows, wanted, strict=True)):
         blocks, passes = -(-n // block), int(target // n) if n else 0
         rest = round(target) - passes * n if n else 0
         steps = [_coprime(blocks, rng) if blocks else 1 for _ in range(int(most) + 1)]
         moves = [int(rng.integers(0, blocks)) if blocks else 0 for _ in range(int(most) + 1)]
         if blocks and (steps[passes] * (blocks - 1) + moves[passes]) % blocks < rest // block:
             rest += blocks * block - n  # the stream's last block is drawn, and is shorter
-        plan.append([i, name, n, float(target), blocks, passes, rest // block, rest % block, steps, moves])
+        plan.append([i, source, n, float(target), blocks, passes, rest // block, rest % block, steps, moves])
     quotas = split_quotas([p[5] * p[4] + p[6] + (p[7] > 0) for p in plan], shards, seed)
     plan = [[*p, np.cumsum(q).tolist()] for p, q in zip(plan, quotas, strict=True)]
     kind = "_no int, _name string, source_size long, target double, _blocks long, _passes int, _whole long, _part long, _steps array<long>, _moves array<long>, _bounds array<long>"
@@ -114,11 +124,11 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards:
         sources = F.broadcast(sources)
 
     placed = docs.join(sources, F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_bucket", bucket)
-    placed = placed.withColumn("_tie", F.xxhash64("text"))
+    placed = placed.withColumn("_tie", F.xxhash64(text))
     heads = held.join(sources.select("_no", "_name"), F.col("_source").eqNullSafe(F.col("_name"))).select("_no", "_bucket", "_held")
     before = Window.partitionBy("_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("_head", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
-    within = Window.partitionBy("_no", "_bucket").orderBy("doc_id", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_no", "_bucket").orderBy(doc_id, "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.join(heads, ["_no", "_bucket"]).withColumn("_at", F.col("_head") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
     def drawn(k: Column) -> Column:
@@ -138,23 +148,25 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, shards:
     pieces = F.when(F.col("size") > 0, F.flatten(F.transform(blocks, drawn))).otherwise(F.expr("cast(array() as array<struct<turn:int,shard:int,place:bigint,start:bigint,words:bigint>>)"))
     placed = placed.withColumn("pieces", pieces)
     placed = placed.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["words"]))
-    return placed.drop("_source", "_no", "_name", "_blocks", "_passes", "_whole", "_part", "_steps", "_moves", "_bounds", "_bucket", "_tie", "_head", "_at")
-
+    return placed.select(*name.values(), *ADDED)
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a row for each document and pass that takes words of it, with docs' columns.
+    """The mix as documents: a row for each document and pass that takes words of it, with docs' columns as they were.
 
     Where a pass takes the whole document its text is as it was, else the words taken, joined by one space. n_chars, if
-    there is such a column, is the length of the new text."""
-    mixed = mix_sources(docs)
-    turns = F.explode(F.array_distinct(F.transform("pieces", lambda p: p["turn"]))).alias("_turn")
-    each = mixed.select("*", turns).withColumn("_own", F.expr("filter(pieces, p -> p.turn = _turn)"))
-    whole = F.aggregate("_own", F.lit(0).cast("long"), lambda s, p: s + p["words"]) == F.col("size")
-    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
-    runs = F.array_sort(F.transform("_own", lambda p: F.struct(p["start"], p["words"])))
+    there is such a column, is the length of the new text. A document without words (null and empty texts) is in no pass
+    and has no row; repeated rows are documents each; an empty table gives none; no column's name matters."""
+    rows, name = shared.numbered(docs)
+    mixed = _mixed(rows, name, 1.5, 2.0, SHARDS, 17)
+    turns = F.explode(F.array_distinct(F.transform("pieces", lambda p: p["turn"]))).alias("turn")
+    each = mixed.select("*", turns).withColumn("own", F.expr("filter(pieces, p -> p.turn = turn)"))
+    whole = F.aggregate("own", F.lit(0).cast("long"), lambda s, p: s + p["words"]) == F.col("size")
+    text = F.col(name["text"])
+    words = F.regexp_extract_all(text.cast("string"), F.lit(WORD), F.lit(0))
+    runs = F.array_sort(F.transform("own", lambda p: F.struct(p["start"], p["words"])))
     some = F.array_join(F.flatten(F.transform(runs, lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    each = each.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
-    if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return each.select(docs.columns)
+    each = each.withColumn(name["text"], F.when(whole, text).otherwise(some))
+    if "n_chars" in name:
+        each = each.withColumn(name["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return each.select(*(F.col(name[c]).alias(c) for c in docs.columns))
