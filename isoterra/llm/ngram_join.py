@@ -378,19 +378,24 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k:
 def keep_one(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; of rows with the same doc_id one.
 
-    All columns stay as they are, and so do rows that link with nothing, those without doc_id among them."""
+    All columns stay as they are, whatever their names, and so do rows that link with nothing, those without doc_id and
+    null and empty texts among them; an empty table gives an empty one."""
     found = shared.written(ngram_jaccard_components(docs, num, den, k), "ngram-found").where("doc_id is not null")
-    rows = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    gone = shared.written(rows.where("component_id <> doc_id").select("doc_id"), "ngram-gone")
-    twice = shared.written(rows.where("component_id = doc_id and n > 1").select("doc_id"), "ngram-twice")
-    few = gone.count() <= shared.BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    if twice.isEmpty():
-        return left.select(docs.columns)
-    few = twice.count() <= shared.BROADCAST_ROWS
-    small = F.broadcast(twice) if few else twice
-    once = left.join(small, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(small, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    rows, name = shared.numbered(docs)
+    own = name["doc_id"]
+    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    gone = shared.written(ids.where("component_id <> id").select("id"), "ngram-gone")
+    twice = shared.written(ids.where("component_id = id and n > 1").select("id"), "ngram-twice")
+
+    def held(x: DataFrame) -> DataFrame:
+        return F.broadcast(x) if x.count() <= shared.BROADCAST_ROWS else x
+
+    left = rows.join(held(gone), F.col(own) == F.col("id"), "left_anti")
+    if not twice.isEmpty():
+        small = held(twice)
+        once = left.join(small, F.col(own) == F.col("id"), "left_semi").dropDuplicates([own])
+        left = left.join(small, F.col(own) == F.col("id"), "left_anti").union(once)
+    return left.toDF(*docs.columns)
 
 
 def _hot_shingles(sized: DataFrame):

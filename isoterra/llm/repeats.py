@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -266,12 +267,12 @@ def _remove_batches(window: int):
 
     def compiled(passages: list) -> tuple[ahocorasick.Automaton, dict[bytes, int], list]:
         """The automaton, the words' numbers, and for each key its size and the places that it was read at."""
-        number: dict[bytes, int] = {}
+        number: dict[bytes, int] = defaultdict(int)  # other words are 0
         known: dict[tuple, int] = {}
         keys: list[tuple[int, list]] = []
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for p in {(p["passage"], p["crow"], p["cat"], p["sure"]) for ps in passages for p in ps or ()}:
-            code = [number.setdefault(w, len(number) + 1) for w in p[0].split()]
+            code = [number[w] or number.__setitem__(w, len(number)) or number[w] for w in p[0].split()]
             for x in range(0, len(code) - window + 1, 4 * window):  # pieces that share a window's length
                 piece = tuple(code[x : x + 5 * window])
                 if piece not in known:
@@ -291,8 +292,7 @@ def _remove_batches(window: int):
         for row, ws in zip(b.column("row").to_pylist(), texts, strict=True):
             gone: list[tuple[int, int]] = []
             if len(automaton) and len(ws) >= window:
-                number_of = number.get
-                for end, key in automaton.iter(tuple([number_of(w, 0) for w in ws])):
+                for end, key in automaton.iter(tuple(map(number.__getitem__, ws))):
                     size, places = keys[key]
                     at = end + 1 - size
                     if any(crow != row or cat != at or sure for crow, cat, sure in places):

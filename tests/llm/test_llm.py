@@ -150,6 +150,58 @@ def test_mixing(spark, corpus):
     assert mixing.mix_sources(d.where("false")).count() == 0
 
 
+def test_mixing_is_the_tree_s_quotas_word_for_word(spark, corpus):
+    rows = [(i, t) for i, t in corpus if i is not None]
+    out = mixing.mix_sources(docs_of(spark, rows, {110: None}), shards=4, seed=5).collect()
+    by_source = {}
+    for r in out:
+        by_source.setdefault(r.source, []).append(r)
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    blocks = []
+    for s in order:
+        n, target = by_source[s][0].source_size, by_source[s][0].target
+        want, whole = round(target), -(-n // mixing.BLOCK)
+        seen = {}
+        for r in by_source[s]:
+            spans = {}
+            for p in r.pieces:
+                assert 0 <= p.start and p.start + p.words <= r.size and p.words > 0
+                spans.setdefault(p.turn, []).append((p.start, p.start + p.words))
+                seen.setdefault((p.turn, p.place), set()).add(p.shard)
+            for turn, x in spans.items():
+                x.sort()
+                assert all(a[1] <= b[0] for a, b in zip(x, x[1:]))
+                if turn < want // max(n, 1):  # a whole pass takes every word
+                    assert sum(z - a for a, z in x) == r.size
+            assert r.taken == sum(z - a for x in spans.values() for a, z in x)
+        assert abs(sum(r.taken for r in by_source[s]) - target) <= 1
+        assert all(len(x) == 1 for x in seen.values())  # a block goes to one shard
+        blocks.append([sum(x == {shard} for x in seen.values()) for shard in range(4)])
+        assert whole * (want // max(n, 1)) <= len(seen) <= whole * (want // max(n, 1) + 1)
+    assert np.array(blocks).tolist() == mixing.split_quotas([sum(b) for b in blocks], 4, 5).tolist()
+
+
+def test_columns_with_clashing_names_keep_their_values(spark):
+    kind = "doc_id long, text string, source string, n_chars long, size long, base string, terms string, pieces int, _key int, _no int, row int, turn int, `a.b` int, taken string"
+    rows = [(i, f"w{i} mail me@self.org and more words of it {i}", "s", 1, 7, "b", "t", 3, 4, 5, 6, 8, 9, "x") for i in range(6)] + [(9, None, None, *[None] * 11)]
+    d = spark.createDataFrame(rows, kind)
+    others = [c for c in d.columns if c not in ("text", "n_chars")]
+    for f in (private.sanitise, mixing.mixed_rows, ngram_join.keep_one):
+        out = f(d)
+        assert out.columns == d.columns
+        for r in out.collect():
+            assert r.doc_id == 9 or [r[c] for c in others] == [dict(zip(d.columns, rows[r.doc_id], strict=True))[c] for c in others]
+    mixed = mixing.mix_sources(d)
+    assert mixed.columns == [*(c for c in d.columns if c not in mixing.ADDED), *mixing.ADDED] and mixed.count() == 7
+    assert private.find_private(d).columns == [*(c for c in d.columns if c not in ("base", "terms")), "base", "terms"]
+
+
+def test_private_repeated_rows_count_each(spark):
+    rows = [(1, "Quixotic Zanzibar mail me@self.org"), (1, "Quixotic Zanzibar mail me@self.org"), (2, "nothing here"), (3, None)]
+    got = [r.spans for r in private.digests(private.find_private(docs_of(spark, rows))).collect() if r.doc_id == 1]
+    assert got == ["term:0:8,term:9:17,term:18:22,email:23:34"] * 2
+
+
 def test_tokens_round_trip(spark, corpus):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -256,6 +308,28 @@ def test_packing(spark, corpus):
     assert packing.pack(docs_of(spark, corpus).where("false")).count() == 0
 
 
+def test_packing_is_brute_force():
+    rng = np.random.default_rng(3)
+    for sizes in (rng.integers(1, 513, 300), np.full(40, 7), np.array([512, 1, 511]), np.array([], np.int64)):
+        caps = (64, 128, 512)
+        left = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        bins, got = [], {}
+        for k, i in enumerate(left):
+            n = int(sizes[i])
+            room = [(cap - fill, b) for b, (cap, fill) in enumerate(bins) if cap - fill >= n]
+            if room:
+                b = min(room)[1]
+            else:
+                after = [int(sizes[j]) for j in left[k + 1 :]]
+                b = len(bins)
+                bins.append([min((c for c in caps if c >= n), key=lambda c: packing.cost(c) / (n + min(c - n, sum(x for x in after if x <= c - n)))), 0])
+            got[i] = (b, bins[b][1])
+            bins[b][1] += n
+        bin_of, offset, cap = packing.best_fit(np.asarray(sizes, np.int64), caps)
+        assert [(int(b), int(o)) for b, o in zip(bin_of, offset)] == [got[i] for i in range(len(sizes))]
+        assert [int(c) for c in cap] == [min(c for c in caps if c >= bins[b][1]) for b in bin_of.tolist()]
+
+
 def labelled(spark, n=400):
     rng = random.Random(8)
     texts, labels = [], []
@@ -404,6 +478,30 @@ def test_nearest_whatever_the_norms(spark, norms):
     assert hit / 2000 >= 0.94
 
 
+def test_nearest_over_shards_blocks_and_magnitudes(spark, monkeypatch):
+    for name, value in (("SHARD", 700), ("BLOCK", 5), ("LARGE", 16), ("WHOLE", 100)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(2000, 16))
+    x[500:520] *= 1e-30
+    x[40] *= 1e40
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(data, data.where("vec_id % 40 = 0"), 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hit = 0
+    for q in range(0, 2000, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        rows = sorted(got[q])
+        assert [r[0] for r in rows] == list(range(1, 11)) and all(math.isclose(r[2], s[r[1]], rel_tol=1e-9) for r in rows)
+        hit += len({r[1] for r in rows} & set(np.argsort(-s)[:10].tolist()))
+    assert hit / 500 >= 0.9
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, -1e300]), (2, [1.0, 1e-300]), (3, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(huge, huge.where("vec_id = 0"), 3).orderBy("rank").collect()] == [(1, math.inf), (2, 1e300), (3, -math.inf)]
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 8)) * 2
