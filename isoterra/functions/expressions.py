@@ -24,16 +24,24 @@ def loosely_numeric(text: Column) -> Column:
 
 
 def format_ele(v: Column) -> Column:
-    """Three places, half to even, without a trailing .0; no text for values that are not finite."""
-    r = F.bround(v, 3)
-    return F.when(r == F.floor(r), F.floor(r).cast("string")).otherwise(r.cast("string"))
+    """Three places, half to even, as plain decimal digits without a trailing .0; a value that is not finite stops the
+    query, a null has no text."""
+    v = v.cast("double")
+    digits = F.regexp_replace(F.bround(v, 3).cast("decimal(38,3)").cast("string"), r"\.?0+$", "")
+    wrong = F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(v.isNull(), F.lit(None).cast("string")).when(wrong, F.raise_error(F.concat(v.cast("string"), F.lit(" is not an elevation")))).otherwise(digits)
+
+
+#: Fixed pattern: a height as people write it (sign, thousands in commas, places, unit), and the units that are feet.
+HEIGHT = r"(?i)^\s*(-?\d{1,3}(,\d{3})+|-?\d+)(\.\d+)?\s*(m|metres|meters|ft|feet|')?\s*$"
+FEET = ["ft", "feet", "'"]
 
 
 def height_text(text: Column) -> Column:
-    """Metres of a height as people write it: feet are rounded to the metre, half to even."""
-    bare = F.lower(F.regexp_replace(F.trim(text), ",", ""))
-    number = F.regexp_extract(bare, r"^([0-9]+(\.[0-9]+)?) ?(m|ft|feet)?$", 1).try_cast("double")
-    return F.when(bare.rlike(r"^[0-9]+(\.[0-9]+)? ?(ft|feet)$"), F.rint(number * 0.3048)).otherwise(number)
+    """Metres of a height as people write it, null for any other text: feet are rounded to the metre, half to even."""
+    number = F.concat(F.regexp_replace(F.regexp_extract(text, HEIGHT, 1), ",", ""), F.regexp_extract(text, HEIGHT, 3)).try_cast("double")
+    feet = F.lower(F.regexp_extract(text, HEIGHT, 4)).isin(FEET)
+    return F.when(text.rlike(HEIGHT), F.when(feet, F.rint(number * 0.3048)).otherwise(number))
 
 
 def orient(ax, ay, bx, by, cx, cy) -> Column:
@@ -84,13 +92,18 @@ def square_lon(name: Column) -> Column:
     return F.when(F.substring(name, 4, 1) == "W", -n).otherwise(n)
 
 
+#: Figures that a span is rounded up to, times a power of ten.
+NICE = (1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0)
+
+
 def nice_span(v: Column, least: float = 5.0) -> Column:
-    """v rounded up to 1, 1.5, 2, 3, 4, 5, 7.5 or 10 times a power of ten, and at least `least`."""
+    """v, to a tenth, rounded up to one of NICE times a power of ten, and at least `least`."""
+    v = F.bround(v, 1)
     base = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(v, F.lit(1e-9)))))
-    up = F.lit(10.0)
-    for step in (7.5, 5.0, 4.0, 3.0, 2.0, 1.5, 1.0):
-        up = F.when(v <= base * step * (1 + 1e-12), F.lit(step)).otherwise(up)
-    return F.greatest(up * base, F.lit(least))
+    up = F.lit(NICE[-1])
+    for step in NICE[-2::-1]:
+        up = F.when(v <= base * step, F.lit(step)).otherwise(up)
+    return F.when(v.isNull(), F.lit(None)).when(v <= least, F.lit(least)).otherwise(up * base)
 
 
 def mercator_x(lon: Column) -> Column:

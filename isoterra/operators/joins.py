@@ -150,15 +150,17 @@ def sample_cells(points: DataFrame, cell: DataFrame, west: float, north: float,
 
 
 def doubled_ways(points: DataFrame, segs: DataFrame, reach: float, size: float = 2000.0) -> DataFrame:
-    """way_id, other: ways every point of which lies within reach of one other way of the same level."""
+    """way_id of ways of one's own (negative; points: way_id, seq, ele, x, y) every point of which lies within reach of
+    upstream's (positive; segs) of the same level, of any of them together. A way without points has no row."""
+    points, segs = points.where("way_id < 0"), segs.where("way_id > 0")
     p = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size)).alias("p")
     grown = [F.least("ax", "bx") - reach, F.least("ay", "by") - reach, F.greatest("ax", "bx") + reach, F.greatest("ay", "by") + reach]
     s = cells(segs, *grown, size).alias("s")
-    met = p.join(s, (F.col("p.cx") == F.col("s.cx")) & (F.col("p.cy") == F.col("s.cy")) & (F.col("p.way_id") != F.col("s.way_id")) & (F.col("p.ele") == F.col("s.ele")))
+    met = p.join(s, (F.col("p.cx") == F.col("s.cx")) & (F.col("p.cy") == F.col("s.cy")) & (F.col("p.ele") == F.col("s.ele")))
     near = met.where(X.point_segment_distance(F.col("p.x"), F.col("p.y"), *_seg("s")) <= reach)
-    hits = near.groupBy(F.col("p.way_id").alias("way_id"), F.col("s.way_id").alias("other")).agg(F.countDistinct("p.seq").alias("n"))
+    hits = near.select(F.col("p.way_id").alias("way_id"), F.col("p.seq").alias("seq")).distinct().groupBy("way_id").agg(F.count("*").alias("n"))
     sizes = points.groupBy("way_id").agg(F.count("*").alias("n"))
-    return hits.join(sizes, ["way_id", "n"]).select("way_id", "other")
+    return hits.join(sizes, ["way_id", "n"]).select("way_id")
 
 
 def odd_crossings(steps: DataFrame, segs: DataFrame, size: float = 2000.0) -> DataFrame:
@@ -178,15 +180,21 @@ def odd_crossings(steps: DataFrame, segs: DataFrame, size: float = 2000.0) -> Da
 
 
 def rays(points: DataFrame, segs: DataFrame, reach: float, least: int = 6, size: float = 2000.0) -> DataFrame:
-    """point_id, levels: levels of the contours that eight rays meet first within reach, where at least `least` meet one."""
+    """point_id, n, levels, low, high: levels of the contours that eight rays meet first within reach, where at least
+    `least` meet one. A contour that begins on a ray, or lies under its end, is met; the ray's own beginning is not."""
     r = 0.7071067811865476
     ways = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for i, (x, y) in enumerate(((1, 0), (r, r), (0, 1), (-r, r), (-1, 0), (-r, -r), (0, -1), (r, -r))))))
     p = points.select("point_id", F.col("x").alias("ax"), F.col("y").alias("ay"), ways.alias("w"))
     p = p.select("point_id", "ax", "ay", F.col("w.i").alias("ray"), (F.col("ax") + F.col("w.x") * reach).alias("bx"), (F.col("ay") + F.col("w.y") * reach).alias("by"))
     a = cells(p, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("a")
     b = cells(segs, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("b")
-    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))).where(X.strictly_cross(_seg("a"), _seg("b"), 0.0))
-    first = met.groupBy(F.col("a.point_id").alias("point_id"), F.col("a.ray").alias("ray")).agg(F.min(F.struct(X.crossing_parameter(_seg("a"), _seg("b")).alias("t"), F.col("b.ele").alias("ele"))).alias("h"))
+    ex, ey = F.col("b.bx") - F.col("b.ax"), F.col("b.by") - F.col("b.ay")
+    rx, ry = F.col("a.bx") - F.col("a.ax"), F.col("a.by") - F.col("a.ay")
+    fx, fy = F.col("b.ax") - F.col("a.ax"), F.col("b.ay") - F.col("a.ay")
+    den = rx * ey - ry * ex
+    along, on = (fx * ey - fy * ex) / F.nullif(den, F.lit(0.0)), (fx * ry - fy * rx) / F.nullif(den, F.lit(0.0))
+    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))).where((along > 0) & (along <= 1) & (on >= 0) & (on <= 1))
+    first = met.groupBy(F.col("a.point_id").alias("point_id"), F.col("a.ray").alias("ray")).agg(F.min(F.struct(along.alias("t"), F.col("b.ele").alias("ele"))).alias("h"))
     return first.groupBy("point_id").agg(F.count("*").alias("n"), F.countDistinct("h.ele").alias("levels"), F.min("h.ele").alias("low"), F.max("h.ele").alias("high")).where(F.col("n") >= least)
 
 
@@ -205,7 +213,37 @@ def gaps(ends: DataFrame, reach: float) -> DataFrame:
     return both.where("way_id < other AND coalesce(name, other_name, '') = coalesce(other_name, name, '')").select("way_id", "end", "other", "other_end")
 
 
-def held_lakes(lakes: DataFrame, inside: DataFrame, levels: DataFrame) -> DataFrame:
-    """ring_id of lakes (ring_id, ele) with a level and nothing at another level inside (inside: point_id, ring_id; levels: point_id, ele)."""
-    other = inside.join(levels.select("point_id", F.col("ele").alias("_e")), "point_id").join(lakes, "ring_id").where("_e <> ele").select("ring_id").distinct()
-    return lakes.where("ele IS NOT NULL").join(other, "ring_id", "left_anti").select("ring_id", "ele")
+def lines_in_rings(line: DataFrame, segs: DataFrame, edges: DataFrame, ring_nodes: DataFrame, size: float = 2000.0) -> DataFrame:
+    """(ring_id, way_id) of contours in bodies: with a vertex inside (line: way_id, seq, node_id, x, y) that is not one of the
+    ring's own nodes (ring_nodes: ring_id, node_id), or a segment that crosses an edge (edges: ring_id, ax, ay, bx, by). A
+    body's own outline (way_id = ring_id) is no contour in it."""
+    points = line.select(F.struct("way_id", "seq", "node_id").alias("point_id"), "x", "y")
+    inner = inside_rings(points, edges, size).select("ring_id", F.col("point_id.way_id").alias("way_id"), F.col("point_id.node_id").alias("node_id"))
+    inner = inner.join(ring_nodes.select("ring_id", "node_id").distinct(), ["ring_id", "node_id"], "left_anti").select("ring_id", "way_id")
+    a = cells(segs, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("a")
+    b = cells(edges, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("b")
+    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))).where(X.strictly_cross(_seg("a"), _seg("b"), 0.0))
+    cross = met.select(F.col("b.ring_id").alias("ring_id"), F.col("a.way_id").alias("way_id"))
+    return inner.union(cross).where("way_id <> ring_id").distinct()
+
+
+def spanned(inside: DataFrame, levels: DataFrame) -> DataFrame:
+    """ring_id, levels, low, high of bodies with contours in them (inside: ring_id, way_id; levels: way_id, ele)."""
+    j = inside.join(levels.select("way_id", "ele"), "way_id")
+    return j.groupBy("ring_id").agg(F.countDistinct("ele").alias("levels"), F.min("ele").alias("low"), F.max("ele").alias("high"))
+
+
+def held_lakes(lakes: DataFrame, inside: DataFrame) -> DataFrame:
+    """ring_id, ele of lakes (ring_id, ele) with a level and no contour in them (inside: ring_id, way_id)."""
+    return lakes.where("ele IS NOT NULL").join(inside.select("ring_id").distinct(), "ring_id", "left_anti").select("ring_id", "ele")
+
+
+def forks(line: DataFrame) -> DataFrame:
+    """node_id, ele, branches, ways: nodes (line: way_id, seq, node_id, ele) at which ways of one level meet with an odd
+    number of branches, three or more. A way has one branch at its end, two where it passes; a ring has two at any node."""
+    w = Window.partitionBy("way_id")
+    p = line.withColumn("_n", F.max("seq").over(w)).withColumn("_a", F.min_by("node_id", "seq").over(w)).withColumn("_b", F.max_by("node_id", "seq").over(w))
+    p = p.withColumn("_ring", (F.col("_n") > 1) & (F.col("_a") == F.col("_b"))).where("NOT (_ring AND seq = _n)")
+    n = F.when(F.col("_ring"), 2).otherwise((F.col("seq") > 0).cast("int") + (F.col("seq") < F.col("_n")).cast("int"))
+    g = p.groupBy("node_id", "ele").agg(F.sum(n).alias("branches"), F.countDistinct("way_id").alias("ways"))
+    return g.where("ways > 1 AND branches % 2 = 1 AND branches >= 3")

@@ -22,10 +22,22 @@ def neighbourhood(cell: DataFrame, value: str = "v") -> DataFrame:
     return c
 
 
-def slope(cell: DataFrame, size: float) -> DataFrame:
-    """slope in degrees: central differences, one-sided at the edges."""
+#: Fixed value: radius of the sphere of the Mercator projection, in metres.
+SPHERE = 6378137.0
+
+
+def ground_size(size: float, north: float, row: Column) -> Column:
+    """Metres on the ground of a Mercator cell `size` wide, in a row of a raster whose top lies at `north`: a cell narrows
+    by the cosine of its latitude."""
+    y = F.lit(north) - (row + 0.5) * size
+    return F.cos(F.atan(F.sinh(y / SPHERE))) * abs(size)
+
+
+def slope(cell: DataFrame, size: float, north: float | None = None) -> DataFrame:
+    """slope in degrees: central differences, one-sided at the edges. With `north`, cells are a Mercator raster's."""
     c = neighbourhood(cell)
     v = F.col("v")
+    size = size if north is None else ground_size(size, north, F.col("row"))
     dx = F.when(F.col("w").isNull(), F.col("e") - v).when(F.col("e").isNull(), v - F.col("w")).otherwise((F.col("e") - F.col("w")) / 2) / size
     dy = F.when(F.col("n").isNull(), F.col("s") - v).when(F.col("s").isNull(), v - F.col("n")).otherwise((F.col("s") - F.col("n")) / 2) / size
     return c.select("row", "col", F.degrees(F.atan(F.hypot(dx, dy))).alias("slope"))
@@ -156,7 +168,8 @@ def land_clamp(cell: DataFrame, burned: DataFrame, water: DataFrame, dry: DataFr
 
 
 def zone_stats(cell: DataFrame) -> DataFrame:
-    """Shares of all cells that are sea, low land (under 10 m) and land, cut-off least and most, mean, cells below 0."""
+    """Percentages of all cells that are sea (0), low land (under 10 m), land (above 0) and below 0; cut-off least and
+    most; mean. An empty raster has nulls."""
     n = F.count("*")
 
     def share(c: Column) -> Column:
@@ -164,8 +177,8 @@ def zone_stats(cell: DataFrame) -> DataFrame:
 
     v = F.col("v")
     return cell.agg(
-        share(v == 0).alias("sea"), share((v > 0) & (v < 10)).alias("low"), share(v >= 10).alias("land"),
-        F.min(v).cast("int").alias("least"), F.max(v).cast("int").alias("most"), F.avg(v).alias("mean"), F.sum(F.when(v < 0, 1).otherwise(0)).alias("below"),
+        share(v == 0).alias("sea"), share((v > 0) & (v < 10)).alias("low"), share(v > 0).alias("land"),
+        F.min(v).cast("int").alias("least"), F.max(v).cast("int").alias("most"), F.avg(v).alias("mean"), share(v < 0).alias("below"),
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from isoterra.operators import graph
+
 
 def segments(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, seq, ax, ay, bx, by of consecutive points (keys, seq, x, y) of a way."""
@@ -53,11 +55,12 @@ def grade_between(known: DataFrame, vertices: DataFrame, key: str) -> tuple[Data
 
 
 def densify(segs: DataFrame, step: float, up: bool = False) -> DataFrame:
-    """Points i of k on every segment at most about `step` long: k is the whole part of length / step (or the next
-    whole number, `up`), and at least 1."""
+    """Points of lines cut into steps: i of k on every segment, where k is the whole part of length / step (or the next
+    whole number, `up`), and at least 1; and the first point of each way, i = 0 of its first segment."""
     n = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / step
     k = F.greatest(F.lit(1), (F.ceil(n) if up else F.floor(n)).cast("int"))
-    each = segs.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k"))))
+    start = F.when(F.col("seq") == F.min("seq").over(Window.partitionBy("way_id")), 0).otherwise(1)
+    each = segs.withColumn("k", k).withColumn("_from", start).withColumn("i", F.explode(F.sequence("_from", F.col("k")))).drop("_from")
     t = F.col("i") / F.col("k")
     return each.withColumn("x", F.col("ax") + (F.col("bx") - F.col("ax")) * t).withColumn("y", F.col("ay") + (F.col("by") - F.col("ay")) * t)
 
@@ -79,6 +82,33 @@ def split_ways(way_node: DataFrame, limit: int) -> DataFrame:
     return way_node.join(cuts, "way_id").select("way_id", "seq", "node_id", both.alias("piece"))
 
 
+def contour_pieces(points: DataFrame, limit: int = 2000, first_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Ways of at most `limit` nodes of contours (line_id, seq from 0, ele, lon, lat), and their nodes, with ids from first_id
+    on: node (node_id, lon, lat) and way (way_id, ele to the metre, refs). The place at a cut is the last node of a piece and
+    the first of the next, each with an id of its own; ids rise with the line and its places. Lines of one point are none.
+
+    Ids need the numbers of all before: they are counted by line, so that the running sum is over lines, by ranges."""
+    step = limit - 1
+    last = points.groupBy("line_id").agg(F.max("seq").alias("_last")).where("_last > 0")
+    n = last.withColumn("pieces", F.ceil(F.col("_last") / step).cast("long")).withColumn("places", F.col("_last") + F.col("pieces"))
+    part = graph._ready(n.repartitionByRange("line_id").withColumn("_p", F.spark_partition_id()))
+    sums = part.groupBy("_p").agg(F.sum("pieces").alias("_a"), F.sum("places").alias("_b"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_p", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_a"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b"))
+    inner = Window.partitionBy("_p").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
+    base = part.join(F.broadcast(sums), "_p").select(
+        "line_id", "_last", (F.col("_a") + F.coalesce(F.sum("pieces").over(inner), F.lit(0))).alias("_way"), (F.col("_b") + F.coalesce(F.sum("places").over(inner), F.lit(0))).alias("_node")
+    )
+    at = F.floor(F.col("seq") / step)
+    both = (F.col("seq") % step == 0) & (F.col("seq") > 0) & (F.col("seq") < F.col("_last"))
+    at = F.when((F.col("seq") == F.col("_last")) & (F.col("seq") % step == 0), at - 1).otherwise(at)
+    each = points.join(base, "line_id").withColumn("piece", F.explode(F.when(both, F.array(at - 1, at)).otherwise(F.array(at))))
+    each = each.withColumn("node_id", first_id + F.col("_node") + F.col("seq") + F.col("piece"))
+    node = each.select("node_id", "lon", "lat")
+    way = each.groupBy((first_id + F.col("_way") + F.col("piece")).alias("way_id")).agg(F.first(F.rint("ele")).cast("long").alias("ele"), F.array_sort(F.collect_list("node_id")).alias("refs"))
+    return node, way
+
+
 def length_and_area(points: DataFrame, key: str) -> DataFrame:
     """key, length, signed area of the ring that closes the line."""
     w = Window.partitionBy(key).orderBy("seq")

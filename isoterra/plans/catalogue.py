@@ -42,13 +42,18 @@ def c2_loosely_numeric(t):
     return t.way().where(X.loosely_numeric(F.col("ele_text"))).groupBy("ele_text").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT CAST(CAST(ele AS BIGINT) AS VARCHAR) AS ele_text FROM way WHERE ele IS NOT NULL")
+@query(r"""SELECT DISTINCT v, regexp_replace(printf('%.3f', v), '\.?0+$', '') AS ele_text
+ FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_extendedprice * 1000 ELSE l_quantity + (l_partkey % 1000) / 1000.0 END AS v FROM lineitem)""", bare=True)
 def c3_format_ele(t):
-    return t.way().where("ele IS NOT NULL").select(X.format_ele(F.col("ele")).alias("ele_text")).distinct()
+    v = "CASE WHEN l_orderkey % 2 = 0 THEN l_extendedprice * 1000 ELSE l_quantity + (l_partkey % 1000) / 1000D END AS v"
+    return t.table("lineitem").selectExpr(v).distinct().select("v", X.format_ele(F.col("v")).alias("ele_text"))
 
 
-@query("""SELECT ele_text, CASE WHEN regexp_matches(lower(trim(ele_text)), '^[0-9,]+(\\.[0-9]+)? ?(ft|feet)$') THEN round_even(try_cast(regexp_extract(replace(trim(ele_text), ',', ''), '^[0-9.]+') AS DOUBLE) * 0.3048, 0)
- WHEN regexp_matches(lower(trim(ele_text)), '^[0-9]+(\\.[0-9]+)? ?m?$') THEN try_cast(trim(ele_text) AS DOUBLE) END AS metres, count(*) AS n FROM way GROUP BY 1, 2""")
+HEIGHT_SQL = X.HEIGHT.replace("'", "''")
+
+
+@query(f"""SELECT ele_text, CASE WHEN regexp_matches(ele_text, '{HEIGHT_SQL}') THEN CASE WHEN lower(regexp_extract(ele_text, '{HEIGHT_SQL}', 4)) NOT IN ('', 'm', 'metres', 'meters') THEN round_even(m * 0.3048, 0) ELSE m END END AS metres, count(*) AS n
+ FROM (SELECT ele_text, try_cast(replace(regexp_extract(ele_text, '{HEIGHT_SQL}', 1), ',', '') || regexp_extract(ele_text, '{HEIGHT_SQL}', 3) AS DOUBLE) AS m FROM way) GROUP BY 1, 2""")
 def a12_height_text(t):
     return t.way().groupBy("ele_text", X.height_text(F.col("ele_text")).alias("metres")).agg(F.count("*").alias("n"))
 
@@ -114,7 +119,7 @@ def a27_square_names(t):
     return t.way().select("square").distinct().select("square", X.square_lat(F.col("square")).alias("lat"), X.square_lon(F.col("square")).alias("lon"))
 
 
-@query("""SELECT square, count(*) AS files, count(*) FILTER (way_id % 2 = 0) AS compressed FROM way WHERE way_id % 50 < 2 GROUP BY square HAVING count(*) > 1""")
+@query("""SELECT square, count(*) AS files, count(*) FILTER (way_id % 2 = 0) AS compressed FROM way GROUP BY square HAVING count(*) > 1""")
 def a3_duplicate_squares(t):
     from isoterra.sources.listing import duplicates, squares_of
 
@@ -312,9 +317,13 @@ def d20_sample_raster(t):
     return joins.sample_cells(p, t.cell(), 86.0, 23.0, 0.0625).select("node_id", "v")
 
 
-@query(NEAR_SQL.format(op="=").replace("- 20", "- 400").replace("+ 20)", "+ 400)") + f", n AS (SELECT way_id, count(*) AS n FROM line GROUP BY way_id) SELECT wp AS way_id, nr.way_id AS other FROM nr JOIN n ON n.way_id = wp WHERE {DIST_SQL} <= 400 GROUP BY wp, nr.way_id, n.n HAVING count(DISTINCT sp) = n.n")
+_SIGNED = "CASE WHEN way_id % 2 = 1 THEN -way_id ELSE way_id END"
+
+
+@query(NEAR_SQL.format(op="=").replace("- 20", "- 400").replace("+ 20)", "+ 400)") + f", n AS (SELECT way_id, count(*) AS n FROM line GROUP BY way_id) SELECT -wp AS way_id FROM nr JOIN n ON n.way_id = wp WHERE wp % 2 = 1 AND nr.way_id % 2 = 0 AND nr.way_id > 0 AND {DIST_SQL} <= 400 GROUP BY wp, n.n HAVING count(DISTINCT sp) = n.n")
 def d21_doubled_ways(t):
-    return joins.doubled_ways(xy(t.line()), t.segment(), 400.0)
+    signed = lambda df: df.withColumn("way_id", F.expr(_SIGNED))
+    return joins.doubled_ways(signed(xy(t.line())), signed(t.segment()), 400.0)
 
 
 # --- lines --------------------------------------------------------------------------------------------------------
@@ -371,14 +380,14 @@ def g5_rejected_spans(t):
     return rejected.groupBy("way_id").agg(F.count("*").alias("rejected"), F.round(F.sum(F.col("d1") - F.col("d0")), 2).alias("metres"))
 
 
-@query("SELECT way_id, sum(greatest(1, CAST(floor(sqrt(power(bx - ax, 2) + power(ey - ay, 2)) / 300) AS INT)))::BIGINT AS points FROM seg GROUP BY way_id")
+@query("SELECT way_id, seq, i, CAST(floor((ax + (bx - ax) * (i::DOUBLE / k)) * 100) AS BIGINT) AS x_cm, CAST(floor((ay + (ey - ay) * (i::DOUBLE / k)) * 100) AS BIGINT) AS y_cm FROM (SELECT *, unnest(range(CASE WHEN seq = first THEN 0 ELSE 1 END, k + 1)) AS i FROM (SELECT *, min(seq) OVER (PARTITION BY way_id) AS first, greatest(1, CAST(floor(sqrt(power(bx - ax, 2) + power(ey - ay, 2)) / 300) AS INT)) AS k FROM seg))")
 def g6_densify(t):
-    return sequences.densify(t.segment(), 300.0).groupBy("way_id").agg(F.count("*").alias("points"))
+    return sequences.densify(t.segment(), 300.0).select("way_id", "seq", "i", F.floor(F.col("x") * 100).alias("x_cm"), F.floor(F.col("y") * 100).alias("y_cm"))
 
 
-@query("SELECT way_id, sum(greatest(1, CAST(ceil(sqrt(power(bx - ax, 2) + power(ey - ay, 2)) / 300) AS INT)))::BIGINT AS points FROM seg GROUP BY way_id")
+@query("SELECT way_id, seq, i, CAST(floor((ax + (bx - ax) * (i::DOUBLE / k)) * 100) AS BIGINT) AS x_cm, CAST(floor((ay + (ey - ay) * (i::DOUBLE / k)) * 100) AS BIGINT) AS y_cm FROM (SELECT *, unnest(range(CASE WHEN seq = first THEN 0 ELSE 1 END, k + 1)) AS i FROM (SELECT *, min(seq) OVER (PARTITION BY way_id) AS first, greatest(1, CAST(ceil(sqrt(power(bx - ax, 2) + power(ey - ay, 2)) / 300) AS INT)) AS k FROM seg))")
 def g6b_line_points(t):
-    return sequences.densify(t.segment(), 300.0, up=True).groupBy("way_id").agg(F.count("*").alias("points"))
+    return sequences.densify(t.segment(), 300.0, up=True).select("way_id", "seq", "i", F.floor(F.col("x") * 100).alias("x_cm"), F.floor(F.col("y") * 100).alias("y_cm"))
 
 
 @query("""SELECT way_id, min(seq) AS first, max(seq) AS last, count(*) AS n FROM (SELECT way_id, seq, seq - row_number() OVER (PARTITION BY way_id ORDER BY seq) AS g FROM wn WHERE node_id % 3 > 0) GROUP BY way_id, g""")
@@ -409,10 +418,13 @@ def d22_as_of_levels(t):
     return sequences.as_of_levels(d.select("way_id", "seq", "d", "ele"), "way_id").select("way_id", "seq", F.round("level", 4).alias("level"))
 
 
-@query("SELECT way_id * 100 + CAST(floor(seq / 3) AS BIGINT) AS piece_id, min(node_id) AS low, max(node_id) AS high FROM wn GROUP BY 1")
+@query(""", ln AS (SELECT way_id, max(seq) AS last FROM line GROUP BY way_id HAVING max(seq) > 0),
+bs AS (SELECT way_id, last, coalesce(sum(CAST(ceil(last / 3.0) AS BIGINT)) OVER w, 0) AS wb, coalesce(sum(last + CAST(ceil(last / 3.0) AS BIGINT)) OVER w, 0) AS nb FROM ln WINDOW w AS (ORDER BY way_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pc AS (SELECT way_id, wb, nb, p, unnest(range(p * 3, least(p * 3 + 3, last) + 1)) AS seq FROM (SELECT *, unnest(range(0, CAST(ceil(last / 3.0) AS BIGINT))) AS p FROM bs))
+SELECT (1000000 + wb + p)::BIGINT AS way_id, CAST(any_value(ele) AS BIGINT) AS ele, string_agg(CAST(1000000 + nb + pc.seq + p AS BIGINT)::VARCHAR, ',' ORDER BY pc.seq) AS refs FROM pc JOIN line ON line.way_id = pc.way_id AND line.seq = pc.seq GROUP BY pc.way_id, wb, p""")
 def b6_contour_pieces(t):
-    c = t.way_node().withColumn("piece_id", F.col("way_id") * 100 + F.floor(F.col("seq") / 3))
-    return c.groupBy("piece_id").agg(F.min("node_id").alias("low"), F.max("node_id").alias("high"))
+    _, way = sequences.contour_pieces(t.line().withColumnRenamed("way_id", "line_id"), 4, 1_000_000)
+    return way.select("way_id", "ele", F.array_join("refs", ",").alias("refs"))
 
 
 # --- aggregates and ladders ---------------------------------------------------------------------------------------
@@ -422,25 +434,51 @@ def f2_levels(t):
     return ladder.levels(t.line(), "square")
 
 
-@query(""", lv AS (SELECT square, ele, count(DISTINCT way_id) AS ways FROM line WHERE way_id % 9 < 4 GROUP BY square, ele), g AS (SELECT square, lead(ele) OVER w - ele AS gap, ways + lead(ways) OVER w AS weight FROM lv WINDOW w AS (PARTITION BY square ORDER BY ele)),
+LADDER_SQL = """, lv AS (SELECT square, ele, count(DISTINCT way_id) AS ways FROM line GROUP BY square, ele), g AS (SELECT square, round_even(lead(ele) OVER w - ele, 6) AS gap, ways + lead(ways) OVER w AS weight FROM lv WINDOW w AS (PARTITION BY square ORDER BY ele)),
 i AS (SELECT square, gap AS interval, row_number() OVER (PARTITION BY square ORDER BY count(*) DESC, sum(weight) DESC, gap DESC) AS r FROM g WHERE gap > 0 GROUP BY square, gap),
-p AS (SELECT square, interval, ele % interval AS phase, row_number() OVER (PARTITION BY square ORDER BY count(*) DESC, ele % interval) AS r FROM lv JOIN (SELECT * FROM i WHERE r = 1) USING (square) GROUP BY square, interval, ele % interval) SELECT square, interval, phase FROM p WHERE r = 1""")
+p AS (SELECT square, interval, round_even(ele % interval, 6) AS phase, row_number() OVER (PARTITION BY square ORDER BY sum(ways) DESC, ele % interval) AS r FROM lv JOIN (SELECT * FROM i WHERE r = 1) USING (square) GROUP BY square, interval, ele % interval), ld AS (SELECT square, interval, phase FROM p WHERE r = 1)
+"""
+
+
+@query(LADDER_SQL + "SELECT square, interval, phase FROM ld")
 def f3_infer_ladder(t):
     return ladder.infer(ladder.levels(t.line(), "square"), "square")
 
 
-@query(""", lv AS (SELECT square, ele, count(DISTINCT way_id) AS ways FROM line GROUP BY square, ele), n AS (SELECT *, lag(ele) OVER w AS below, lead(ele) OVER w AS above FROM lv WINDOW w AS (PARTITION BY square ORDER BY ele))
-SELECT square, ele, ways, below, above FROM n WHERE ways <= 2 AND ele % 50 <> 0""")
+@query(LADDER_SQL.replace("FROM line GROUP", "FROM (SELECT CAST(way_id % 500 AS VARCHAR) AS square, ele, way_id FROM line) GROUP") + """, rg AS (SELECT square, interval, phase, min(ele) AS low, max(ele) AS high FROM lv JOIN ld USING (square) WHERE (ele - phase) % interval = 0 GROUP BY ALL),
+nt AS (SELECT square, round_even(low + k * interval, 6) AS n FROM (SELECT *, unnest(range(-CAST(floor((low + 1e-9) / interval) AS BIGINT), CAST(round((high - low) / interval) AS BIGINT) + 5)) AS k FROM rg) UNION SELECT square, ele FROM lv SEMI JOIN ld USING (square) UNION SELECT square, 0.0 FROM ld)
+SELECT square, interval, phase, string_agg(CAST(CAST(n AS BIGINT) AS VARCHAR), ',' ORDER BY n) AS notches FROM nt JOIN ld USING (square) GROUP BY ALL""")
+def f3n_ladder_notches(t):
+    found = ladder.levels(t.line().withColumn("square", (F.col("way_id") % 500).cast("string")), "square")
+    return ladder.inferred(found, "square").select("square", "interval", "phase", F.array_join(F.transform("notches", lambda n: n.cast("long").cast("string")), ",").alias("notches"))
+
+
+@query("""SELECT c_custkey AS id, coalesce(array_to_string(list_transform(range(CASE WHEN b % s > 0 THEN b % s - s ELSE 0 END, t + 1, s), lambda n: n::VARCHAR), ','), '') AS notches FROM (SELECT c_custkey, c_nationkey * 7 AS b, 5 + c_custkey % 20 AS s, c_nationkey * 7 + c_custkey % 200 AS t FROM customer)""", bare=True)
+def f3b_regular_ladder(t):
+    c = t.table("customer").selectExpr("c_custkey AS id", "CAST(c_nationkey * 7 AS DOUBLE) AS b", "CAST(5 + c_custkey % 20 AS DOUBLE) AS s", "CAST(c_nationkey * 7 + c_custkey % 200 AS DOUBLE) AS t")
+    return c.select("id", F.array_join(F.transform(ladder.regular(F.col("s"), F.col("b"), F.col("t")), lambda n: n.cast("long").cast("string")), ",").alias("notches"))
+
+
+@query(""", k AS (SELECT way_id, ele + 3 AS v, list_transform(range(0, 40), lambda i: (i * 25)::DOUBLE) AS ns FROM line WHERE seq = 0)
+SELECT way_id, list_max(list_filter(ns, lambda n: n < v - 1e-9)) AS below, list_min(list_filter(ns, lambda n: n > v + 1e-9)) AS above, least(975, ele - ele % 25) AS nearest FROM k JOIN way USING (way_id)""")
+def f3c_ladder_lookups(t):
+    notches = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: (i * 25).cast("double"))
+    return t.line().where("seq = 0").select("way_id", ladder.around(F.col("ele") + 3, notches).alias("a")).select("way_id", "a.*")
+
+
+@query(""", lv AS (SELECT way_id % 500 AS place, ele, count(DISTINCT way_id) AS ways FROM line GROUP BY 1, 2), n AS (SELECT *, lag(ele) OVER w AS below, lead(ele) OVER w AS above FROM lv WINDOW w AS (PARTITION BY place ORDER BY ele))
+SELECT place, ele, ways, below, above FROM n WHERE ways <= 2 AND ele % 50 <> 0""")
 def f4_off_ladder(t):
-    found = ladder.levels(t.line(), "square")
-    fifty = found.select("square").distinct().withColumn("interval", F.lit(50.0)).withColumn("phase", F.lit(0.0))
-    return ladder.off_ladder(found, fifty, "square")
+    found = ladder.levels(t.line().withColumn("place", F.col("way_id") % 500), "place")
+    fifty = found.select("place").distinct().withColumn("interval", F.lit(50.0)).withColumn("phase", F.lit(0.0))
+    return ladder.off_ladder(found, fifty, "place")
 
 
-@query("SELECT c_custkey AS id, 25 * CAST(floor(c_acctbal / 25) AS BIGINT) AS low FROM customer", bare=True)
+@query("""SELECT id, string_agg(n::VARCHAR, ',' ORDER BY n) AS levels FROM (SELECT c_custkey AS id, 0 AS n FROM customer UNION SELECT c_custkey, n FROM customer, (SELECT unnest(range(10, 51, 10)) AS n UNION SELECT unnest(range(75, 201, 25)) UNION SELECT unnest(range(250, 601, 50))) WHERE n <= c_custkey % 600) GROUP BY id""", bare=True)
 def e25b_level_bands(t):
-    c = t.table("customer")
-    return c.select(F.col("c_custkey").alias("id"), (F.lit(25).cast("long") * F.floor(F.col("c_acctbal") / 25)).alias("low"))
+    c = t.table("customer").selectExpr("c_custkey AS id", "CAST(c_custkey % 600 AS DOUBLE) AS high")
+    levels = ladder.band_levels(ladder.level_bands("10:50,25:200,50"), F.col("high"))
+    return c.select("id", F.array_join(F.transform(levels, lambda n: n.cast("long").cast("string")), ",").alias("levels"))
 
 
 @query("SELECT square, min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM line GROUP BY square")
@@ -448,17 +486,31 @@ def f9_contour_envelope(t):
     return t.line().groupBy("square").agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"))
 
 
-@query("""SELECT node_id, ele, count(*) AS branches, count(DISTINCT way_id) AS ways FROM line GROUP BY node_id, ele HAVING count(DISTINCT way_id) > 1 AND count(*) % 2 = 1 AND count(*) >= 3""")
+@query(""", w AS (SELECT way_id, max(seq) AS n, arg_min(node_id, seq) = arg_max(node_id, seq) AND max(seq) > 1 AS ring FROM line GROUP BY way_id),
+b AS (SELECT node_id, ele, way_id, CASE WHEN ring THEN 2 ELSE (seq > 0)::INT + (seq < n)::INT END AS k FROM line JOIN w USING (way_id) WHERE NOT (ring AND seq = n))
+SELECT node_id, ele, sum(k)::BIGINT AS branches, count(DISTINCT way_id) AS ways FROM b GROUP BY node_id, ele HAVING count(DISTINCT way_id) > 1 AND sum(k) >= 3 AND sum(k) % 2 = 1""")
 def f10_forks(t):
-    g = t.line().groupBy("node_id", "ele").agg(F.count("*").alias("branches"), F.countDistinct("way_id").alias("ways"))
-    return g.where("ways > 1 AND branches % 2 = 1 AND branches >= 3")
+    return joins.forks(t.line())
+
+
+IN_RINGS_SQL = RING_SQL + """, lp AS (SELECT way_id, seq, node_id, lon * 104000.0::DOUBLE AS x, lat * 110540.0::DOUBLE AS y FROM line),
+iv AS (SELECT ring_id, lp.way_id, seq, node_id FROM lp JOIN rb ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 JOIN re USING (ring_id) WHERE lp.way_id <> ring_id
+  GROUP BY ring_id, lp.way_id, seq, node_id HAVING sum(CASE WHEN (ay > y) <> (ey > y) AND x < ax + (y - ay) * (bx - ax) / (ey - ay) THEN 1 ELSE 0 END) % 2 = 1),
+dx AS (SELECT ring_id, seg.way_id, (re.bx - re.ax) * (seg.ay - re.ay) - (re.ey - re.ay) * (seg.ax - re.ax) AS d1, (re.bx - re.ax) * (seg.ey - re.ay) - (re.ey - re.ay) * (seg.bx - re.ax) AS d2,
+  (seg.bx - seg.ax) * (re.ay - seg.ay) - (seg.ey - seg.ay) * (re.ax - seg.ax) AS d3, (seg.bx - seg.ax) * (re.ey - seg.ay) - (seg.ey - seg.ay) * (re.bx - seg.ax) AS d4
+  FROM re JOIN seg ON ring_id <> seg.way_id AND greatest(re.ax, re.bx) >= least(seg.ax, seg.bx) AND least(re.ax, re.bx) <= greatest(seg.ax, seg.bx) AND greatest(re.ay, re.ey) >= least(seg.ay, seg.ey) AND least(re.ay, re.ey) <= greatest(seg.ay, seg.ey)),
+il AS (SELECT ring_id, way_id FROM iv WHERE (ring_id, node_id) NOT IN (SELECT way_id, node_id FROM wn WHERE way_id % 5 = 0) UNION SELECT ring_id, way_id FROM dx WHERE ((d1 > 0 AND d2 < 0) OR (d1 < 0 AND d2 > 0)) AND ((d3 > 0 AND d4 < 0) OR (d3 < 0 AND d4 > 0)))
+"""
+
 
+def _in_rings(t) -> DataFrame:
+    own = t.way_node().where("way_id % 5 = 0").select(F.col("way_id").alias("ring_id"), "node_id")
+    return joins.lines_in_rings(xy(t.line()), t.segment(), _rings(t), own)
 
-@query(RING_SQL + "SELECT ring_id, count(DISTINCT ele) AS levels, min(ele) AS low, max(ele) AS high FROM inr JOIN spot ON node_id = point_id GROUP BY ring_id HAVING count(DISTINCT ele) > 1")
+
+@query(IN_RINGS_SQL + "SELECT ring_id, count(DISTINCT ele) AS levels, min(ele) AS low, max(ele) AS high FROM il JOIN way USING (way_id) GROUP BY ring_id")
 def f11_spanned_lakes(t):
-    s = _spots(t)
-    j = joins.inside_rings(s, _rings(t)).join(s.select("point_id", "ele"), "point_id")
-    return j.groupBy("ring_id").agg(F.countDistinct("ele").alias("levels"), F.min("ele").alias("low"), F.max("ele").alias("high")).where("levels > 1")
+    return joins.spanned(_in_rings(t), t.way())
 
 
 @query("SELECT CAST(floor(lat0) AS BIGINT) AS zone, count(*) FILTER (ele <> 0) AS drawn, count(*) FILTER (body = 'coastline') AS shore, count(*) FILTER (ele IS NULL) AS blank FROM way GROUP BY 1")
@@ -485,10 +537,14 @@ def f17_next_id(t):
     return t.way().groupBy("square").agg((F.least(F.min("way_id"), F.lit(0)) - 1).alias("next_id"))
 
 
-@query("""SELECT node_id AS feature, square FROM (SELECT node_id, square, row_number() OVER (PARTITION BY node_id ORDER BY count(DISTINCT way_id) DESC, square) AS r FROM line GROUP BY node_id, square) WHERE r = 1""")
+@query(""", c AS (SELECT node_id, square, count(DISTINCT way_id) AS n FROM line GROUP BY node_id, square), b AS (SELECT node_id, max(n) AS n, arg_min(square, (-n, square)) AS square FROM c GROUP BY node_id),
+h AS (SELECT node_id, max(square) AS was FROM line WHERE way_id % 3 = 0 GROUP BY node_id)
+SELECT b.node_id AS feature, CASE WHEN was IS NOT NULL AND coalesce(c.n, 0) >= b.n THEN was ELSE b.square END AS square, coalesce(was, b.square) AS kept FROM b LEFT JOIN h USING (node_id) LEFT JOIN c ON c.node_id = b.node_id AND c.square = was""")
 def f8_home_squares(t):
     n = t.line().select(F.col("node_id").alias("feature"), "square", F.col("way_id").alias("node"))
-    return reconcile.homes(n, n.select("feature", "square").where("false"))
+    held = n.where("node % 3 = 0").groupBy("feature").agg(F.max("square").alias("square"))
+    stay = reconcile.homes(n, held, move=False).withColumnRenamed("square", "kept")
+    return reconcile.homes(n, held).join(stay, "feature")
 
 
 @query("SELECT square, way_id, ele FROM way WHERE ele IS NOT NULL ORDER BY ele DESC, square, way_id LIMIT 25")
@@ -568,7 +624,7 @@ def e23_difference(t):
     return raster.difference(a, a.select(F.col("col").alias("row"), F.col("row").alias("col"), "v"))
 
 
-@query("SELECT CASE WHEN p <= 5 THEN 5.0 WHEN p <= 7.5 THEN 7.5 WHEN p <= 10 THEN 10.0 WHEN p <= 15 THEN 15.0 WHEN p <= 20 THEN 20.0 WHEN p <= 30 THEN 30.0 WHEN p <= 40 THEN 40.0 ELSE 50.0 END AS span FROM (SELECT quantile_cont(abs(v - 10), 0.98) AS p FROM fc WHERE abs(v - 10) >= 0.5)")
+@query("SELECT CAST(CASE WHEN p <= 5 THEN 5.0 WHEN p <= 6 THEN 6.0 WHEN p <= 8 THEN 8.0 WHEN p <= 10 THEN 10.0 WHEN p <= 15 THEN 15.0 WHEN p <= 20 THEN 20.0 WHEN p <= 30 THEN 30.0 WHEN p <= 40 THEN 40.0 ELSE 50.0 END AS DOUBLE) AS span FROM (SELECT round_even(quantile_cont(abs(v - 10), 0.98), 1) AS p FROM fc WHERE abs(v - 10) >= 0.5)")
 def e23b_span(t):
     return raster.span(t.full_cell().select((F.col("v") - 10).alias("d")))
 
@@ -607,10 +663,10 @@ def e8_nearest_seed(t):
     return raster.nearest_seed(c, c.where("v > 10"), 6)
 
 
-@query("SELECT round(100.0 * count(*) FILTER (v = 0) / count(*), 6) AS sea, round(100.0 * count(*) FILTER (v > 0 AND v < 10) / count(*), 6) AS low, round(100.0 * count(*) FILTER (v >= 10) / count(*), 6) AS land, min(v)::INT AS least, max(v)::INT AS most, round(avg(v), 6) AS mean, count(*) FILTER (v < 0) AS below FROM fc")
+@query("SELECT round(100.0 * count(*) FILTER (v = 0) / count(*), 6) AS sea, round(100.0 * count(*) FILTER (v > 0 AND v < 10) / count(*), 6) AS low, round(100.0 * count(*) FILTER (v > 0) / count(*), 6) AS land, CAST(trunc(min(v)) AS INT) AS least, CAST(trunc(max(v)) AS INT) AS most, round(avg(v), 6) AS mean, round(100.0 * count(*) FILTER (v < 0) / count(*), 6) AS below FROM (SELECT v - CASE WHEN row % 9 = 0 THEN 3 ELSE 0 END AS v FROM fc)")
 def f5_zone_stats(t):
-    s = raster.zone_stats(t.full_cell())
-    return s.select(*(F.round(c, 6).alias(c) for c in ("sea", "low", "land")), "least", "most", F.round("mean", 6).alias("mean"), F.col("below").cast("long").alias("below"))
+    s = raster.zone_stats(t.full_cell().withColumn("v", F.col("v") - F.when(F.col("row") % 9 == 0, 3).otherwise(0)))
+    return s.select(*(F.round(c, 6).alias(c) for c in ("sea", "low", "land", "mean", "below")), "least", "most")
 
 
 @query("SELECT row // 16 AS r, col // 16 AS c, count(*) FILTER (v = 0) AS cells, round(100.0 * count(*) FILTER (v = 0) / count(*), 6) AS pct, round(avg(row) FILTER (v = 0), 6) AS cr, round(avg(col) FILTER (v = 0), 6) AS cc FROM fc GROUP BY 1, 2")
@@ -622,7 +678,7 @@ def f7_unreached(t):
 
 # --- graphs, sets, merging ----------------------------------------------------------------------------------------
 
-@query(", ed AS (SELECT DISTINCT c_custkey AS a, (c_custkey * 7 + 3) % 1500 // 10 * 10 AS b FROM customer WHERE c_custkey % 4 = 0), s AS (SELECT a, b FROM ed WHERE a <> b UNION SELECT b, a FROM ed WHERE a <> b), rc(v, r) AS (SELECT a, a FROM s UNION SELECT s.b, rc.r FROM rc JOIN s ON s.a = rc.v) SELECT v, min(r) AS component FROM rc GROUP BY v")
+@query(", ed AS (SELECT DISTINCT c_custkey AS a, (c_custkey * 7 + 3) % 1500 // 10 * 10 AS b FROM customer), s AS (SELECT a, b FROM ed WHERE a <> b UNION SELECT b, a FROM ed WHERE a <> b), rc(v, r) AS (SELECT a, a FROM s UNION SELECT s.b, rc.r FROM rc JOIN s ON s.a = rc.v) SELECT v, min(r) AS component FROM rc GROUP BY v")
 def j5_components(t):
     e = t.table("customer").selectExpr("c_custkey AS a", "(c_custkey * 7 + 3) % 1500 DIV 10 * 10 AS b")
     return graph.connected_components(e)
@@ -642,7 +698,7 @@ def k2_reconcile(t):
     c = t.table("customer")
     local = c.where("c_custkey % 5 <> 0").selectExpr("c_custkey AS k", tags.format(n="c_name", e="CASE WHEN c_custkey % 3 = 0 THEN '120' END"))
     up = c.where("c_custkey % 7 <> 0").selectExpr("c_custkey AS k", tags.format(n="CASE WHEN c_custkey % 2 = 0 THEN concat('up', c_custkey) END", e="'95'"))
-    r = reconcile.reconcile(local, up, "k", ["name", "ele"])
+    r = reconcile.reconcile(local, up, "k", ["natural", "water", "waterway", "name", "type"])
     return r.select("k", F.col("tags")["name"].alias("name"), F.col("tags")["ele"].alias("ele"), "state")
 
 
@@ -715,7 +771,7 @@ def n_split_way(t):
     return edits.split_way(w, e).select("way_id", F.array_join("refs", ",").alias("refs"))
 
 
-@query(REFS_SQL + " SELECT way_id, array_to_string(r, ',') AS refs FROM (SELECT way_id, refs, list_filter(refs, lambda x: x % 10 <> 0) AS f, CASE WHEN len(refs) > 1 AND refs[1] = refs[-1] AND refs[1] % 10 = 0 AND len(f) > 0 THEN list_append(f, f[1]) ELSE f END AS r FROM rf) WHERE len(r) > 1 OR len(r) = len(refs)")
+@query(REFS_SQL + " SELECT way_id, array_to_string(r, ',') AS refs FROM (SELECT way_id, refs, list_filter(refs, lambda x: x % 10 <> 0) AS f, f AS r FROM rf) WHERE len(r) > 1 OR len(r) = len(refs)")
 def n_delete_nodes(t):
     from isoterra.operators import edits
 
@@ -732,9 +788,9 @@ def m2_latest_state(t):
     return edits.latest(log, "user_id").select("user_id", "edits")
 
 
-@query("""SELECT row, col, coalesce(max(ele) FILTER (rank = 2 AND ele IS NOT NULL), max(ele) FILTER (rank = 1), arg_max(ele, p) FILTER (rank = 0)) AS v FROM (
- SELECT (l_partkey % 64)::INT AS row, (l_suppkey % 64)::INT AS col, 0 AS rank, l_quantity AS ele, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS p FROM lineitem WHERE l_orderkey % 3 = 0
- UNION ALL SELECT (p_partkey % 64)::INT, ((p_partkey // 64) % 64)::INT, 2, p_size::DOUBLE, p_partkey FROM part WHERE p_partkey < 300
+@query("""SELECT row, col, arg_max(ele, (rank, p)) AS v FROM (
+ SELECT (l_partkey % 64)::INT AS row, (l_suppkey % 64)::INT AS col, 0 AS rank, l_quantity AS ele, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS p FROM lineitem
+ UNION ALL SELECT (p_partkey % 64)::INT, ((p_partkey // 64) % 64)::INT, 2, p_size::DOUBLE, p_partkey FROM part
  UNION ALL SELECT r, c, 1, 99.0, 0 FROM (SELECT unnest(range(20, 24))::INT AS r) CROSS JOIN (SELECT unnest(range(20, 24))::INT AS c)) GROUP BY row, col""", bare=True)
 def e2_rasterise(t):
     from isoterra.operators import kernels
@@ -797,20 +853,18 @@ def d18_odd_crossings(t):
 
 @query(""", dr AS (SELECT * FROM (VALUES (0, 1.0, 0.0), (1, 0.7071067811865476, 0.7071067811865476), (2, 0.0, 1.0), (3, -0.7071067811865476, 0.7071067811865476), (4, -1.0, 0.0), (5, -0.7071067811865476, -0.7071067811865476), (6, 0.0, -1.0), (7, 0.7071067811865476, -0.7071067811865476)) d(ray, dx, dy)),
 p AS (SELECT node_id AS point_id, ray, lon * 104000.0::DOUBLE AS sx, lat * 110540.0::DOUBLE AS sy, lon * 104000.0::DOUBLE + dx::DOUBLE * 1500 AS tx, lat * 110540.0::DOUBLE + dy::DOUBLE * 1500 AS ty FROM spot, dr),
-m AS (SELECT point_id, ray, ele, (bx - ax) * (sy - ay) - (ey - ay) * (sx - ax) AS d1, (bx - ax) * (ty - ay) - (ey - ay) * (tx - ax) AS d2, (tx - sx) * (ay - sy) - (ty - sy) * (ax - sx) AS d3, (tx - sx) * (ey - sy) - (ty - sy) * (bx - sx) AS d4
+m AS (SELECT point_id, ray, ele, ((ax - sx) * (ey - ay) - (ay - sy) * (bx - ax)) / nullif((tx - sx) * (ey - ay) - (ty - sy) * (bx - ax), 0) AS along, ((ax - sx) * (ty - sy) - (ay - sy) * (tx - sx)) / nullif((tx - sx) * (ey - ay) - (ty - sy) * (bx - ax), 0) AS on_
  FROM p JOIN seg ON greatest(ax, bx) >= least(sx, tx) AND least(ax, bx) <= greatest(sx, tx) AND greatest(ay, ey) >= least(sy, ty) AND least(ay, ey) <= greatest(sy, ty)),
-h AS (SELECT point_id, ray, arg_min(ele, (d1 / (d1 - d2), ele)) AS ele FROM m WHERE d1 * d2 < 0 AND d3 * d4 < 0 GROUP BY point_id, ray)
+h AS (SELECT point_id, ray, arg_min(ele, (along, ele)) AS ele FROM m WHERE along > 0 AND along <= 1 AND on_ >= 0 AND on_ <= 1 GROUP BY point_id, ray)
 SELECT point_id, count(*) AS n, count(DISTINCT ele) AS levels, min(ele) AS low, max(ele) AS high FROM h GROUP BY point_id HAVING count(*) >= 6""")
 def d13_rays(t):
     return joins.rays(_spots(t), t.segment(), 1500.0)
 
 
-@query(RING_SQL + """, lk AS (SELECT way_id AS ring_id, ele FROM way WHERE way_id % 5 = 0 AND ele IS NOT NULL)
-SELECT ring_id, ele FROM lk WHERE ring_id NOT IN (SELECT ring_id FROM inr JOIN spot ON node_id = point_id JOIN lk USING (ring_id) WHERE spot.ele <> lk.ele)""")
+@query(IN_RINGS_SQL + "SELECT way_id AS ring_id, ele FROM way WHERE way_id % 5 = 0 AND ele IS NOT NULL AND way_id NOT IN (SELECT ring_id FROM il)")
 def j10_held_lakes(t):
-    s = _spots(t)
     lakes = t.way().where("way_id % 5 = 0").select(F.col("way_id").alias("ring_id"), "ele")
-    return joins.held_lakes(lakes, joins.inside_rings(s, _rings(t)), s.select("point_id", "ele"))
+    return joins.held_lakes(lakes, _in_rings(t))
 
 
 @query(""", m AS (SELECT row, col FROM fc WHERE v > 1), ru AS (SELECT row, min(col) AS c0, max(col) AS c1 FROM (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS k FROM m) GROUP BY row, k)
@@ -838,9 +892,55 @@ def j3_gaps(t):
     return joins.gaps(ends, 250.0)
 
 
-@query("""SELECT node_id, "into" FROM (SELECT node_id, first_value(node_id) OVER (PARTITION BY round_even(lon * 1e7, 0), round_even(lat * 1e7, 0) ORDER BY node_id > 0 DESC, abs(node_id)) AS "into" FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 1 ELSE -p_partkey END AS node_id, (p_partkey % 50)::DOUBLE / 100 AS lon, (p_size % 5)::DOUBLE / 10 AS lat FROM part)) WHERE node_id <> "into" """, bare=True)
+TIDY_SQL = """nd AS (SELECT CASE WHEN p_partkey % 8 = 0 THEN p_partkey ELSE -p_partkey END AS node_id, (p_partkey // 3 % 200)::DOUBLE / 1000 AS lon, (p_size % 3)::DOUBLE / 10 AS lat, p_partkey % 29 = 0 AS tagged FROM part),
+wr AS (SELECT CASE WHEN p_partkey // 4 % 4 = 0 THEN p_partkey // 4 ELSE -(p_partkey // 4) - 1 END AS way_id, p_partkey // 4 % 13 = 0 AS shore, CASE WHEN p_partkey % 8 = 0 THEN p_partkey ELSE -p_partkey END AS node_id, p_partkey % 4 AS seq FROM part),
+pl AS (SELECT *, (lon * 1e7)::BIGINT AS px, (lat * 1e7)::BIGINT AS py, node_id > 0 OR tagged AS fixed FROM nd),
+gr AS (SELECT px, py, count(*) FILTER (fixed) AS f, coalesce(max(node_id) FILTER (fixed), max(node_id)) AS into_ FROM pl GROUP BY px, py HAVING count(*) > 1),
+mt AS (SELECT way_id, seq, shore, px, py FROM wr JOIN pl USING (node_id) SEMI JOIN gr USING (px, py)),
+pr AS (SELECT DISTINCT a.px, a.py, b.px AS qx, b.py AS qy FROM mt a JOIN mt b ON a.way_id = b.way_id AND b.seq = a.seq + 1 AND (a.px <> b.px OR a.py <> b.py)),
+tg AS (SELECT pr.* FROM pr JOIN mt a USING (px, py) JOIN mt b ON b.way_id = a.way_id AND b.px = qx AND b.py = qy GROUP BY ALL HAVING count(DISTINCT a.way_id) > 1),
+lf AS (SELECT px, py FROM mt WHERE shore UNION SELECT px, py FROM tg UNION SELECT qx, qy FROM tg),
+mg AS (SELECT node_id, into_ AS "into" FROM pl JOIN gr USING (px, py) ANTI JOIN lf USING (px, py) WHERE f < 2 AND into_ <> node_id)
+"""
+
+
+def _tidy(t) -> tuple[DataFrame, DataFrame]:
+    tags = "CASE WHEN p_partkey % 29 = 0 THEN map('name', 'x') ELSE cast(map() as map<string,string>) END AS tags"
+    n = t.table("part").selectExpr("CASE WHEN p_partkey % 8 = 0 THEN p_partkey ELSE -p_partkey END AS node_id", "CAST(p_partkey DIV 3 % 200 AS DOUBLE) / 1000 AS lon", "CAST(p_size % 3 AS DOUBLE) / 10 AS lat", tags)
+    w = F.expr("abs(node_id) DIV 4")
+    refs = n.groupBy(w.alias("w")).agg(F.array_sort(F.collect_list(F.struct(F.abs("node_id").alias("no"), "node_id"))).alias("s"))
+    return n, refs.select(F.expr("CASE WHEN w % 4 = 0 THEN w ELSE -w - 1 END").alias("way_id"), F.expr("w % 13 = 0").alias("shore"), F.col("s.node_id").alias("refs"))
+
+
+@query("WITH " + TIDY_SQL + 'SELECT node_id, "into" FROM mg', bare=True)
 def j6_merged_nodes(t):
     from isoterra.operators import edits
 
-    n = t.table("part").selectExpr("CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 1 ELSE -p_partkey END AS node_id", "CAST(p_partkey % 50 AS DOUBLE) / 100 AS lon", "CAST(p_size % 5 AS DOUBLE) / 10 AS lat")
-    return edits.merged_nodes(n.withColumn("tags", F.create_map().cast("map<string,string>")))
+    return edits.merged_nodes(*_tidy(t))
+
+
+@query("WITH " + TIDY_SQL + """, ld AS (SELECT way_id, shore, seq, coalesce("into", wr.node_id) AS n, max("into" IS NOT NULL) OVER (PARTITION BY way_id) AS hit FROM wr LEFT JOIN mg ON mg.node_id = wr.node_id),
+rd AS (SELECT * FROM (SELECT *, lag(n) OVER (PARTITION BY way_id ORDER BY seq) AS before FROM ld) WHERE NOT hit OR before IS NULL OR before <> n),
+ws AS (SELECT way_id, any_value(hit) AS hit, string_agg(n::VARCHAR, ',' ORDER BY seq) AS refs, count(DISTINCT n) AS k, count(*) > 1 AND arg_min(n, seq) = arg_max(n, seq) AS closed FROM rd GROUP BY way_id)
+SELECT way_id, refs FROM ws WHERE NOT (hit AND way_id < 0 AND k < CASE WHEN closed THEN 3 ELSE 2 END)""", bare=True)
+def n_tidy_contours(t):
+    from isoterra.operators import edits
+
+    n, way = _tidy(t)
+    return edits.tidy_contours(way, edits.merged_nodes(n, way)).select("way_id", F.array_join("refs", ",").alias("refs"))
+
+
+CLOSE_SQL = """, m AS (SELECT row, col, (v > 2)::INT AS v FROM fc), byd AS (SELECT x, y FROM (SELECT unnest(range(9, 15)) AS x), (SELECT unnest(range(39, 45)) AS y) WHERE (x + y) % 3 <> 0),
+cl AS (SELECT row, col, v, 43 - row // 16 AS la, 10 + col // 16 AS lo FROM m),
+sd AS (SELECT row, col, 9 AS x, la AS y, row AS r, 1 AS c FROM cl WHERE col = 0 UNION ALL SELECT row, col, 14, la, row, 62 FROM cl WHERE col = 63 UNION ALL SELECT row, col, lo, 44, 1, col FROM cl WHERE row = 0 UNION ALL SELECT row, col, lo, 39, 62, col FROM cl WHERE row = 63),
+ag AS (SELECT sd.row, sd.col, bool_or(byd.x IS NULL) AS closed, max(CASE WHEN byd.x IS NOT NULL THEN m.v END) AS o FROM sd LEFT JOIN byd ON byd.x = sd.x AND byd.y = sd.y JOIN m ON m.row = sd.r AND m.col = sd.c GROUP BY sd.row, sd.col)
+SELECT m.row, m.col, CASE WHEN closed IS NULL THEN v WHEN closed THEN 0 ELSE greatest(v, coalesce(o, 0)) END AS v FROM m LEFT JOIN ag ON ag.row = m.row AND ag.col = m.col"""
+
+
+@query(CLOSE_SQL)
+def e6_close_edges(t):
+    from isoterra.operators import cellsets
+
+    mask = t.full_cell().select("row", "col", (F.col("v") > 2).cast("int").alias("v"))
+    held = t.spark.range(36).selectExpr("CAST(9 + id DIV 6 AS INT) AS lon", "CAST(39 + id % 6 AS INT) AS lat").where("(lon + lat) % 3 <> 0")
+    return cellsets.close_edges(mask, (64, 64), (10.0, 44.0, 0.0625), (10, 40, 14, 44), held)

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from isoterra.functions import expressions as X
-from isoterra.operators import edits, graph, joins, kernels, ladder, raster, reconcile, sequences
+from isoterra.operators import cellsets, edits, graph, joins, kernels, ladder, raster, reconcile, sequences
 from isoterra.plans import catalogue
 from isoterra.plans.fixture import Fixture
 from isoterra.sources import listing, osm, params
@@ -34,8 +34,14 @@ def test_numbers_as_text(spark):
     assert {k: v[0] for k, v in got.items()} == cases and got["1.2.3"][1] and got["5-3"][1] and not got["1e3"][1]
     f = spark.createDataFrame([(125.0,), (12.5,), (0.1 + 0.2,), (1e-5,)], "v double").select(X.format_ele(F.col("v")).alias("t"))
     assert [r.t for r in f.collect()] == ["125", "12.5", "0.3", "0"]
-    h = spark.createDataFrame([("1,853 Ft",), ("120",), ("12 m",), ("TBD",)], "t string").select(X.height_text(F.col("t")).alias("v"))
-    assert [r.v for r in h.collect()] == [565.0, 120.0, 12.0, None]
+    big = spark.createDataFrame([(10000000.5,), (1e12,), (-0.25,), (100.0,), (None,)], "v double").select(X.format_ele(F.col("v")).alias("t"))
+    assert [r.t for r in big.collect()] == ["10000000.5", "1000000000000", "-0.25", "100", None]
+    for bad in ("NaN", "Infinity"):
+        with pytest.raises(Exception, match="not an elevation"):
+            spark.createDataFrame([(float(bad),)], "v double").select(X.format_ele(F.col("v"))).collect()
+    heights = {"1,853 Ft": 565.0, "120": 120.0, "12 m": 12.0, "TBD": None, "1,8": None, "-12 m": -12.0, "120 metres": 120.0, "35'": 11.0, " 1,234,567.5 ": 1234567.5, "12 ft m": None, "": None, None: None}
+    h = spark.createDataFrame([(k,) for k in heights], "t string").select(X.height_text(F.col("t")).alias("v"))
+    assert [r.v for r in h.collect()] == list(heights.values())
 
 
 def test_square_names(spark):
@@ -94,12 +100,21 @@ def test_climbs_and_grades(spark):
     assert rows(rejected.select("way_id", "d0", "d1")) == [(1, 30.0, 60.0), (2, 0.0, 20000.0)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.floats(-100, 3000), st.just(float("nan"))), max_size=30))
-def test_fixed_profile_never_climbs(z):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.floats(0, 3000), min_size=2, max_size=40))
+def test_fixing_adds_no_climb(z):
     out = kernels.linear_fix(np.array(z))
-    good = out[~np.isnan(out)]
-    assert (np.diff(good) <= 1e-6).all() and len(good) == sum(not math.isnan(v) for v in z)
+    assert sum(b > a for a, b in zip(out, out[1:])) <= sum(b > a for a, b in zip(z, z[1:])) and out[-1] >= z[-1]
+    assert kernels.climbs(np.array(sorted(z, reverse=True))) == []
+
+
+def test_profiles_by_hand():
+    nan = float("nan")
+    for z, want in (([100, 90, 95, 80], [(2, 2)]), ([100, 90, 95, 99], [(2, 3)]), ([100, 95, 99, 90, 92, 80], [(2, 2), (4, 4)]), ([100, nan, 90, 80], []), ([50, 50, 50, 50], []), ([100, 90, 95, nan, 80], [(2, 3)]), ([], []), ([nan, nan], [])):
+        assert kernels.climbs(np.array(z, float)) == want
+    assert kernels.linear_fix([100, 90, 95, 99]).tolist() == [100, 90, 95, 99]  # the mouth is never lowered
+    assert kernels.linear_fix([100, 50, 60, 70])[-1] == 70
+    assert kernels.linear_fix([100, 90, 95, 80]).tolist() == [100, 90, 85, 80] and kernels.linear_fix([100, 90, 97, nan, 80]).tolist() == [100, 90, 90 - 10 / 3, 90 - 20 / 3, 80]
 
 
 def test_ladders(spark):
@@ -109,9 +124,32 @@ def test_ladders(spark):
 
     assert infer([(v, 1) for v in (100, 125, 175, 200, 3, 7)]) == [(25.0, 0.0)]
     assert infer([(v, 1) for v in (0, 10, 20, 40, 60)]) == [(20.0, 0.0)]
-    assert infer([(100, 2)]) == []
-    n = spark.range(1).select(ladder.regular(F.lit(50), F.lit(1), F.lit(151)).alias("n")).first().n
-    assert n == [-49, 1, 51, 101, 151]
+    assert infer([(v, n) for v, n in ((0, 1), (10, 1), (20, 1), (40, 40), (60, 40))]) == [(20.0, 0.0)]
+    assert infer([(100, 2)]) == [] and infer([]) == []
+    assert infer([(10, 1), (35, 1), (60, 1), (75, 40), (100, 40)]) == [(25.0, 0.0)]  # the phase that carries most ways
+
+    def notches(levels):
+        d = spark.createDataFrame([("s", float(v), 1) for v in levels], "square string, ele double, ways long")
+        return ladder.inferred(d, "square").first()
+
+    got = notches((100, 125, 175, 200, 3, 7))
+    assert got.interval == 25 and 150 in got.notches and [n for n in got.notches if n < 100] == [0, 3, 7, 25, 50, 75] and got.notches[-1] == 300 and got.present == [3, 7, 100, 125, 175, 200]
+    one = lambda c: spark.range(1).select(c.alias("n")).first().n
+    assert one(ladder.regular(F.lit(50), F.lit(1), F.lit(151))) == [-49, 1, 51, 101, 151]
+    assert one(ladder.regular(F.lit(50), F.lit(0), F.lit(100))) == [0, 50, 100] and one(ladder.regular(F.lit(50), F.lit(151), F.lit(60)))[:2] == [-49, 1] and one(ladder.regular(F.lit(50), F.lit(0), F.lit(-1))) == []
+    quarter = F.array(*(F.lit(float(v)) for v in (0, 25, 50, 75, 100)))
+    assert one(ladder.covering(F.lit(160), quarter, F.lit(25.0)))[-3:] == [125, 150, 160] and one(ladder.covering(F.lit(-30), quarter, F.lit(25.0)))[:3] == [-30, -25, 0] and one(ladder.covering(F.lit(50), quarter, F.lit(25.0))) == [0, 25, 50, 75, 100]
+    assert one(ladder.around(F.lit(30.0), quarter)) == (25, 50, 25) and one(ladder.around(F.lit(0.0), quarter)).below is None
+    assert ladder.level_bands("10:50,25:200,50") == [(10, 50), (25, 200), (50, None)]
+    assert one(ladder.band_levels(ladder.level_bands("10:50,25:200,50"), F.lit(260.0))) == [0, 10, 20, 30, 40, 50, 75, 100, 125, 150, 175, 200, 250]
+    for bad in ("10:50", "0", "10,20", "10:50,5:40,50"):
+        with pytest.raises(ValueError):
+            ladder.level_bands(bad)
+    keys = spark.createDataFrame([(q, "z" if q != "d" else "y") for q in "abcd"], "square string, zone string")
+    over = spark.createDataFrame([("a", 5.0, 0.0, [0.0, 5.0])], "square string, interval double, phase double, notches array<double>")
+    found = spark.createDataFrame([(q, v, 1) for q in "ab" for v in (0.0, 20.0)], "square string, ele double, ways long")
+    zone = spark.createDataFrame([("z", 40.0, 0.0, 80.0)], "zone string, interval double, base double, top double")
+    assert [(r.square, r.interval, r.source, len(r.notches)) for r in ladder.ladder_for(keys, over, found, zone, "square").orderBy("square").collect()] == [("a", 5, "square", 2), ("b", 20, "inferred", 6), ("c", 40, "zone", 3), ("d", 10, "default", 21)]
 
 
 def test_split_keeps_the_line(spark):
@@ -159,7 +197,7 @@ def test_ramp_difference_span(spark):
     dem, pub = full(spark, [[10, 0, 0, 5, 0]]), full(spark, [[7, 0, 1, 0, -3]]).withColumn("v", F.when(F.col("col") == 3, float("nan")).otherwise(F.col("v")))
     d = [r.d for r in raster.difference(dem, pub).orderBy("col").collect()]
     assert d[:3] == [3, 0, -1] and math.isnan(d[3]) and d[4] == 0
-    for v, want in ((130, 150), (10.02, 15), (31.6, 40), (0.3, 5)):
+    for v, want in ((130, 150), (10.02, 10), (31.6, 40), (0.3, 5), (70, 80), (55, 60)):
         assert raster.span(spark.createDataFrame([(float(v),)] * 3, "d double")).first().span == want
 
 
@@ -220,7 +258,16 @@ def test_simplify_and_stitch(spark):
     x, y = np.array([0, 1, 2, 3, 4.0]), np.array([0, 0.01, 0, 2, 0])
     assert kernels.simplified(x, y, 0.1).tolist() == [True, False, True, True, True]
     assert kernels.stitched([[1, 2, 3], [3, 4, 1]]) == [[1, 2, 3, 4, 1]] and kernels.stitched([[1, 2], [2, 3]]) == []
-    assert kernels.stitched([[1, 2, 3], [3, 4, 3], [3, 5, 1]])[-1] == [1, 2, 3, 5, 1]
+    assert kernels.stitched([[1, 2, 3], [3, 4, 3], [3, 5, 1]]) == [[1, 2, 3, 5, 1]]  # a sliver is no ring
+    two = kernels.stitched([[1, 2, 3], [3, 0, 7, 3], [3, 4, 1]])  # a ring stays whole
+    assert sorted(sorted(set(r)) for r in two) == [[0, 3, 7], [1, 2, 3, 4]] and all(r[0] == r[-1] for r in two)
+    pieces, rng = [[1, 2, 3], [3, 4, 1], [3, 5, 6], [6, 7, 3]], random.Random(3)
+    first = {frozenset(r) for r in kernels.stitched(pieces)}
+    for _ in range(25):
+        some = [p[::-1] if rng.random() < 0.5 else p for p in rng.sample(pieces, 4)]
+        assert {frozenset(r) for r in kernels.stitched(some)} == first
+    xs, ys = np.array([0, 1, 2, 0, 5, 9.0]), np.array([0, 3, 0, 0, 0.01, 0])  # two lines at once
+    assert kernels.simplified(xs, ys, 0.1, [0, 3, 6]).tolist() == [True, True, True, True, False, True]
     w = spark.createDataFrame([(7, [3, 4, 1]), (7, [1, 2, 3]), (8, [1, 2])], "relation long, refs array<long>")
     assert [(r.relation, r.refs) for r in kernels.stitch(w).collect()] == [(7, [1, 2, 3, 4, 1])]
 
@@ -235,11 +282,70 @@ def test_components(spark):
 def test_tags_merge(spark):
     def merged(local, up):
         d = spark.createDataFrame([(local, up)], "l map<string,string>, u map<string,string>")
-        return d.select(reconcile.merge_tags(F.col("l"), F.col("u"), ["waterway", "name", "ele"]).alias("m")).first().m
+        return d.select(reconcile.merge_tags(F.col("l"), F.col("u"), ["natural", "water", "waterway", "name", "type"]).alias("m")).first().m
 
     assert merged({"waterway": "stream", "name": "mine", "note": "x"}, {"waterway": "river", "name": "Bosco"}) == {"waterway": "river", "name": "Bosco", "note": "x"}
     assert merged({"name": "old"}, {"waterway": "river"}) == {"waterway": "river"}
-    assert merged({"ele": "120"}, {"ele": "95"}) == {"ele": "120"}
+    assert merged({"ele": "120"}, {"natural": "water", "ele": "95"}) == {"natural": "water", "ele": "120"}
+    assert merged({}, {"natural": "water", "ele": "95"})["ele"] == "95" and merged(None, {"name": "a", "x": "y"}) == {"name": "a"}
+    ordered = reconcile.merge_tags(F.expr("map('note', 'x', 'ele', '120')"), F.expr("map('natural', 'water', 'water', 'lake', 'name', 'K')"), ["natural", "water", "waterway", "name", "type"])
+    assert spark.range(1).select(F.map_keys(ordered).alias("k")).first().k == ["natural", "water", "name", "ele", "note"]
+
+
+def test_an_import_lands(spark):
+    node = lambda rows_: spark.createDataFrame(rows_, "node_id long, lon double, lat double, tags map<string,string>")
+    way = lambda rows_: spark.createDataFrame(rows_, "way_id long, refs array<long>, tags map<string,string>")
+    kind = "relation_id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>"
+    local = {"node": node([(i, float(i), 0.0, {"a": "b"} if i == 5 else {}) for i in (1, 2, 3, 4, 5, 6, 7)]), "way": way([(100, [1, 2, 3, 4, 5, 6], {"waterway": "river", "ele": "9"}), (-1, [2, 4], {})]), "relation": spark.createDataFrame([(300, [("node", 6, "x")], {})], kind)}
+    up = {"node": node([(1, 1.0, 0.0, {}), (2, 2.5, 0.0, {})]), "way": way([(100, [1, 2], {"waterway": "stream"})]), "relation": spark.createDataFrame([], kind)}
+    out = reconcile.reconcile_square(local, up, ["waterway", "name"])
+    assert rows(out["removed"]) == [(3,)]  # 4 is in use, 5 tagged, 6 a member, 7 on no way
+    assert rows(out["moved"]) == [(-1,)] and [(r.refs, r.tags) for r in out["way"].collect()] == [([1, 2], {"waterway": "stream", "ele": "9"})]
+
+
+def test_homes_stay_or_move(spark):
+    n = spark.createDataFrame([("f", "b", 1), ("f", "b", 2), ("f", "a", 3), ("g", "a", 1), ("g", "b", 2), ("h", "a", 1)], "feature string, square string, node int")
+    held = spark.createDataFrame([("f", "a"), ("g", "b"), ("h", "c")], "feature string, square string")
+    assert dict(rows(reconcile.homes(n, held))) == {"f": "b", "g": "b", "h": "a"} and dict(rows(reconcile.homes(n, held, move=False))) == {"f": "a", "g": "b", "h": "c"}
+    assert dict(rows(reconcile.homes(n, held.where("false")))) == {"f": "b", "g": "a", "h": "a"}
+
+
+def test_edges_close_across_from_nothing(spark):
+    def closed(mask, zone):
+        z = spark.createDataFrame(sorted(zone), "lon int, lat int")
+        m = full(spark, mask).withColumn("v", F.col("v").cast("int"))
+        return grid(cellsets.close_edges(m, (13, 13), (24.875, 46.125, 0.25), (25, 43, 28, 46), z), (13, 13), "v")
+
+    ones, every = np.ones((13, 13)), {(x, y) for x in range(24, 29) for y in range(42, 47)}
+    out = closed(ones, {p for p in every if p != (24, 44) and p[1] != 46})
+    assert out[0].sum() == 0 and out[5:9, 0].tolist() == [0] * 4 and out[9:12, 0].all() and out[1:5, 0].all() and out[1:, -1].all() and out[-1, 1:].all() and out[1:-1, 1:-1].all()
+    out = closed(ones, {(x, y) for x in range(25, 28) for y in range(43, 46)})
+    assert not (out[0].any() or out[-1].any() or out[:, 0].any() or out[:, -1].any()) and out[1:-1, 1:-1].all()
+    bare = ones.copy()
+    bare[0, :], bare[:, -1], bare[1, 3] = 0, 0, 0
+    out = closed(bare, every)
+    assert out[0, 1:-1].tolist() == [1, 1, 0] + [1] * 8 and out[1:, -1].all()
+    out = closed(ones, every - {(24, 45)})
+    assert out[0, 0] == 0 and out[0, 1:].all()
+
+
+def test_rays_doubles_forks_and_bodies(spark):
+    star = seg_table(spark, [(1, 10, [(4, -1), (4, 0)]), (2, 20, [(0, 4), (1, 9)]), (3, 30, [(-4, -4), (-4, 4)]), (4, 40, [(-9, -4), (9, -4)]), (5, 50, [(3, 3), (9, 1)])])
+    got = joins.rays(spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, x double, y double"), star, 20.0, 6, 5.0).collect()
+    assert [(r.n, r.low, r.high) for r in got] == [(8, 10, 50)]  # ends on a ray, and touched ends, are met
+    pts = [(-1, 0, 5.0, 0.0, 0.5), (-1, 1, 5.0, 9.0, 0.5), (-2, 0, 5.0, 0.0, 0.5), (-2, 1, 5.0, 50.0, 50.0), (-3, 0, 6.0, 0.0, 0.0)]
+    p = spark.createDataFrame(pts, "way_id long, seq int, ele double, x double, y double")
+    assert rows(joins.doubled_ways(p, seg_table(spark, [(7, 5, [(0, 0), (4, 0)]), (8, 5, [(6, 0), (10, 0)])]), 1.0, 5.0)) == [(-1,)]  # under the union of two
+    line = spark.createDataFrame([(1, i, n, 10.0) for i, n in enumerate((1, 2, 3))] + [(2, i, n, 10.0) for i, n in enumerate((2, 5))] + [(3, i, n, 10.0) for i, n in enumerate((3, 6, 7, 3))], "way_id long, seq int, node_id long, ele double")
+    assert rows(joins.forks(line)) == [(2, 10.0, 3, 2), (3, 10.0, 3, 2)]
+    ring = spark.createDataFrame([(9, *a, *b) for a, b in zip([(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], [(10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)])], "ring_id long, ax double, ay double, bx double, by double")
+    own = spark.createDataFrame([(9, 100)], "ring_id long, node_id long")
+    lines = {1: [(5, 5), (6, 6)], 2: [(-1, 5), (11, 5)], 3: [(20, 20), (30, 30)], 4: [(5, 5), (20, 5)]}
+    pts = spark.createDataFrame([(w, i, 100 if w == 4 else 10 * w + i, float(x), float(y)) for w, ps in lines.items() for i, (x, y) in enumerate(ps)], "way_id long, seq int, node_id long, x double, y double")
+    inside = joins.lines_in_rings(pts, seg_table(spark, [(w, 10 * w, ps) for w, ps in lines.items() if w != 4]), ring, own, 7.0)
+    assert rows(inside) == [(9, 1), (9, 2)]
+    assert rows(joins.spanned(inside, spark.createDataFrame([(w, 10.0 * w) for w in lines], "way_id long, ele double"))) == [(9, 2, 10.0, 20.0)]
+    assert rows(joins.held_lakes(spark.createDataFrame([(9, 5.0), (8, 5.0), (7, None)], "ring_id long, ele double"), inside)) == [(8, 5.0)]
 
 
 def test_edits_undo(spark):
@@ -252,8 +358,24 @@ def test_edits_undo(spark):
     assert refs(edits.join_ways(cut, ids.selectExpr("way_id", "-1L AS b"))) == refs(w)
     assert refs(edits.join_ways(w, ids.selectExpr("way_id", "2L AS b")))[1] == [1, 2, 3, 4, 5, 6]
     assert refs(edits.rotate_rings(w, w.where("way_id = 3").selectExpr("way_id", "1 AS at")))[3] == [8, 9, 7, 8]
-    assert refs(edits.delete_nodes(w, spark.createDataFrame([(7,), (5,), (6,)], "node_id long"))) == {1: [1, 2, 3, 4], 3: [8, 9, 8]}
+    assert refs(edits.delete_nodes(w, spark.createDataFrame([(7,), (5,), (6,)], "node_id long"))) == {1: [1, 2, 3, 4], 3: [8, 9]}
     assert refs(edits.insert_nodes(w, ids.selectExpr("way_id", "1 AS at", "99L AS node")))[1] == [1, 99, 2, 3, 4]
+    assert 3 not in refs(edits.delete_nodes(w, spark.createDataFrame([(7,), (8,)], "node_id long")))
+    assert refs(edits.splice_ways(w, ids.selectExpr("way_id", "0 AS lo", "2 AS hi", "2L AS other"))) == {1: [4, 5, 6, 4], 3: [7, 8, 9, 7]}
+    assert refs(edits.replace_ways(w, ids.selectExpr("way_id", "array(8L, 9L) AS new_refs")))[1] == [8, 9]
+    levels = edits.set_levels(w, spark.createDataFrame([(1, "25"), (2, None)], "way_id long, ele string"), "way_id")
+    assert {r.way_id: r.tags for r in levels.collect()} == {1: {"ele": "25"}, 2: {}, 3: {}}
+    kind = "relation_id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>"
+    rel = spark.createDataFrame([(1, [("way", 1, "outer"), ("way", 2, "inner")], {"natural": "water"}), (2, [("way", 2, "outer")], {"natural": "water", "type": "x"}), (3, [("way", 1, "label")], {"natural": "water"})], kind)
+    assert {r.relation_id: r.tags.get("type") for r in edits.type_water_relations(rel).collect()} == {1: "multipolygon", 2: "x", 3: None}
+    cut = spark.createDataFrame([(1, [1, -5])], "way_id long, pieces array<long>")
+    assert {r.relation_id: [(m.ref, m.role) for m in r.members] for r in edits.mend_members(rel, cut).collect()}[1] == [(1, "outer"), (-5, "outer"), (2, "inner")]
+    left, ways_left = edits.delete_relation_with_parts(rel.where("relation_id < 3"), w, spark.createDataFrame([(1,)], "relation_id long"))
+    assert [r.relation_id for r in left.collect()] == [2] and sorted(refs(ways_left)) == [2, 3]
+    fill = spark.createDataFrame([(1, [1, 2], {"a:fill": "x"}), (2, [2, 3], {})], "way_id long, refs array<long>, tags map<string,string>")
+    kept, nodes = edits.drop_fill_lines(fill, spark.createDataFrame([(1,), (2,), (3,)], "node_id long"), "a:fill")
+    assert refs(kept) == {2: [2, 3]} and rows(nodes) == [(2,), (3,)]
+    assert refs(edits.compound({"way": w}, [lambda s: {"way": edits.reverse_ways(s["way"], ids)}] * 2)["way"]) == refs(w)
     assert refs(edits.replace_section(w, ids.selectExpr("way_id", "1 AS lo", "2 AS hi", "array(50L) AS nodes")))[1] == [1, 50, 4]
 
 
@@ -348,7 +470,9 @@ def test_catalogue_takes_whole_tables(spark):
             gaps.setdefault(b - a, []).append(len(by[a]) + len(by[b]))
         if gaps:
             interval = max(gaps, key=lambda g: (len(gaps[g]), sum(gaps[g]), g))
-            phases = Counter(e % interval for e in by)
+            phases = Counter()
+            for e, held in by.items():
+                phases[e % interval] += len(held)
             want.append((square, interval, max(phases, key=lambda p: (phases[p], -p))))
     assert run("f3_infer_ladder") == sorted(want)
     root = {}
