@@ -13,7 +13,8 @@ goes to one shard only: the connected component of documents that share a group'
 Passages that many documents share would put unrelated documents into one shard. So hot shingles, found by counting all
 of them, are left out of the groups; what is left differs by no more than the sets do, so the argument holds wherever
 one of two sets has content in more than k groups. Sets without so much (they are hot for the most part) also go by
-the groups of all their shingles.
+the groups of all their shingles. The argument says more: of a set's groups with content all but k are its partner's too.
+A set that shares fewer of its groups with any others, as by a passage, has no link by them and makes no shard.
 
 Sets with the same shingles are one class, represented by its smallest doc_id, before anything else happens.
 """
@@ -32,8 +33,8 @@ from isoterra.llm import shared, words
 GROUPS = 64
 #: Sizes of a class of sets lie within this ratio.
 RATIO = 1.6
-#: Groups for each one that the pigeonhole needs, so that enough are not empty.
-SPARE = 1.1
+#: Groups for each one that the pigeonhole needs, so that more than those have content in all but very few sets.
+SPARE = 1.3
 #: Documents, and shingles of them, of a shard that one task joins; larger shards are joined chunk by chunk.
 CHUNK, ELEMENTS = 1500, 1_500_000
 #: Groups of the second bound, for sets of so many shingles that GROUPS tell little; cells of a block of pairs.
@@ -138,10 +139,11 @@ def _size_class(n: int) -> int:
 
 
 def _key_batches(num: int, den: int, k: int, lower: bool, hot):
-    def keys_of(u: np.ndarray) -> list[np.ndarray]:
+    def keys_of(u: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """Keys of a set's groups, kind after kind, with the kind and how many of them a set linked with it has too."""
         n, out = len(u), []
         c = _size_class(n)
-        common = hot.value
+        common = hot
         cold = u
         if len(common):
             at = np.searchsorted(common, u)
@@ -152,28 +154,32 @@ def _key_batches(num: int, den: int, k: int, lower: bool, hot):
             low = int(RATIO ** (at - 1)) + 1
             if differ >= 1 and (at == c or den * n >= num * low):
                 keys, filled = group_keys(cold, at, differ, m, 0, False)
-                out.append(keys)
+                out.append((keys, 2 * at, max(1, filled - differ)))
                 if filled <= differ:
-                    out.append(group_keys(u, at, differ, m, 1, True)[0])
+                    keys, _ = group_keys(u, at, differ, m, 1, True)
+                    out.append((keys, 2 * at + 1, max(1, len(keys) - differ)))
         return out
 
-    def flush(keys: list, of: list) -> pa.RecordBatch:
-        key = np.concatenate(keys)
-        d = np.repeat(np.array(of, np.uint64), [len(x) for x in keys])
+    def flush(found: list, of: list) -> pa.RecordBatch:
+        key = np.concatenate([x[0] for x in found])
+        each = [len(x[0]) for x in found]
+        d, kind, least = (np.repeat(np.array(x, t), each) for x, t in ((of, np.uint64), ([x[1] for x in found], np.int32), ([x[2] for x in found], np.int32)))
         order = np.lexsort((d, key))
-        key, d = key[order], d[order]
-        one = np.concatenate([[True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])])
-        key, d = key[one], d[one]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([first, [len(key)]]))
-        centre = np.repeat(d[first], size)
-        # of a block that is large here already, all but one go straight to that one
-        near = np.repeat(size > SMALL, size) & (centre != d)
-        key = np.where(near, words.mix(d + key), key)
-        return pa.record_batch([_signed(key), _signed(d), pa.array(centre.view(np.int64), mask=~near)], ["key", "d1", "near"])
+        k, e = key[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.concatenate([first, [len(k)]]))
+        # of a block that is large here already, all but one go straight to that one; a set's rows stay together
+        centre, once = np.empty_like(d), np.empty(len(d), bool)
+        centre[order] = np.repeat(e[first], size)
+        once[order] = np.concatenate([[True], (k[1:] != k[:-1]) | (e[1:] != e[:-1])])
+        large = np.empty(len(d), bool)
+        large[order] = np.repeat(size > SMALL, size)
+        near = large & (centre != d)
+        key = np.where(near, words.mix(d + key), key)[once]
+        return pa.record_batch([_signed(key), _signed(d[once]), pa.array(kind[once]), pa.array(least[once]), pa.array(centre[once].view(np.int64), mask=~near[once])], ["key", "d1", "kind", "least", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
+        found: list[tuple] = []
         of: list[int] = []
         held = 0
         for b in batches:
@@ -181,16 +187,16 @@ def _key_batches(num: int, den: int, k: int, lower: bool, hot):
                 if len(u):
                     d = _digest(u)
                     for x in keys_of(u):
-                        keys.append(x)
+                        found.append(x)
                         of.append(d)
-                        held += len(x)
+                        held += len(x[0])
                 if held > FLUSH:
                     with np.errstate(over="ignore"):
-                        yield flush(keys, of)
-                    keys, of, held = [], [], 0
+                        yield flush(found, of)
+                    found, of, held = [], [], 0
         if held:
             with np.errstate(over="ignore"):
-                yield flush(keys, of)
+                yield flush(found, of)
 
     return run
 
@@ -398,24 +404,27 @@ def keep_one(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5) -> Data
     return left.toDF(*docs.columns)
 
 
-def _hot_shingles(sized: DataFrame):
-    """Sorted hot shingles as a broadcast; their number is bounded by the mean size of a set, not by the corpus."""
+def _hot_shingles(sized: DataFrame) -> np.ndarray:
+    """Sorted hot shingles; their number is bounded by the mean size of a set, not by the corpus."""
     least = max(3.0, HOT * sized.count() / 2)
     rows = (
         sized.where("hot is not null").select(F.explode(F.arrays_zip("hot", "times")).alias("x"))
         .groupBy(F.col("x.hot").alias("hot")).agg(F.sum("x.times").alias("times")).where(F.col("times") >= least)
         .select("hot").toPandas()
     )
-    return sized.sparkSession.sparkContext.broadcast(np.sort(rows["hot"].to_numpy().astype(np.int64).view(np.uint64)))
+    return np.sort(rows["hot"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int, lower: bool, hot) -> DataFrame:
     """Links between class representatives that join all that is linked."""
-    keys = docs.where("doc_id is not null").mapInArrow(_key_batches(num, den, k, lower, hot), "key long, d1 long, near long")
+    keys = docs.where("doc_id is not null").mapInArrow(_key_batches(num, den, k, lower, hot), "key long, d1 long, kind int, least int, near long")
     w = Window.partitionBy("key")
     blocks = keys.withColumn("p", F.min("d1").over(w)).withColumn("q", F.max("d1").over(w)).where("p <> q or near is not null")
-    blocks = shared.written(blocks.select("key", "d1", "p", "near").distinct(), "ngram-blocks")
-    hot.unpersist()
+    blocks = shared.written(blocks.select("key", "d1", "kind", "least", "p", "near").distinct(), "ngram-blocks")
+    # of a set's groups of one kind, all that are filled but those that may differ are a linked set's too: a set with
+    # fewer groups that it shares with any other has no link by them
+    enough = blocks.groupBy("d1", "kind").agg(F.count("*").alias("held"), F.max("least").alias("least")).where("held >= least").select("d1", "kind")
+    blocks = blocks.join(enough, ["d1", "kind"], "left_semi")
     near = blocks.where("near is not null").select("d1", F.col("near").alias("p"), F.lit(True).alias("large"))
     blocks = blocks.where("near is null").drop("near")
     sizes = blocks.groupBy("key").agg(F.count("*").alias("c"))
