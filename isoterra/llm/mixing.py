@@ -25,6 +25,8 @@ WEIGHTS = (5, 2, 1)
 BLOCK = 128
 #: Parts of a source within which offsets are running sums, so that no source is one task.
 BUCKETS = 1 << 16
+#: Buckets of a larger part, so that the sums over a source are over few rows.
+PART = 256
 SHARDS = 64
 
 
@@ -126,8 +128,14 @@ def _mixed(docs: DataFrame, name: dict[str, str], share: float, most: float, sha
     placed = docs.join(sources, F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_bucket", bucket)
     placed = placed.withColumn("_tie", F.xxhash64(text))
     heads = held.join(sources.select("_no", "_name"), F.col("_source").eqNullSafe(F.col("_name"))).select("_no", "_bucket", "_held")
-    before = Window.partitionBy("_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("_head", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
+    # words before a bucket: those of the larger parts before its own, and in that part
+    part = F.floor(F.col("_bucket") / PART)
+    before = Window.partitionBy("_no").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = heads.groupBy("_no", part.alias("_part")).agg(F.sum("_held").alias("_sum"))
+    parts = parts.select("_no", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_first"))
+    inner = Window.partitionBy("_no", "_part").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_part", part).join(parts, ["_no", "_part"])
+    heads = heads.select("_no", "_bucket", (F.col("_first") + F.coalesce(F.sum("_held").over(inner), F.lit(0))).alias("_head"))
     within = Window.partitionBy("_no", "_bucket").orderBy(doc_id, "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.join(heads, ["_no", "_bucket"]).withColumn("_at", F.col("_head") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
