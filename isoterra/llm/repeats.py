@@ -29,7 +29,9 @@ ANCHOR = 6
 #: Bytes of a window's tag; with the anchor it makes 104 bits.
 TAG = 5
 #: Bytes of text that share an automaton.
-SHARD = 8 << 20
+SHARD = 4 << 20
+#: Bytes of passages that are sent on together.
+PASSAGES = 2 << 20
 #: Runs of windows for each document, and at all, from which an anchor is hot. Fewer than (mean anchors) / HOT can be.
 HOT, LEAST = 5e-4, 256
 #: Rows that propose a passage: windows at, at + 1, ... of row are said to be those at cat, cat + 1, ... of crow.
@@ -174,7 +176,7 @@ def _confirm_batches(window: int, hot: np.ndarray):
             ids = b.column("row").to_numpy()
             for x in _found(b.column("text"), window):
                 held.append(x)
-                if sum(y[5] for y in held) > 2 * SHARD:
+                if sum(y[5] for y in held) > 3 * SHARD:
                     yield from one(ids, held)
                     held = []
             if held:
@@ -244,14 +246,25 @@ def _words(column: pa.Array) -> list[list[bytes]]:
 def _passage_batches(window: int):
     """Rows (crow, cat, n, passage): the words of n windows from place cat on."""
 
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
         for b in batches:
-            out: list[tuple] = []
-            for row, text, places in zip(b.column("row").to_pylist(), b.column("text").cast(pa.large_binary()), b.column("places").to_pylist(), strict=True):
-                ws = (text.as_py() or b"").split()
-                out += [(row, p["cat"], p["n"], b" ".join(ws[p["cat"] : p["cat"] + p["n"] + window - 1])) for p in places]
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["crow", "cat", "n", "passage"])
+            # one text may be read for many documents: what is read goes on in pieces
+            texts = b.column("text").cast(pa.large_binary())
+            for i in range(b.num_rows):
+                ws = (texts[i].as_py() or b"").split()
+                row, places = b.column("row")[i].as_py(), b.column("places")[i].values
+                for cat, n in zip(places.field("cat").to_numpy().tolist(), places.field("n").to_numpy().tolist(), strict=True):
+                    out.append((row, cat, n, b" ".join(ws[cat : cat + n + window - 1])))
+                    held += len(out[-1][3])
+                    if held > PASSAGES:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["crow", "cat", "n", "passage"])
+                        out, held = [], 0
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["crow", "cat", "n", "passage"])
 
     return run
 
