@@ -163,9 +163,11 @@ def doubled_ways(points: DataFrame, segs: DataFrame, reach: float, size: float =
     return hits.join(sizes, ["way_id", "n"]).select("way_id")
 
 
-def odd_crossings(steps: DataFrame, segs: DataFrame, size: float = 2000.0) -> DataFrame:
+def odd_crossings(steps: DataFrame, segs: DataFrame, size: float = 2000.0, own: Column | None = None) -> DataFrame:
     """Steps (step_id, ax, ay, bx, by) that cross segments an odd number of times. Half-open: what touches a segment's
-    line counts on one side only, so that a step through a shared point counts once."""
+    line counts on one side only, so that a step through a shared point counts once. `own`, of a step, is the way_id of
+    a segment that it begins on and that does not count."""
+    steps = steps.withColumn("_own", F.lit(None).cast("long") if own is None else own)
     s = cells(steps, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("a")
     g = cells(segs, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size).alias("b")
     d1, d2 = X.orient(*_seg("b"), F.col("a.ax"), F.col("a.ay")), X.orient(*_seg("b"), F.col("a.bx"), F.col("a.by"))
@@ -175,6 +177,7 @@ def odd_crossings(steps: DataFrame, segs: DataFrame, size: float = 2000.0) -> Da
         return F.col(f"a.{c}") == F.floor(F.greatest(F.least(f"a.{lo}", f"a.{hi}"), F.least(f"b.{lo}", f"b.{hi}")) / size)
 
     met = s.join(g, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))).where(first_cell("ax", "bx", "cx") & first_cell("ay", "by", "cy"))
+    met = met.where(F.col("a._own").isNull() | (F.col("a._own") != F.col("b.way_id")))
     hit = met.where(((d1 > 0) != (d2 > 0)) & ((d3 > 0) != (d4 > 0)))
     return hit.groupBy(F.col("a.step_id").alias("step_id")).agg(F.count("*").alias("n")).where("n % 2 = 1").select("step_id")
 

@@ -944,3 +944,138 @@ def e6_close_edges(t):
     mask = t.full_cell().select("row", "col", (F.col("v") > 2).cast("int").alias("v"))
     held = t.spark.range(36).selectExpr("CAST(9 + id DIV 6 AS INT) AS lon", "CAST(39 + id % 6 AS INT) AS lat").where("(lon + lat) % 3 <> 0")
     return cellsets.close_edges(mask, (64, 64), (10.0, 44.0, 0.0625), (10, 40, 14, 44), held)
+
+
+# --- builds, territories, reports ---------------------------------------------------------------------------------
+
+@query(""", en AS (SELECT * FROM (VALUES (1, 20, 2, 30), (15, 40, 25, 50), (60, 63, 0, 64)) e(r0, r1, c0, c1)) SELECT row, col, count(r0) > 0 AS drawn FROM fc LEFT JOIN en ON row >= r0 AND row < r1 AND col >= c0 AND col < c1 GROUP BY row, col""")
+def e5_drawn_area(t):
+    from isoterra.operators import terrain
+
+    e = t.spark.createDataFrame([(1, 20, 2, 30), (15, 40, 25, 50), (60, 63, 0, 64)], "r0 int, r1 int, c0 int, c1 int")
+    return terrain.drawn_area(t.full_cell(), e, 16)
+
+
+@query("""SELECT row, col, CASE WHEN v % 7 = 1 THEN 99.0 WHEN v % 5 = 0 THEN 0.0 ELSE greatest(v - 3, 1.0) END AS v FROM fc""")
+def e15_clamp_patch(t):
+    from isoterra.operators import terrain
+
+    c = t.full_cell()
+    burned = c.where("v % 7 = 1").withColumn("v", F.lit(99.0))
+    return terrain.clamp_patch(c.withColumn("v", F.col("v") - 3), burned, c.withColumn("v", F.col("v") % 5))
+
+
+@query("""SELECT row, col, CASE k WHEN 1 THEN 200 WHEN 2 THEN 230 WHEN 3 THEN 235 ELSE 0 END AS r, CASE k WHEN 1 THEN 30 WHEN 2 THEN 120 WHEN 3 THEN 200 ELSE 0 END AS g, CASE k WHEN 1 THEN 30 WHEN 2 THEN 20 WHEN 3 THEN 40 ELSE 0 END AS b, CASE k WHEN 1 THEN 150 WHEN 2 THEN 140 WHEN 3 THEN 130 ELSE 0 END AS a FROM (SELECT row, col, CAST(v AS INT) % 5 AS k FROM fc)""")
+def e32_unreached_colour(t):
+    from isoterra.operators import terrain
+
+    return terrain.unreached_colour(t.full_cell().withColumn("class", F.col("v").cast("int") % 5), one_level=True)
+
+
+SEED_SQL = """, d AS (SELECT a.row, a.col, min(CASE WHEN b.v = 1 THEN (a.row - b.row) ** 2 + (a.col - b.col) ** 2 END) AS w, min(CASE WHEN b.v = 2 THEN (a.row - b.row) ** 2 + (a.col - b.col) ** 2 END) AS l, min(CASE WHEN b.v = 3 THEN (a.row - b.row) ** 2 + (a.col - b.col) ** 2 END) AS d
+  FROM fc a, (SELECT * FROM fc WHERE v IN (1, 2, 3)) b GROUP BY a.row, a.col),
+n AS (SELECT row, col, CASE WHEN w <= 36 THEN w ELSE 1e9 END AS w, CASE WHEN l <= 36 THEN l ELSE 1e9 END AS l, CASE WHEN d <= 36 THEN d ELSE 1e9 END AS d FROM d),
+y AS (SELECT *, d < w AND d <= 25 AS dry FROM n)
+SELECT row, col, w < CASE WHEN dry THEN least(l, d) ELSE l END AND w <= 25 AS water, dry FROM y"""
+
+
+@query(SEED_SQL)
+def e8_water_mask(t):
+    from isoterra.operators import sea
+
+    c = t.full_cell()
+    return sea.water_mask(c, c.where("v = 1"), c.where("v = 2"), c.where("v = 3"), reach=5)
+
+
+@query("SELECT DISTINCT row, col FROM fc WHERE v > 5 AND row % 2 = 0 AND col % 2 = 0")
+def e7b_lake_seeds(t):
+    from isoterra.operators import sea
+
+    return sea.lake_seeds(t.full_cell().where("v > 5"))
+
+
+@query(""", tg AS (SELECT r::INT AS row, c::INT AS col, degrees((9600000.0::DOUBLE + (c + 0.5) * 9000) / 6378137.0::DOUBLE) AS lon, degrees(atan((exp((2600000.0::DOUBLE - (r + 0.5) * 9000) / 6378137.0::DOUBLE) - exp(-(2600000.0::DOUBLE - (r + 0.5) * 9000) / 6378137.0::DOUBLE)) / 2)) AS lat FROM (SELECT unnest(range(40)) AS r), (SELECT unnest(range(40)) AS c)),
+fr AS (SELECT row, col, (lon - 86) / 0.0625 - 0.5 AS fx, (23 - lat) / 0.0625 - 0.5 AS fy FROM tg),
+k AS (SELECT fr.row, fr.col, v, (1 - abs(fy - fc.row)) * (1 - abs(fx - fc.col)) AS w FROM fr JOIN fc ON fc.row BETWEEN floor(fy) AND floor(fy) + 1 AND fc.col BETWEEN floor(fx) AND floor(fx) + 1)
+SELECT tg.row, tg.col, round(sum(w * v) / sum(w), 6) AS v FROM tg LEFT JOIN (SELECT * FROM k WHERE w > 0) k ON k.row = tg.row AND k.col = tg.col GROUP BY tg.row, tg.col""")
+def e9_mercator_warp(t):
+    from isoterra.operators import terrain
+
+    target = t.spark.range(1600).selectExpr("CAST(id DIV 40 AS INT) AS row", "CAST(id % 40 AS INT) AS col")
+    return terrain.warp(t.full_cell(), (86.0, 23.0, 0.0625), target, (9600000.0, 2600000.0, 9000.0)).select("row", "col", F.round("v", 6).alias("v"))
+
+
+@query(""", tt AS (SELECT n_nationkey AS rel, (n_nationkey % 5) * 4.0 + 80 AS w, (n_nationkey // 5) * 3.0 + 15 AS s FROM nation), bx AS (SELECT DISTINCT CAST(substr(square, 5, 3) AS INT) AS x, CAST(substr(square, 2, 2) AS INT) AS y, square FROM way)
+SELECT square AS box_id, rel, round((greatest(least(x + 1, w + 4.5) - greatest(x, w), 0) * greatest(least(y + 1, s + 3.25) - greatest(y, s), 0))::DOUBLE, 9) AS share FROM bx, tt WHERE greatest(least(x + 1, w + 4.5) - greatest(x, w), 0) * greatest(least(y + 1, s + 3.25) - greatest(y, s), 0) > 1e-5""")
+def d23_territory_shares(t):
+    from isoterra.operators import territory
+
+    n = t.table("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS rel", "0 AS ring", "(n_nationkey % 5) * 4D + 80 AS w", "(n_nationkey DIV 5) * 3D + 15 AS s")
+    ring = n.selectExpr("rel", "ring", "array(w, w + 4.5D, w + 4.5D, w) AS lons", "array(s, s, s + 3.25D, s + 3.25D) AS lats")
+    box = t.way().select("square").distinct().select(F.col("square").alias("box_id"), X.square_lon(F.col("square")).cast("double").alias("west"), X.square_lat(F.col("square")).cast("double").alias("south"))
+    box = box.withColumn("east", F.col("west") + 1).withColumn("north", F.col("south") + 1)
+    return territory.shares(box, ring).select("box_id", "rel", F.round("share", 9).alias("share"))
+
+
+@query("""SELECT square, (x + 0.5 - 87) ** 2 + (y + 0.5 - 20) ** 2 AS d2 FROM (SELECT DISTINCT square, CAST(substr(square, 5, 3) AS INT) AS x, CAST(substr(square, 2, 2) AS INT) AS y FROM way)""")
+def h5_nearest_squares(t):
+    from isoterra.operators import reports
+
+    return reports.nearest_squares(t.way().select("square").distinct(), (86.0, 19.0, 88.0, 21.0))
+
+
+@query("""SELECT p_brand AS zone, sha256(string_agg(l, chr(10) ORDER BY l)) AS digest FROM (SELECT p_brand, p_partkey || ' ' || p_size || ' ' || p_partkey * 7 AS l FROM part) GROUP BY p_brand""", bare=True)
+def m4_zone_digests(t):
+    from isoterra.operators import reports
+
+    return reports.zone_digest(t.table("part").selectExpr("p_brand AS zone", "CAST(p_partkey AS STRING) AS name", "p_size AS size", "p_partkey * 7 AS mtime"))
+
+
+@query("""SELECT user_id AS square, count(*) AS gone FROM (SELECT user_id, ts, max(ts) OVER (PARTITION BY user_id) AS m FROM events) WHERE ts < TIMESTAMP '2024-04-20' - INTERVAL 90 DAYS AND ts < m GROUP BY user_id""", bare=True)
+def l_prune(t):
+    from isoterra.operators import reports
+
+    e = t.table("events").select(F.col("user_id").alias("square"), F.col("ts").cast("timestamp_ntz").alias("kept_at"))
+    return reports.prune(e, F.expr("TIMESTAMP_NTZ '2024-04-20'")).groupBy("square").agg(F.count("*").alias("gone"))
+
+
+@query("""SELECT node_id, coalesce(lon >= west AND lon <= east AND lat >= south AND lat <= north, false) OR node_id % 11 = 0 AS kept FROM (SELECT spot.*, 'N' || CAST(floor(lat) AS BIGINT) || 'E0' || CAST(floor(lon) AS BIGINT) AS sq FROM spot) LEFT JOIN (SELECT square, min(lon) + 0.1 AS west, max(lon) - 0.1 AS east, min(lat) + 0.1 AS south, max(lat) - 0.1 AS north FROM line GROUP BY square) ON square = sq""")
+def c10_within_boxes(t):
+    from isoterra.operators import reports
+
+    box = t.line().groupBy("square").agg((F.min("lon") + 0.1).alias("west"), (F.max("lon") - 0.1).alias("east"), (F.min("lat") + 0.1).alias("south"), (F.max("lat") - 0.1).alias("north"))
+    return reports.within_boxes(t.spot(), box, t.spot().where("node_id % 11 = 0")).select("node_id", "kept")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE CASE c_custkey % 4 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END END AS kind, CASE WHEN c_custkey % 4 <> 3 THEN -c_custkey END AS ref FROM customer""", bare=True)
+def c14_find_by_id(t):
+    from isoterra.operators import reports
+
+    text = F.concat(F.expr("CASE c_custkey % 4 WHEN 0 THEN 'n' WHEN 1 THEN ' Way / ' WHEN 2 THEN 'relation:' ELSE 'x' END"), -F.col("c_custkey"))
+    return t.table("customer").select(F.col("c_custkey").alias("id"), reports.element_of(text).alias("e")).select("id", F.col("e.kind").alias("kind"), F.col("e.id").alias("ref"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'name' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN 'water' ELSE '' END AS keys FROM customer""", bare=True)
+def c9_kept_tags(t):
+    from isoterra.operators import reports
+
+    tags = F.expr("map_filter(map('note', 'x', 'water', IF(c_custkey % 3 = 0, 'lake', NULL), 'name', IF(c_custkey % 2 = 0, c_name, NULL)), (k, v) -> v IS NOT NULL)")
+    return t.table("customer").select(F.col("c_custkey").alias("id"), F.array_join(F.map_keys(reports.kept_tags(tags, ["name", "water"])), "").alias("keys"))
+
+
+@query(REFS_SQL + """, mv AS (SELECT DISTINCT node_id FROM wn WHERE node_id % 97 = 0) SELECT DISTINCT way_id FROM wn WHERE node_id IN (FROM mv) AND way_id % 5 <> 0""")
+def k3_moved_ways(t):
+    w = _refs(t)
+    return reconcile.moved_ways(w, t.way_node().where("node_id % 97 = 0").select("node_id"), w.where("way_id % 5 = 0"))
+
+
+@query("SELECT DISTINCT way_id * 100 AS node_id FROM wn WHERE way_id % 7 = 0 AND way_id % 5 <> 0 AND NOT (way_id % 21 = 0 AND way_id + 1 IN (SELECT way_id FROM wn))")
+def k2_removed_vertices(t):
+    p = t.way_node().select("way_id", "seq", (F.col("way_id") * 100 + F.col("seq")).alias("node_id"))
+    tags = F.expr("IF(way_id % 5 = 0, map('name', 'x'), cast(map() as map<string,string>)) AS tags")
+    node = p.select("node_id", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), tags)
+    own = F.array_sort(F.collect_list("node_id"))
+    way = p.groupBy("way_id").agg(own.alias("refs")).select("way_id", F.expr("IF(way_id % 21 = 1, concat(refs, array((way_id - 1) * 100)), refs) AS refs"), F.expr("cast(map() as map<string,string>) AS tags"))
+    up = way.where("way_id % 7 = 0").withColumn("refs", F.slice("refs", F.lit(2), F.size("refs")))
+    none = t.spark.createDataFrame([], "relation_id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>")
+    return reconcile.reconcile_square({"node": node, "way": way, "relation": none}, {"node": node.where("false"), "way": up, "relation": none}, ["name"])["removed"]
