@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from isoterra.functions import expressions as X
+from isoterra.operators import graph
 
 
 def cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
@@ -25,12 +26,7 @@ def segment_crossings(segs: DataFrame, size: float = 2000.0) -> DataFrame:
     held = cells(segs, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size)
     a, b = held.alias("a"), held.alias("b")
 
-    def first_cell(lo: str, hi: str, c: str) -> Column:
-        low = F.greatest(F.least(f"a.{lo}", f"a.{hi}"), F.least(f"b.{lo}", f"b.{hi}"))
-        return F.col(f"a.{c}") == F.floor(low / size)
-
-    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.way_id") < F.col("b.way_id")))
-    met = met.where(first_cell("ax", "bx", "cx") & first_cell("ay", "by", "cy"))
+    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.way_id") < F.col("b.way_id"))).where(_first_cell(size))
     t = X.crossing_parameter(_seg("a"), _seg("b"))
     return met.where(X.strictly_cross(_seg("a"), _seg("b"))).select(
         F.col("a.way_id").alias("way_a"), F.col("b.way_id").alias("way_b"), F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"),
@@ -50,17 +46,29 @@ def offenders(points: DataFrame) -> DataFrame:
     return both.groupBy(F.col("s.w").alias("way_id")).agg(F.countDistinct("s.p").alias("partners"), F.count("*").alias("crossings"))
 
 
+def _first_cell(size: float) -> Column:
+    """Whether the cell in which two boxes, a and b, meet is the first that both touch."""
+    def first(lo: str, hi: str, c: str) -> Column:
+        low = F.greatest(F.least(f"a.{lo}", f"a.{hi}"), F.least(f"b.{lo}", f"b.{hi}"))
+        return F.col(f"a.{c}") == F.floor(low / size)
+
+    return first("ax", "bx", "cx") & first("ay", "by", "cy")
+
+
 def self_crossings(segs: DataFrame, size: float = 2000.0) -> DataFrame:
-    """way_id, i, j: segments of one way that strictly cross; neighbours cannot, nor a ring's first and last."""
+    """way_id, i, j: segments of one way that strictly cross; neighbours cannot, nor a ring's first and last.
+
+    A pair is tested in the first cell that both boxes touch, so nothing has to be made distinct; a way of two segments
+    meets nothing."""
     w = Window.partitionBy("way_id")
-    held = segs.withColumn("n", F.max("seq").over(w))
-    ends = segs.groupBy("way_id").agg(F.min_by(F.struct("ax", "ay"), "seq").alias("s"), F.max_by(F.struct("bx", "by"), "seq").alias("e"))
-    ring = ends.select("way_id", ((F.col("s.ax") == F.col("e.bx")) & (F.col("s.ay") == F.col("e.by"))).alias("ring"))
-    held = cells(held.join(ring, "way_id"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size)
+    ends = [F.max("seq").over(w).alias("n"), F.min_by(F.struct("ax", "ay"), "seq").over(w).alias("s"), F.max_by(F.struct("bx", "by"), "seq").over(w).alias("e")]
+    held = segs.select("way_id", "seq", "ax", "ay", "bx", "by", *ends)
+    held = held.withColumn("ring", (F.col("s.ax") == F.col("e.bx")) & (F.col("s.ay") == F.col("e.by"))).drop("s", "e")
+    held = cells(held.where("n > 1"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size)
     a, b = held.alias("a"), held.alias("b")
     met = a.join(b, (F.col("a.way_id") == F.col("b.way_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("b.seq") - F.col("a.seq") >= 2))
-    met = met.where(~(F.col("a.ring") & (F.col("a.seq") == 0) & (F.col("b.seq") == F.col("b.n"))))
-    return met.where(X.strictly_cross(_seg("a"), _seg("b"))).select(F.col("a.way_id").alias("way_id"), F.col("a.seq").alias("i"), F.col("b.seq").alias("j")).distinct()
+    met = met.where(~(F.col("a.ring") & (F.col("a.seq") == 0) & (F.col("b.seq") == F.col("b.n"))) & _first_cell(size))
+    return met.where(X.strictly_cross(_seg("a"), _seg("b"))).select(F.col("a.way_id").alias("way_id"), F.col("a.seq").alias("i"), F.col("b.seq").alias("j"))
 
 
 def pinches(way_node: DataFrame) -> DataFrame:
@@ -93,8 +101,8 @@ def shared_nodes(line: DataFrame) -> DataFrame:
 def inside_rings(points: DataFrame, edges: DataFrame, size: float = 2000.0) -> DataFrame:
     """(point_id, ring_id) of points (point_id, x, y) in rings by the even-odd rule; edges are (ring_id, ax, ay, bx, by).
 
-    Points meet rings by the cells of the rings' boxes, then the edges at their height; half-open, so that a corner
-    counts once."""
+    Points meet rings by the cells of the rings' boxes, and of a ring the edges in the band of their height alone, so that
+    a long coast costs a point no more than a pond does; half-open, so that a corner counts once."""
     box = edges.groupBy("ring_id").agg(*(f(g(c, d)).alias(n) for n, f, g, c, d in (("x0", F.min, F.least, "ax", "bx"), ("x1", F.max, F.greatest, "ax", "bx"), ("y0", F.min, F.least, "ay", "by"), ("y1", F.max, F.greatest, "ay", "by"))))
     r = cells(box, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
     p = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
@@ -102,36 +110,42 @@ def inside_rings(points: DataFrame, edges: DataFrame, size: float = 2000.0) -> D
     hit = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (
         F.col("x") < F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
     )
-    return pair.join(edges, "ring_id").groupBy("point_id", "ring_id").agg(F.sum(hit.cast("int")).alias("n")).where("n % 2 = 1").select("point_id", "ring_id")
+    band = F.explode(F.sequence(F.floor(F.least("ay", "by") / size), F.floor(F.greatest("ay", "by") / size)))
+    pair, banded = pair.withColumn("_band", F.floor(F.col("y") / size)), edges.withColumn("_band", band)
+    return pair.join(banded, ["ring_id", "_band"]).groupBy("point_id", "ring_id").agg(F.sum(hit.cast("int")).alias("n")).where("n % 2 = 1").select("point_id", "ring_id")
 
 
-def nearest_point(points: DataFrame, others: DataFrame, size: float, rings: int = 1) -> DataFrame:
-    """point_id, other_id, d: the nearest of others (other_id, x, y); exact.
+def nearest_point(points: DataFrame, others: DataFrame, size: float) -> DataFrame:
+    """point_id, other_id, d: the nearest of others (other_id, x, y); exact. Ties go to the smaller id; without others both
+    are null.
 
-    Cells around a point's are searched `rings` wide; where the best is farther than they surely reach, or there is
-    none, that point's search is done again twice as wide. Ties go to the smaller id."""
-    todo, found, reach = points, None, rings
-    o = others.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size)).select("cx", "cy", "other_id", F.col("x").alias("ox"), F.col("y").alias("oy"))
-    extent = others.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    far = points.agg(F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
-    if extent[0] is None or far[0] is None:
+    A point looks into its cell and the eight around. What it finds there is the nearest if it is no farther than a cell is
+    wide; else the point, and those that found nothing, go on with cells four times as wide. Each round is a table of its
+    own, so that no round is done again for the next."""
+    reach = others.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    extent = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if reach[0] is None or extent[0] is None:
         return points.select("point_id", F.lit(None).cast("long").alias("other_id"), F.lit(None).cast("double").alias("d"))
-    most = max(2, int(max(extent[0] + far[0] - far[1], extent[1] + far[2] - far[3]) / size) + 2)
+    widest = max(max(reach[i + 1], extent[i + 1]) - min(reach[i], extent[i]) for i in (0, 2))
+    todo, found = points.select("point_id", "x", "y"), None
+    step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     while True:
-        around = F.sequence(F.lit(-reach), F.lit(reach))
-        p = todo.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
-        p = p.withColumn("cx", F.floor(F.col("x") / size) + F.col("i")).withColumn("cy", F.floor(F.col("y") / size) + F.col("j"))
+        o = others.select(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"), "other_id", F.col("x").alias("ox"), F.col("y").alias("oy"))
+        near = todo.withColumn("i", F.explode(step)).withColumn("j", F.explode(step))
+        near = near.withColumn("cx", F.floor(F.col("x") / size) + F.col("i")).withColumn("cy", F.floor(F.col("y") / size) + F.col("j"))
         d = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
-        best = p.join(o, ["cx", "cy"]).withColumn("d", d).groupBy("point_id").agg(F.min(F.struct("d", "other_id")).alias("b"))
+        best = near.join(o, ["cx", "cy"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "other_id")).alias("b"))
         best = best.select("point_id", F.col("b.other_id").alias("other_id"), F.col("b.d").alias("d"))
-        sure = best if reach >= most else best.where(F.col("d") <= reach * size)
+        last = size >= widest
+        sure = best if last else best.where(F.col("d") <= size)
+        if last:
+            return sure if found is None else found.union(sure)
+        sure = graph._ready(sure)
         found = sure if found is None else found.union(sure)
-        if reach >= most:
-            return found
-        todo = todo.join(found.select("point_id"), "point_id", "left_anti")
+        todo = graph._ready(todo.join(sure.select("point_id"), "point_id", "left_anti"))
         if todo.isEmpty():
             return found
-        reach *= 4
+        size *= 4
 
 
 def gone(local: DataFrame, upstream: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,10 +187,7 @@ def odd_crossings(steps: DataFrame, segs: DataFrame, size: float = 2000.0, own:
     d1, d2 = X.orient(*_seg("b"), F.col("a.ax"), F.col("a.ay")), X.orient(*_seg("b"), F.col("a.bx"), F.col("a.by"))
     d3, d4 = X.orient(*_seg("a"), F.col("b.ax"), F.col("b.ay")), X.orient(*_seg("a"), F.col("b.bx"), F.col("b.by"))
 
-    def first_cell(lo: str, hi: str, c: str) -> Column:
-        return F.col(f"a.{c}") == F.floor(F.greatest(F.least(f"a.{lo}", f"a.{hi}"), F.least(f"b.{lo}", f"b.{hi}")) / size)
-
-    met = s.join(g, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))).where(first_cell("ax", "bx", "cx") & first_cell("ay", "by", "cy"))
+    met = s.join(g, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))).where(_first_cell(size))
     met = met.where(F.col("a._own").isNull() | (F.col("a._own") != F.col("b.way_id")))
     hit = met.where(((d1 > 0) != (d2 > 0)) & ((d3 > 0) != (d4 > 0)))
     return hit.groupBy(F.col("a.step_id").alias("step_id")).agg(F.count("*").alias("n")).where("n % 2 = 1").select("step_id")
