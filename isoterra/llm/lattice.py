@@ -123,15 +123,15 @@ def _verify_batches(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = b.column("va").to_pylist(), b.column("vb").to_pylist()
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                if len(x) != len(y):
-                    keep.append(False)
-                    continue
-                p, q = np.frombuffer(x, np.float64), np.frombuffer(y, np.float64)
-                p, q = p / np.abs(p).max(), q / np.abs(q).max()
-                keep.append(bool(np.dot(p, q) / math.sqrt(np.dot(p, p) * np.dot(q, q)) >= threshold))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sizes = np.array([len(x) if len(x) == len(y) else 0 for x, y in zip(left, right, strict=True)])
+            keep = np.zeros(len(sizes), bool)
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == n)
+                p, q = (np.frombuffer(b"".join(side[i] for i in at.tolist()), np.float64).reshape(len(at), -1) for side in (left, right))
+                p, q = p / np.abs(p).max(1)[:, None], q / np.abs(q).max(1)[:, None]
+                dot = lambda u, v: np.einsum("ij,ij->i", u, v)
+                keep[at] = dot(p, q) / np.sqrt(dot(p, p) * dot(q, q)) >= threshold
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -143,6 +143,9 @@ def near_duplicates(data: DataFrame, threshold: float = 0.9) -> DataFrame:
     and kept (vec_id = component_id), a row for every input row. Vectors that are null, empty, zero or hold a null or
     non-finite number link with nothing, nor do vectors of different dimensions or rows without vec_id (component and
     kept null). Rows that repeat a vec_id are vectors of their own that share a vertex. Other columns are ignored.
+
+    The sketches lose a pair at the threshold with a chance below 1e-9 (six standard deviations of SKETCH signs), the tables
+    one that meets in none of them: recall is measured, not proven.
     """
     rows = data.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     valid = rows.mapInArrow(_class_batches, "vec_id long, vec binary").withColumn("h", F.sha2("vec", 256))

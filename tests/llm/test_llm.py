@@ -512,6 +512,19 @@ def test_lattice_points_are_nearest():
     assert np.allclose((p * 2).round(), p * 2) and np.allclose(p.sum(1) % 2, 0)
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(20000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(1)[:, None] * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1)[:, None]
+    axes = rng.standard_normal((24, lattice.SKETCH))
+    apart = ((x @ axes > 0) != (y @ axes > 0)).sum(1)
+    angle = math.acos(0.9) / math.pi
+    assert apart.max() <= lattice.SKETCH * angle + 6 * math.sqrt(lattice.SKETCH * angle * (1 - angle))
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 16))
