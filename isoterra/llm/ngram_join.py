@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from isoterra.llm import shared, words
 
@@ -393,14 +393,15 @@ def keep_one(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5) -> Data
     gone = shared.written(ids.where("component_id <> id").select("id"), "ngram-gone")
     twice = shared.written(ids.where("component_id = id and n > 1").select("id"), "ngram-twice")
 
-    def held(x: DataFrame) -> DataFrame:
-        return F.broadcast(x) if x.count() <= shared.BROADCAST_ROWS else x
+    def cut(x: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
+        if ids.count() <= shared.BROADCAST_ROWS and rows.schema[own].dataType == T.LongType():
+            return shared.among(x, shared.collected(ids), own, keep)
+        return x.join(ids, F.col(own) == F.col("id"), "left_semi" if keep else "left_anti")
 
-    left = rows.join(held(gone), F.col(own) == F.col("id"), "left_anti")
+    left = cut(rows, gone, False)
     if not twice.isEmpty():
-        small = held(twice)
-        once = left.join(small, F.col(own) == F.col("id"), "left_semi").dropDuplicates([own])
-        left = left.join(small, F.col(own) == F.col("id"), "left_anti").union(once)
+        once = cut(left, twice, True).dropDuplicates([own])
+        left = cut(left, twice, False).union(once)
     return left.toDF(*docs.columns)
 
 
@@ -410,9 +411,9 @@ def _hot_shingles(sized: DataFrame) -> np.ndarray:
     rows = (
         sized.where("hot is not null").select(F.explode(F.arrays_zip("hot", "times")).alias("x"))
         .groupBy(F.col("x.hot").alias("hot")).agg(F.sum("x.times").alias("times")).where(F.col("times") >= least)
-        .select("hot").toPandas()
+        .select("hot")
     )
-    return np.sort(rows["hot"].to_numpy().astype(np.int64).view(np.uint64))
+    return np.sort(shared.collected(rows).view(np.uint64))
 
 
 def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int, lower: bool, hot) -> DataFrame:
@@ -443,8 +444,7 @@ def _class_edges(docs: DataFrame, classes: DataFrame, num: int, den: int, k: int
     shards = shared.written(shards.select(F.col("v").alias("doc_id"), F.col("component").alias("shard")).join(sizes, "doc_id"), "ngram-shards")
     chunks = shards.groupBy("shard").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / ELEMENTS)).cast("int").alias("chunks"))
     chunks = shared.written(chunks.where("chunks > 1"), "ngram-chunks")
-    many = F.broadcast(chunks) if chunks.count() <= shared.BROADCAST_ROWS // 8 else chunks
-    placed = shards.join(many, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = shards.join(chunks, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
 
     # a task joins a whole shard, or a chunk of a large one together with the shard's pivots: those that share most
@@ -484,8 +484,9 @@ def _joined(docs: DataFrame, slots: DataFrame, num: int, den: int, k: int, lower
     """Edges found by the tasks (shard, mine, chunk) of slots; a document's shingles are made anew from its text."""
     slots = slots.groupBy("doc_id", "shard").agg(F.collect_list(F.struct("mine", "chunk", "label", "part")).alias("slots"))
     slots = shared.written(slots, "ngram-slots")
-    small = slots.count() <= shared.BROADCAST_ROWS // 8
-    sets = docs.join(F.broadcast(slots) if small else slots, "doc_id").mapInArrow(
+    if slots.count() <= shared.BROADCAST_ROWS:  # only the texts that have slots are shuffled; the slots never go through the driver
+        docs = shared.among(docs, shared.collected(slots.select("doc_id")), "doc_id")
+    sets = docs.join(slots.hint("merge"), "doc_id").mapInArrow(
         _set_batches(k, lower), "doc_id long, shard long, slots array<struct<mine:int,chunk:int,label:long,part:int>>, elements binary"
     )
     each = sets.select("doc_id", "shard", F.explode("slots").alias("s"), "elements").select("doc_id", "shard", "s.*", "elements")

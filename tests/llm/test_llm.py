@@ -557,3 +557,19 @@ def test_pipeline_is_its_stages(spark):
     got = pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and got
     assert json.dumps([n for n, _ in pipeline.STAGES])
+
+
+def test_near_copies_go_without_broadcasting_hash_tables(spark, capsys):
+    from isoterra.llm import shared
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words of no copy at all here"), (3, "other words of no copy at all here"), (None, text), (5, None)], "doc_id long, text string")
+    kept = ngram_join.keep_one(docs)
+    kept.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 5]
+    rows = spark.createDataFrame([(1,), (2,), (None,), (9,)], "a long")
+    for ids, inside in (([2, 9], {2, 9}), ([], set())):
+        held = np.array(ids, np.int64)
+        assert {r.a for r in shared.among(rows, held, "a").collect()} == inside
+        assert {r.a for r in shared.among(rows, held, "a", False).collect()} == {1, 2, None, 9} - inside
