@@ -29,6 +29,9 @@ SPARE = 0.1
 WIDTH, GROWTH = 0.7, 1.15
 #: Largest norm of a band to its smallest; vectors of a band that has no projections.
 RATIO, WHOLE = 1.1, 2048
+#: Parts of as many vectors each that a sorted array is kept in, at most: windows end at their edges, never short of a vector,
+#: and a place is one byte.
+CUTS = 256
 #: Vectors of a shard; queries of a block for each shard that there is, and at most: what every block needs of a shard is
 #: small beside its own work.
 SHARD, BLOCK, LARGE = 65536, 512, 8192
@@ -46,17 +49,18 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SortedProjections:
-    """Index of one band: sorted projections, and each vector's place in every one of them."""
+    """Index of one band: where the parts of the sorted projections start, and each vector's part in every one of them."""
 
     def __init__(self, x: np.ndarray, norm2: float, k: int, seed: int = 7):
         self.x, n = x, len(x)
         lift = np.sqrt(np.maximum(norm2 - (x * x).sum(1), 0))
         self.axes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, PROJECTIONS))
         p = np.ascontiguousarray((x @ self.axes[:-1] + lift[:, None] * self.axes[-1]).astype(np.float32).T)
-        self.place = np.zeros(p.shape, np.uint16 if n < 1 << 16 else np.uint32)
+        step = -(-n // CUTS)
+        self.place = np.zeros(p.shape, np.uint8)
         for row, place in zip(p, self.place, strict=True):
-            place[np.argsort(row, kind="stable")] = np.arange(n, dtype=place.dtype)
-        self.sorted = np.sort(p, axis=1)
+            place[np.argsort(row, kind="stable")] = np.arange(n) // step
+        self.starts = np.sort(p, axis=1)[:, ::step].copy()
         self.width = WIDTH * (float(p.std()) or 1.0)
         # narrower windows than those that some of the band's own vectors need are not tried for the queries
         tried = [self.candidates(x[i], norm2, k)[1] for i in range(0, n, max(1, n // 5))]
@@ -67,18 +71,18 @@ class SortedProjections:
         n = len(self.x)
         at = q @ self.axes[:-1] * np.sqrt(norm2 / max(float(q @ q), 1e-300))
         need, wanted = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, k + int(np.ceil(SPARE * n)))
-        width, kind = self.width, self.place.dtype.type
-        moved, inside = np.empty(n, kind), np.empty(n, bool)
+        width, cuts = self.width, self.starts.shape[1]
+        moved, inside = np.empty(n, np.uint8), np.empty(n, bool)
         while True:
             count = np.zeros(n, np.uint8)
-            edges = np.stack([at - width, at + width], axis=1).astype(np.float32)
-            for place, row, ends in zip(self.place, self.sorted, edges, strict=True):
-                low, high = np.searchsorted(row, ends)
-                if high - low == n:
+            lows, highs = ((self.starts < (at + w).astype(np.float32)[:, None]).sum(1) for w in (-width, width))
+            lows = np.maximum(lows - 1, 0)  # what begins before the window may reach into it
+            for place, low, high in zip(self.place, lows.tolist(), highs.tolist(), strict=True):
+                if high - low == cuts:
                     count += 1
                 elif high > low:  # places from low to high, those below low wrap round
-                    np.subtract(place, kind(low), out=moved)
-                    np.less(moved, kind(high - low), out=inside)
+                    np.subtract(place, np.uint8(low), out=moved)
+                    np.less(moved, np.uint8(high - low), out=inside)
                     count += inside.view(np.uint8)
             found = np.flatnonzero(count >= need)
             if len(found) >= wanted:
@@ -90,7 +94,8 @@ class Banded:
     """Index of one shard: bands of like norms, longest first. Inside, vectors are measured by the shard's largest number."""
 
     def __init__(self, x: np.ndarray, k: int):
-        self.x, unit = x, x / np.abs(x).max()
+        self.x, self.scale = x, np.abs(x).max()
+        unit = x / self.scale
         norm = np.sqrt((unit * unit).sum(1))
         order, self.bands = np.argsort(-norm, kind="stable"), []
         falling = -norm[order]
@@ -99,25 +104,29 @@ class Banded:
             longest = -falling[a]
             z = max(a + 1, int(np.searchsorted(falling, -longest / RATIO, side="right")))
             place = np.sort(order[a:z])  # as they came: norms that differ by rounding change nothing
-            self.bands.append((longest, place, unit[place], SortedProjections(unit[place], longest**2, k) if z - a > WHOLE else None))
+            self.bands.append((longest, place, SortedProjections(unit[place], longest**2, k) if z - a > WHOLE else None))
             a = z
 
     def best(self, q: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best for q, without its own id. A sum that is no number is the least."""
         unit = q / np.abs(q).max()
         length, found, score, measure = float(np.sqrt(unit @ unit)), np.zeros(0, ids.dtype), np.zeros(0), np.zeros(0)
-        for longest, place, x, index in self.bands:
+        for longest, place, index in self.bands:
             if len(score) == k and measure[-1] > length * longest * (1 + 1e-9):
                 break
             if index is not None:
                 some, _ = index.candidates(unit, longest**2, k + 1)
-                place, x = place[some], x[some]
-            other = ids[place] != own
+                place = place[some]
+            place = place[ids[place] != own]
             with np.errstate(over="ignore", invalid="ignore"):
-                exact = np.einsum("ij,j->i", self.x[place[other]], q)
-            found = np.concatenate([found, ids[place[other]]])
-            score = np.concatenate([score, np.where(np.isnan(exact), -np.inf, exact)])
-            measure = np.concatenate([measure, np.einsum("ij,j->i", x[other], unit)])
+                exact = np.einsum("ij,j->i", self.x[place], q)
+            exact[np.isnan(exact)] = -np.inf
+            if len(place) > k:  # all that tie with the k-th stay
+                best = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+                place, exact = place[best], exact[best]
+            found = np.concatenate([found, ids[place]])
+            score = np.concatenate([score, exact])
+            measure = np.concatenate([measure, np.einsum("ij,j->i", self.x[place] / self.scale, unit)])
             first = np.lexsort((found, -score))[:k]
             found, score, measure = found[first], score[first], measure[first]
         return found, score

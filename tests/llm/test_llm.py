@@ -573,3 +573,18 @@ def test_near_copies_go_without_broadcasting_hash_tables(spark, capsys):
         held = np.array(ids, np.int64)
         assert {r.a for r in shared.among(rows, held, "a").collect()} == inside
         assert {r.a for r in shared.among(rows, held, "a", False).collect()} == {1, 2, None, 9} - inside
+
+
+def test_windows_hold_every_vector_inside_and_places_are_bytes():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16))
+    index = ann.SortedProjections(x, float((x * x).sum(1).max()), 20)
+    assert index.place.dtype == np.uint8  # a pass over all vectors for each projection reads one byte of each
+    norm2 = float((x * x).sum(1).max())
+    lift = np.sqrt(np.maximum(norm2 - (x * x).sum(1), 0))
+    for q in rng.standard_normal((5, 16)):
+        found, width = index.candidates(q, norm2, 20)
+        at = q @ index.axes[:-1] * np.sqrt(norm2 / (q @ q))
+        p = x @ index.axes[:-1] + lift[:, None] * index.axes[-1]
+        inside = (np.abs(p - at) < width * 0.9999).sum(1) >= np.ceil(ann.COLLISIONS * ann.PROJECTIONS)
+        assert set(np.flatnonzero(inside)) <= set(found.tolist()) and len(found) >= 20 + 0.1 * len(x)
