@@ -135,23 +135,39 @@ def _hot_anchors(docs: DataFrame, window: int) -> np.ndarray:
     return np.sort(np.array([r["phrase"] for r in rows], np.int64).view(np.uint64))
 
 
+def _column(pieces: list[list], k: int) -> np.ndarray:
+    """Column k of all pieces as one array; the pieces lose it."""
+    out = np.concatenate([x[k] for x in pieces])
+    for x in pieces:
+        x[k] = None
+    return out
+
+
 def _confirm_batches(window: int, hot: np.ndarray):
     """Rows (route, row, at, n, tags, crow, cat): runs of n windows, with tags if they are to meet others at the route,
     or with the place where the same windows stand in the batch."""
 
     def one(ids: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
-        doc, start, whole, anchor, phrase = (np.concatenate(x) for x in list(zip(*found, strict=True))[:5])
-        order = np.argsort(whole, kind="stable")
+        # a column at a time, and what has been read goes: windows are many times their text
+        doc, start, whole, anchor, phrase = (_column(found, k) for k in range(5))
+        order = np.argsort(whole, kind="stable").astype(np.int32)
         same = np.concatenate([[False], whole[order][1:] == whole[order][:-1]])
+        travels = np.zeros(len(doc), bool)
+        travels[order[~same]] = True
+        yield known(ids, doc, start, order, same)
+        del order, same
+        yield routed(ids, doc, start, whole, anchor, phrase, travels)
+
+    def known(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, order: np.ndarray, same: np.ndarray) -> pa.RecordBatch:
         member, other = _others(order, same)
-        row, at, n, crow, cat = _runs(ids[doc[member]], start[member], np.ones(len(member), np.int64), ids[doc[other]], start[other])
+        row, at, n, crow, cat = _runs(doc[member], start[member], np.ones(len(member), np.int32), doc[other], start[other])
+        row, at, n, crow, cat = ids[row], at.astype(np.int64), n.astype(np.int64), ids[crow], cat.astype(np.int64)
         none = pa.nulls(len(row), pa.binary())
         with np.errstate(over="ignore"):
             apart = words.mix(row.view(np.uint64) + at.astype(np.uint64)).view(np.int64)
-        yield pa.record_batch([pa.array(apart), pa.array(row), pa.array(at), pa.array(n), none, pa.array(crow), pa.array(cat)], _SENT)
+        return pa.record_batch([pa.array(apart), pa.array(row), pa.array(at), pa.array(n), none, pa.array(crow), pa.array(cat)], _SENT)
 
-        travels = np.zeros(len(doc), bool)
-        travels[order[~same]] = True
+    def routed(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, whole: np.ndarray, anchor: np.ndarray, phrase: np.ndarray, travels: np.ndarray) -> pa.RecordBatch:
         common = np.zeros(len(doc), bool)
         if len(hot):
             place = np.searchsorted(hot, phrase)
@@ -160,25 +176,27 @@ def _confirm_batches(window: int, hot: np.ndarray):
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)]) | common)
         size = np.diff(np.concatenate([cut, [len(doc)]]))
         ship = np.logical_or.reduceat(travels, cut)
-        with np.errstate(over="ignore"):
-            tag = words.mix(whole ^ np.uint64(0x7A67)).view(np.uint8).reshape(-1, 8)[:, :TAG]
-            route = np.where(common, words.mix(phrase + whole), phrase)[cut][ship]
-        flat = np.ascontiguousarray(tag[np.repeat(ship, size)]).tobytes()
+        sent = whole[np.repeat(ship, size)]
         cut, size = cut[ship], size[ship]
+        with np.errstate(over="ignore"):
+            route = np.where(common[cut], words.mix(phrase[cut] + whole[cut]), phrase[cut])
+            tag = words.mix(sent ^ np.uint64(0x7A67)).view(np.uint8).reshape(-1, 8)[:, :TAG]
+        flat = np.ascontiguousarray(tag)
         offsets = np.concatenate([[0], np.cumsum(size * TAG)]).astype(np.int32)
-        tags = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+        tags = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
         none = pa.nulls(len(cut), pa.int64())
-        yield pa.record_batch([pa.array(route.view(np.int64)), pa.array(ids[doc[cut]]), pa.array(start[cut]), pa.array(size), tags, none, none], _SENT)
+        return pa.record_batch([pa.array(route.view(np.int64)), pa.array(ids[doc[cut]]), pa.array(start[cut].astype(np.int64)), pa.array(size), tags, none, none], _SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list = []
-            ids = b.column("row").to_numpy()
-            for x in _found(b.column("text"), window):
-                held.append(x)
-                if sum(y[5] for y in held) > 3 * SHARD:
+            ids, size = b.column("row").to_numpy(), 0
+            for *x, n in _found(b.column("text"), window):
+                held.append([y.astype(np.int32) if y.dtype == np.int64 else y for y in x])
+                size += n
+                if size > 3 * SHARD:
                     yield from one(ids, held)
-                    held = []
+                    held, size = [], 0
             if held:
                 yield from one(ids, held)
 
@@ -201,22 +219,29 @@ def _meet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             held.append(rest)
     if not held:
         return
-    t = pa.Table.from_batches(held).combine_chunks()
-    n = t.column("n").to_numpy()
-    flat = np.concatenate([_binary(x) for x in t.column("tags").chunks]).reshape(-1, TAG)
-    wide = np.zeros((len(flat), 8), np.uint8)
-    wide[:, :TAG] = flat
-    del flat
-    tag, route = wide.view(np.uint64).ravel(), np.repeat(t.column("route").to_numpy().view(np.uint64), n)
-    row = np.repeat(t.column("row").to_numpy(), n)
-    at = np.repeat(t.column("at").to_numpy() - np.cumsum(n) + n, n) + np.arange(len(tag))
+    n, route, row, at = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("n", "route", "row", "at"))
+    wide = np.zeros((int(n.sum()), 8), np.uint8)
+    done = 0
+    while held:
+        flat = _binary(held.pop(0).column("tags")).reshape(-1, TAG)
+        wide[done : done + len(flat), :TAG] = flat
+        done += len(flat)
+    tag, route = wide.view(np.uint64).ravel(), route.view(np.uint64)
     with np.errstate(over="ignore"):
-        key = words.mix(tag + words.mix(route))
+        key = np.repeat(words.mix(route), n)
+        key += tag
+        key = words.mix(key)
     order = np.argsort(key, kind="stable")
-    again = key[order][1:] == key[order][:-1]
-    some = np.concatenate([[False], again]) | np.concatenate([again, [False]])
-    order = order[some]  # of those that may be alike, by all bits; the smallest row and place first
-    order = order[np.lexsort((at[order], row[order], tag[order], route[order]))]
+    key = key[order]
+    again = key[1:] == key[:-1]
+    order = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])]
+    del key, again
+    # of those that may be alike, by all bits; the smallest row and place first. Only they get their row and place.
+    begin = np.cumsum(n) - n
+    piece = np.searchsorted(begin, order, side="right") - 1
+    tag, route, row, at = tag[order], route[piece], row[piece], at[piece] + order - begin[piece]
+    del wide, piece
+    order = np.lexsort((at, row, tag, route))
     same = np.concatenate([[False], (tag[order][1:] == tag[order][:-1]) & (route[order][1:] == route[order][:-1])])[: len(order)]
     if not len(order):
         return

@@ -114,6 +114,22 @@ def test_repeats_are_brute_force(spark, corpus, window):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_windows_take_little_memory():
+    """Windows are many times their text: columns that have been read go before the next ones are made."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 100_000, 900).tolist())) for _ in range(2000)]
+    rows = pa.record_batch([pa.array(np.arange(2000)), pa.array(texts)], ["row", "text"])
+    sent = None
+    for f, most in ((repeats._confirm_batches(35, np.zeros(0, np.uint64)), 75), (repeats._meet_batches, 55)):
+        tracemalloc.start()
+        sent = list(f(iter([rows] if sent is None else sent)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak / 1.73e6 < most  # bytes a window
+
+
 def test_repeats_with_hot_anchors_and_false_proposals(spark, corpus, monkeypatch):
     want = sorted(map(str, repeats.remove_repeats(docs_of(spark, corpus), 12).collect()))
     monkeypatch.setattr(repeats, "LEAST", 3)  # what a few documents share travels window by window
