@@ -57,6 +57,16 @@ def test_crossing_hand_cases(spark):
     assert [(r.way_a, r.way_b, r.x, r.y) for r in got.collect()] == [(1, 2, 1.0, 0.0)]
 
 
+def test_offenders_are_counted_in_tiles(spark):
+    rng = random.Random(11)
+    lines = [(w, 100, [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(rng.randrange(2, 9))]) for w in range(60)]
+    lines.append((90, 100, [(-500, 3), (500, 4)]))  # over many tiles
+    segs = seg_table(spark, lines)
+    got = joins.crossing_offenders(segs, 4.0)
+    assert rows(got) == rows(joins.offenders(joins.crossing_points(joins.segment_crossings(segs, 7.0))))
+    assert "way_a" not in got._jdf.queryExecution().executedPlan().toString()  # no pair goes through an exchange
+
+
 def test_crossings_are_brute_force(spark):
     rng = random.Random(1)
     lines = [(w, w * 5, [(rng.uniform(0, 50), rng.uniform(0, 50)) for _ in range(4)]) for w in range(30)]
