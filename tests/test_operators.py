@@ -57,6 +57,11 @@ def test_crossing_hand_cases(spark):
     assert [(r.way_a, r.way_b, r.x, r.y) for r in got.collect()] == [(1, 2, 1.0, 0.0)]
 
 
+def test_crossings_deal_segments_once(spark):
+    segs = seg_table(spark, [(1, 100, [(0, 0), (2, 0)]), (2, 125, [(1, -1), (1, 1)])])
+    assert "Join" not in joins.segment_crossings(segs, 1.0)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_offenders_are_counted_in_tiles(spark):
     rng = random.Random(11)
     lines = [(w, 100, [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(rng.randrange(2, 9))]) for w in range(60)]
