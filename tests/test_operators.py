@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from isoterra.functions import expressions as X
-from isoterra.operators import cellsets, edits, graph, joins, kernels, ladder, raster, reconcile, sequences
+from isoterra.operators import cellsets, edits, graph, joins, kernels, ladder, raster, reconcile, sequences, tiles
 from isoterra.plans import catalogue
 from isoterra.plans.fixture import Fixture
 from isoterra.sources import listing, osm, params
@@ -72,6 +72,28 @@ def test_offenders_are_counted_in_tiles(spark):
     assert "way_a" not in got._jdf.queryExecution().executedPlan().toString()  # no pair goes through an exchange
 
 
+def test_offenders_are_counted_as_bits(monkeypatch):
+    rng = np.random.default_rng(5)
+    for trial, (scale, at) in enumerate([(3000, 9e6), (3000, 0), (30, 0), (3, 9e6), (1, 0)]):
+        lines = [rng.uniform(0, scale, (300 if (trial, w) == (1, 3) else rng.integers(2, 9), 2)) + at for w in range(40)]
+        lines = [np.rint(p * 20) / 20 if trial == 2 else p for p in lines]
+        way = np.repeat(np.arange(40) * 7 + 1, [len(p) - 1 for p in lines])
+        ends = np.concatenate([np.concatenate([p[:-1], p[1:]], axis=1) for p in lines]).T
+        i, j = np.triu_indices(len(way), 1)
+        hit, x, y = tiles.cross(ends, i, j)
+        hit &= way[i] != way[j]
+        points = {(min(a, b), max(a, b), u, v) for a, b, u, v in zip(way[i[hit]].tolist(), way[j[hit]].tolist(), np.rint(x[hit] * 10).tolist(), np.rint(y[hit] * 10).tolist())}
+        both = [(w, p) for a, b, *_ in points for w, p in ((a, b), (b, a))]
+        count, apart = Counter(w for w, _ in both), Counter(w for w, _ in set(both))
+        want = {w: (apart[w], count[w]) for w in count}
+        exact, real = [], tiles.cross
+        monkeypatch.setattr(tiles, "cross", lambda e, i, j: (exact.append(len(i)), real(e, i, j))[1])
+        ids, partners, crossings = tiles.tile_offenders(way, ends, np.zeros((2, len(way)), np.int64), (0, 0))
+        monkeypatch.undo()
+        assert {w: (p, c) for w, p, c in zip(ids.tolist(), partners.tolist(), crossings.tolist()) if p} == want
+        assert trial or sum(exact) < hit.sum() / 4  # no list of crossings is made
+
+
 def test_crossings_are_brute_force(spark):
     rng = random.Random(1)
     lines = [(w, w * 5, [(rng.uniform(0, 50), rng.uniform(0, 50)) for _ in range(4)]) for w in range(30)]
