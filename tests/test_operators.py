@@ -62,6 +62,25 @@ def test_crossings_deal_segments_once(spark):
     assert "Join" not in joins.segment_crossings(segs, 1.0)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_crossings_are_told_by_sides(spark):
+    segs = seg_table(spark, [(1, 100, [(0, 0), (2, 0)]), (2, 125, [(1, -1), (1, 1)])]).drop("ele")
+    assert rows(joins.segment_crossings(segs, 1.0)) == [(1, 2, 0, 0, 1.0, 0.0)]  # what is not asked for is not dealt
+    ends = np.random.default_rng(3).uniform(0, 3000, (4, 300))
+    i, j = np.triu_indices(300, 1)
+    hit, x, y = tiles.cross(ends, i, j)
+    got = [np.stack(b) for b in tiles.crossing_blocks(np.arange(300), ends, np.zeros((2, 300), np.int64), (0, 0))]
+    assert sorted(np.concatenate(got, axis=1).T.tolist()) == sorted(np.stack([i, j, x, y])[:, hit].T.tolist())
+
+
+def test_crossings_are_rounded_as_in_sql(spark, monkeypatch):
+    found = spark.createDataFrame([(1, 2, 0, 0, 1.0005, -2.0015), (1, 2, 0, 1, 9234665.204499999, 0.0)], "way_a long, way_b long, seq_a int, seq_b int, x double, y double")
+    monkeypatch.setattr(joins, "segment_crossings", lambda segs: found)
+    monkeypatch.setattr(Fixture, "segment", lambda t: spark.range(1).withColumn("ele", F.lit(0.0)))
+    got = [(r.x, r.y) for r in catalogue.QUERIES["d2_segment_crossings"](spark, "").collect()]
+    con = pytest.importorskip("duckdb").connect()
+    assert got == [tuple(con.execute("SELECT round(?::DOUBLE, 3), round(?::DOUBLE, 3)", [r.x, r.y]).fetchone()) for r in found.collect()]
+
+
 def test_offenders_are_counted_in_tiles(spark):
     rng = random.Random(11)
     lines = [(w, 100, [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(rng.randrange(2, 9))]) for w in range(60)]
